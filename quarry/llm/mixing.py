@@ -15,9 +15,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.native import SPACE, n_words, prefix_sums, uniform
+from quarry.session import stored
 
 WEIGHTS = (5, 2, 1)
-SHARE, MOST, SEED, BIN_ROWS = 1.5, 2.0, 17, 20_000
+SHARE, MOST, SEED, BIN_ROWS = 1.5, 2.0, 17, 1_000
 RESULT = ("size", "source_size", "target", "taken", "epochs", "quality_weight")
 
 
@@ -56,6 +57,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
         n_words(F.col("text")).alias("size"), quality_weight(F.col("text")).alias("quality_weight"), F.xxhash64("text").alias("_tie"),
     )
     rows = rows.withColumn("_key", -F.log(uniform(F.col("doc_id"), F.lit(seed))) / F.col("quality_weight"))
+    rows = stored(rows, "mix-rows")  # texts are read once; what follows reads a few numbers a row
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"), F.avg("quality_weight").alias("_avg"))
     plan = targets(sizes, weights, share, most).withColumn("_bins", F.ceil(F.col("_n") / bin_rows))
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))

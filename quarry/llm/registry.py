@@ -5,6 +5,8 @@ from __future__ import annotations
 import importlib
 
 NAMES = {
+    "op3_secret_spans": "secrets",
+    "op4_balanced_shards": "sharding",
     "op7_quality_lines": "quality",
     "op10_mix_sources": "mixing",
 }
