@@ -7,6 +7,8 @@ import importlib
 NAMES = {
     "op3_secret_spans": "secrets",
     "op4_balanced_shards": "sharding",
+    "op5_minhash_near_dup": "near_dup",
+    "op6_string_tiling": "decontaminate",
     "op7_quality_lines": "quality",
     "op10_mix_sources": "mixing",
 }
