@@ -5,11 +5,13 @@ from __future__ import annotations
 import importlib
 
 NAMES = {
+    "op2_wavelet_tokens": "token_ids",
     "op3_secret_spans": "secrets",
     "op4_balanced_shards": "sharding",
     "op5_minhash_near_dup": "near_dup",
     "op6_string_tiling": "decontaminate",
     "op7_quality_lines": "quality",
+    "op8_token_counts": "token_fst",
     "op10_mix_sources": "mixing",
 }
 
