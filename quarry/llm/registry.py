@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 NAMES = {
+    "op1_template_free_text": "html_text",
     "op2_wavelet_tokens": "token_ids",
     "op3_secret_spans": "secrets",
     "op4_balanced_shards": "sharding",
@@ -12,6 +13,7 @@ NAMES = {
     "op6_string_tiling": "decontaminate",
     "op7_quality_lines": "quality",
     "op8_token_counts": "token_fst",
+    "op9_warc_derivatives": "warc",
     "op10_mix_sources": "mixing",
 }
 
