@@ -6,7 +6,9 @@ buckets with probability (1 - 0.8 ** 6) ** 42, 3 in a million. Documents of equa
 
 In a bucket every class is first compared with the smallest. Where that leaves a bucket in several components, the
 classes outside its largest component are compared with all classes of other components there: within a component no
-further link can change the result, so no link is lost and no bucket is capped.
+further link can change the result, so no link is lost and no bucket is capped. That goes in two rounds, first with the
+nearest class of each other component, then with whatever is still apart; bitmaps of the sets bound their difference from
+below, so that pairs too far apart are never made rows.
 
 Cases: a null or empty text has no shingles and is linked with nothing; fewer words than a shingle count as one. Equal
 rows are one class. Documents that share an id are one node. A document without id is never linked and is kept. An
@@ -29,6 +31,8 @@ from quarry.session import ship, stored
 
 N_HASH, ROWS, BANDS = 126, 6, 42
 PERCENT = 80
+#: Bits of a set's bitmap; buckets up to SMALL are joined with themselves, others compared in squares of SIDE.
+BITS, SMALL, SIDE = 1024, 12, 512
 FACTORS = np.random.default_rng(20240229).integers(1, 1 << 63, N_HASH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -55,7 +59,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return out
 
 
-SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bits", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
 def sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -67,6 +71,7 @@ def sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
             full = np.flatnonzero(n)
             k = np.zeros((2, len(sets)), np.uint64)
             bands: list = [None] * len(sets)
+            bits: list = [None] * len(sets)
             if len(full):
                 own = [sets[i] for i in full]
                 at = np.concatenate(([0], np.cumsum(n[full])))[:-1]
@@ -75,8 +80,11 @@ def sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
                 k[1, full] = mix(np.add.reduceat(mix(x + np.uint64(0x14057B7EF767814F)), at))
                 for i, row in zip(full.tolist(), band_keys(signatures(own)).view(np.int64), strict=True):
                     bands[i] = row
+                    flags = np.zeros(BITS, bool)
+                    flags[sets[i] & np.uint64(BITS - 1)] = True
+                    bits[i] = np.packbits(flags).tobytes()
             keys = [pa.array(v.view(np.int64), mask=n == 0) for v in k]
-            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n.astype(np.int64)), *keys, pa.array(bands, pa.list_(pa.int64()))], schema=SKETCH)
+            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(n.astype(np.int64)), *keys, pa.array(bits, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=SKETCH)
 
 
 CONFIRMED = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -98,17 +106,66 @@ def confirm(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iter
         yield batch.select([0, 1]).take(pa.array(hits, pa.int32())).cast(CONFIRMED)
 
 
+REST = pa.schema([("a", pa.int64()), ("na", pa.int64()), ("b", pa.int64()), ("nb", pa.int64())])
+
+
+def possible(left: pa.Table, right: pa.Table, percent: int, nearest: bool) -> pa.Table:
+    """Pairs of different components whose bitmaps allow the similarity: bits that differ are shingles that differ.
+
+    nearest: of each component only the one that differs least.
+    """
+    left = left.rename_columns([c[2:] for c in left.column_names])
+    x, y = (t.select(["cid", "n", "comp"]).to_pydict() for t in (left, right))
+    bits = [np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint64).reshape(t.num_rows, BITS // 64) for t in (left, right)]
+    cid, n, comp = (np.array(y[k], np.int64) for k in ("cid", "n", "comp"))
+    out: list[tuple] = []
+    for i, (a, na, ca) in enumerate(zip(x["cid"], x["n"], x["comp"], strict=True)):
+        differ = np.bitwise_count(bits[0][i] ^ bits[1]).sum(axis=1, dtype=np.int64)
+        ok = np.flatnonzero(((100 + percent) * differ <= (100 - percent) * (na + n)) & (comp != ca))
+        if nearest and len(ok):
+            ok = ok[np.argsort(differ[ok], kind="stable")]
+            ok = ok[np.unique(comp[ok], return_index=True)[1]]
+        out += [(a, na, int(cid[k]), int(n[k])) if a < cid[k] else (int(cid[k]), int(n[k]), a, na) for k in ok.tolist()]
+    return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 4, schema=REST)
+
+
+def remaining(members: DataFrame, roots: DataFrame, bits: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Distinct pairs (a, na, b, nb) between the classes outside a bucket's largest component and those of its others.
+
+    Small buckets are joined with themselves. Large ones are dealt in squares of at most about SIDE * SIDE pairs, whose
+    bitmaps are compared in numpy, so that only pairs that may be similar enough become rows.
+    """
+    comp = members.join(roots, members.cid == roots.node, "left").select("bucket", "cid", "n", "size", F.coalesce("root", "cid").alias("comp"))
+    sizes = comp.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
+    comp = comp.join(mixed.select("bucket", F.col("top.comp").alias("top")), "bucket")
+    small = comp.where(F.col("size") <= SMALL)
+    rare = small.where("comp <> top").select("bucket", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
+    cross = rare.join(small, "bucket").where((F.col("ca") != F.col("comp")) & (F.least("na", "n") * 100 >= F.greatest("na", "n") * percent))
+    low = F.col("a") < F.col("cid")
+    cross = cross.select(F.least("a", "cid").alias("a"), F.when(low, F.col("na")).otherwise(F.col("n")).alias("na"), F.greatest("a", "cid").alias("b"), F.when(low, F.col("n")).otherwise(F.col("na")).alias("nb"))
+
+    large = comp.where(F.col("size") > SMALL).join(bits, "cid").withColumn("sides", F.ceil(F.col("size") / SIDE).cast("int"))
+    mine = F.pmod(F.xxhash64("cid"), F.col("sides")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("sides") - 1))
+    rows = large.where("comp <> top").withColumn("i", mine).withColumn("j", every).drop("size", "top", "sides")
+    cols = large.withColumn("j", mine).withColumn("i", every).drop("size", "top", "sides")
+    rows = rows.select(*[F.col(c).alias(f"x_{c}") for c in rows.columns])
+    squares = rows.groupBy("x_bucket", "x_i", "x_j").cogroup(cols.groupBy("bucket", "i", "j"))
+    return cross.unionByName(squares.applyInArrow(partial(possible, percent=percent, nearest=nearest), "a long, na long, b long, nb long")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = stored(docs.mapInArrow(partial(sketch, width=width), "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "near-sketches")
+    rows = stored(docs.mapInArrow(partial(sketch, width=width), "doc_id long, n_shingles long, k1 long, k2 long, bits binary, bands array<long>"), "near-sketches")
     classes = rows.where("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("cid")).where("cid IS NOT NULL")
-    heads = rows.select("k1", "k2", F.col("doc_id").alias("cid"), "n_shingles", "bands").join(classes, ["k1", "k2", "cid"], "left_semi")
+    heads = rows.select("k1", "k2", F.col("doc_id").alias("cid"), "n_shingles", "bits", "bands").join(classes, ["k1", "k2", "cid"], "left_semi")
     members = heads.select("cid", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     hubs = members.groupBy("bucket").agg(F.min(F.struct("cid", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1")
-    members = stored(members.join(hubs, "bucket").select("bucket", "cid", "n", "hub"), "near-members")
+    members = stored(members.join(hubs, "bucket").select("bucket", "cid", "n", "hub", "size"), "near-members")
     texts = docs.join(classes.select(F.col("cid").alias("doc_id")), "doc_id", "left_semi")
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -124,23 +181,19 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = PERCENT) ->
     links = stored(linked(first), "near-links")
     roots = stored(components(links), "near-roots")
 
-    comp = members.join(roots, members.cid == roots.node, "left").select("bucket", "cid", "n", F.coalesce("root", "cid").alias("comp"))
-    sizes = comp.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
-    comp = comp.join(mixed.select("bucket", F.col("top.comp").alias("top")), "bucket")
-    minority = comp.where("comp <> top").select("bucket", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    cross = minority.join(comp, "bucket").where((F.col("ca") != F.col("comp")) & (F.least("na", "n") * 100 >= F.greatest("na", "n") * percent))
-    cross = cross.select("a", "na", F.col("cid").alias("b"), F.col("n").alias("nb"))
     seen = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    cross = cross.select(F.least("a", "b").alias("a"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
-    cross = stored(cross.join(seen, ["a", "b"], "left_anti"), "near-cross")
-    if not cross.isEmpty():
-        more = stored(linked(cross), "near-links")
+    bits = heads.select("cid", "bits")
+    for nearest in (True, False):
+        pairs = stored(remaining(members, roots, bits, percent, nearest).join(seen, ["a", "b"], "left_anti"), "near-rest")
+        if pairs.isEmpty():
+            continue
+        more = stored(linked(pairs), "near-links")
+        seen = seen.unionByName(pairs.select("a", "b"))
         if not more.isEmpty():
             roots = stored(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "near-roots")
 
     named = classes.join(roots, classes.cid == roots.node, "left").select("k1", "k2", F.coalesce("root", "cid").alias("root"))
-    out = rows.drop("bands").join(named, ["k1", "k2"], "left")
+    out = rows.drop("bands", "bits").join(named, ["k1", "k2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

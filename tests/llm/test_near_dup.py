@@ -1,6 +1,9 @@
 import random
 import re
 
+import pytest
+
+from quarry.llm import near_dup
 from quarry.llm.near_dup import deduplicated, near_duplicates, op5_minhash_near_dup
 from tests.conftest import SF
 
@@ -54,7 +57,10 @@ def test_documents(spark):
     assert sorted((r.doc_id, r.component_id) for r in op5_minhash_near_dup(spark, SF).collect()) == sorted((r.doc_id, r.component_id) for r in got)
 
 
-def test_chains_and_edges(spark):
+@pytest.mark.parametrize("small", [12, 10_000])
+def test_chains_and_edges(spark, small, monkeypatch):
+    monkeypatch.setattr(near_dup, "SMALL", small)
+    monkeypatch.setattr(near_dup, "SIDE", 60)
     rnd = random.Random(5)
     words = [f"w{i}" for i in range(3000)]
     texts = {1: None, 2: "", 3: "  \n", 4: "Alpha beta", 5: "alpha\tBETA ", 6: "alpha beta gamma", 7: "x\xa0y one two three", 8: "X\xa0y one two three"}
@@ -65,10 +71,11 @@ def test_chains_and_edges(spark):
             texts[at] = " ".join(t)
             t[rnd.randrange(len(t))] = rnd.choice(words)
             at += rnd.randrange(1, 4)
-    base = [rnd.choice(words) for _ in range(80)]
-    for _ in range(60):  # a hub of near copies
+    base = [rnd.choice(words) for _ in range(150)]
+    for i in range(260):  # a hub of near copies, some of them linked with few others or none
         t = list(base)
-        t[rnd.randrange(80)] = rnd.choice(words)
+        for _ in range(rnd.choice((1, 2, 3, 4, 6, 8))):
+            t[rnd.randrange(150)] = rnd.choice(words)
         texts[at] = " ".join(t)
         at += 1
     texts[at] = "long " + " ".join(rnd.choice(words) for _ in range(60_000))
