@@ -72,11 +72,12 @@ def mark(e: Element, tag: str, attributes: str) -> None:
         e.main = True
 
 
-def blocks_of(html: str) -> list[tuple[str, bool, bool, float, bool, list[int], list[int]]]:
+def blocks_of(html: str, owners: bool = True) -> list[tuple[str, bool, bool, float, bool, list[int], list[int]]]:
     """(text, in article, in main, share of link text, dead, owners, bare owners) of every block, in page order.
 
     Owners are hashes of the block elements around, over their tags and text; bare owners are those of short elements
-    without paragraphs or headings. A dead block belongs to an element that is never article.
+    without paragraphs or headings. A dead block belongs to an element that is never article. Without owners, nothing is
+    hashed.
     """
     out: list = []
     root = Element("html", None)
@@ -95,14 +96,14 @@ def blocks_of(html: str) -> list[tuple[str, bool, bool, float, bool, list[int],
                 dead = top.dead or (top.heads_only and not ((top.article or top.main) and any(e.tag in HEADINGS for e in stack)))
                 k = len(out)
                 out.append([t, top.article, top.main, links / len(t), dead, [], []])
-                for e in stack:
+                for e in stack if owners else ():
                     e.blocks.append(k)
                     e.parts.append(t)
                     e.size += len(t)
         links = 0
 
     def close(e: Element) -> None:
-        if e.tag in BLOCK and e.blocks and e.tag not in ("html", "body", "main", "article"):
+        if owners and e.tag in BLOCK and e.blocks and e.tag not in ("html", "body", "main", "article"):
             h = int.from_bytes(blake2b(f"{e.tag}\n".encode() + "\n".join(e.parts).encode(), digest_size=8).digest(), "big", signed=True)
             bare = not e.prose and e.size <= 300
             for k in e.blocks:

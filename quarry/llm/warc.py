@@ -93,21 +93,23 @@ def derive(headers: list[tuple[str, str]], block: bytes) -> list[dict]:
         page = payload.decode(charset, "replace")
     except LookupError:
         page = payload.decode("utf-8", "replace")
-    plain = "\n".join(b[0] for b in blocks_of(page)) if "html" in kind or not kind else page if kind.startswith("text/") else ""
+    plain = "\n".join(b[0] for b in blocks_of(page, owners=False)) if "html" in kind or not kind else page if kind.startswith("text/") else ""
+    actual = digest(payload)
     source, uri, date = h["warc-record-id"], h.get("warc-target-uri"), h.get("warc-date", DATE)
     ids = {k: record_id(k, source) for k in ("conversion", "metadata")}
     found = h.get("warc-payload-digest")
-    fields = [("source-status", status), *((f"source-http-{k.lower()}", v) for k, v in http), *((f"source-{k.lower()}", v) for k, v in headers if k.lower() not in ("content-length",)), ("source-payload-digest", digest(payload)), ("source-payload-length", str(len(payload)))]
+    fields = [("source-status", status), *((f"source-http-{k.lower()}", v) for k, v in http), *((f"source-{k.lower()}", v) for k, v in headers if k.lower() not in ("content-length",)), ("source-payload-digest", actual), ("source-payload-length", str(len(payload)))]
     if found:
-        fields.append(("source-digest-valid", str(found == digest(payload)).lower()))
+        fields.append(("source-digest-valid", str(found == actual).lower()))
     bodies = {"conversion": plain.encode(), "metadata": "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in fields).encode()}
+    own_digest = {k: digest(b) for k, b in bodies.items()}
     out = []
     for k, other in (("conversion", "metadata"), ("metadata", "conversion")):
         own = [
             ("WARC-Type", k), ("WARC-Record-ID", ids[k]), ("WARC-Date", date), ("WARC-Target-URI", uri), ("WARC-Refers-To", source), ("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", date),
-            ("WARC-Concurrent-To", ids[other]), ("Content-Type", "text/plain; charset=utf-8" if k == "conversion" else "application/warc-fields"), ("WARC-Block-Digest", digest(bodies[k])),
+            ("WARC-Concurrent-To", ids[other]), ("Content-Type", "text/plain; charset=utf-8" if k == "conversion" else "application/warc-fields"), ("WARC-Block-Digest", own_digest[k]),
         ]
-        out.append({"record_type": k, "record_id": ids[k], "refers_to": source, "concurrent_to": ids[other], "target_uri": uri, "source_digest": digest(payload), "block_digest": digest(bodies[k]), "content_length": len(bodies[k]), "record": record(own, bodies[k])})
+        out.append({"record_type": k, "record_id": ids[k], "refers_to": source, "concurrent_to": ids[other], "target_uri": uri, "source_digest": actual, "block_digest": own_digest[k], "content_length": len(bodies[k]), "record": record(own, bodies[k])})
     return out
 
 
