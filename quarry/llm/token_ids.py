@@ -10,7 +10,9 @@ their text's hash. An empty table gives no files and no rows. Other columns are
 from __future__ import annotations
 
 import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import partial
 
@@ -26,8 +28,8 @@ from quarry.llm.words import blocks
 from quarry.session import ship, stored
 
 TOKENIZER, END_ID, SHARD_TOKENS = "word_bpe_49k.json", 1, 1 << 20
-#: Bytes of text encoded at once; words kept between blocks; the longest word kept.
-BLOCK, MOST_WORDS, LONG_WORD = 1 << 22, 250_000, 48
+#: Bytes of text encoded at once; words in each of two generations kept between blocks; the longest word kept.
+BLOCK, MOST_WORDS, LONG_WORD = 1 << 22, 300_000, 48
 NO_ID = -(1 << 63)
 
 
@@ -50,18 +52,25 @@ class Encoder:
         a, b, c = (self.tokenizer.encode(x, add_special_tokens=False).ids for x in (probe[0], probe[1], f"{probe[0]}{probe[1]}{probe[0]}"))
         self.by_word = not b and c == a + a
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        kind = "H" if self.dtype.itemsize == 2 else "I"
+        if sys.byteorder == "big":
+            return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self.raw(texts)
-        if len(self.kept) > MOST_WORDS:
-            self.kept = {}
+        if len(self.kept) > MOST_WORDS:  # words that are met again move on, others go
+            self.kept, self.older = {}, self.kept
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = list(set().union(*split).difference(self.kept))
-        found = self.kept
+        found, older = self.kept, self.older
+        new = set().union(*split).difference(found)
+        again = new.intersection(older)
+        found.update((w, older[w]) for w in again)
+        new = list(new.difference(again))
         found.update(zip(new, self.raw(new), strict=True))
         out = [b"".join(map(found.__getitem__, w)) for w in split]
         for w in new:
