@@ -1,0 +1,81 @@
+"""Files as documents: discovery by one binaryFile scan, decoding, and line blocks of text."""
+
+from __future__ import annotations
+
+import codecs
+import csv
+import re
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Names of temporary files; lines of a block; rows that decide a delimiter.
+TEMPORARY = r"^(~\$.*|\.~.*|~WRL.*\.tmp|.*\.tmp|.*\.bak)$"
+BLOCK_LINES, SNIFF_ROWS = 80, 20
+CONTROLS = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+
+
+def discover(spark: SparkSession, root: str, extensions: list[str], max_bytes: int = 128 << 20, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """(path, relative_path, extension, modified, length, content) of the files to index below root.
+
+    Temporary files, other extensions, larger files and paths with an excluded segment are left out. Filters on length
+    and time reach the scan, so that no content is read for what they drop.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= max_bytes)
+    base = root.rstrip("/").split(":", 1)[-1].lstrip("/") + "/"
+    files = files.withColumn("relative_path", F.substring_index("path", base, -1))
+    name = F.element_at(F.split("relative_path", "/"), -1)
+    files = files.withColumn("extension", F.lower(F.regexp_extract(name, r"\.[^.]+$", 0)))
+    kept = F.col("extension").isin(*[e.lower() for e in extensions]) & ~name.rlike(f"(?i){TEMPORARY}")
+    if exclude:
+        kept = kept & ~F.arrays_overlap(F.transform(F.split("relative_path", "/"), F.lower), F.array(*[F.lit(x.lower()) for x in exclude]))
+    return files.where(kept).select("path", "relative_path", "extension", F.col("modificationTime").alias("modified"), "length", "content")
+
+
+def decode(data: bytes) -> str:
+    """Text by byte order mark, else UTF-8, else GB18030, else UTF-8 with replacements; control characters go."""
+    for mark, name in ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be")):
+        if data.startswith(mark):
+            return CONTROLS.sub("", data[len(mark) :].decode(name, "replace"))
+    for name in ("utf-8", "gb18030"):
+        try:
+            return CONTROLS.sub("", data.decode(name))
+        except UnicodeDecodeError:
+            continue
+    return CONTROLS.sub("", data.decode("utf-8", "replace"))
+
+
+def line_blocks(text: str, most: int = BLOCK_LINES) -> list[tuple[int, int, str]]:
+    """(first line, last line, text) of runs of lines between blank ones, of at most that many lines; lines count from 1."""
+    out: list[tuple[int, int, str]] = []
+    run: list[str] = []
+    for n, line in enumerate([*re.split(r"\r\n|\r|\n", text), ""], 1):
+        if line.strip():
+            run.append(line.rstrip())
+        if run and (not line.strip() or len(run) >= most):
+            last = n if line.strip() else n - 1
+            out.append((last - len(run) + 1, last, "\n".join(run)))
+            run = []
+    return out
+
+
+def delimiter(text: str, rows: int = SNIFF_ROWS) -> str:
+    """The separator under which most of the first rows have equally many fields, then the one that gives most fields."""
+
+    def score(d: str) -> int:
+        sizes = [len(r) for _, r in zip(range(rows), csv.reader(text.splitlines(), delimiter=d), strict=False) if r]
+        usual = max(set(sizes), key=sizes.count) if sizes else 0
+        return (sizes.count(usual) * 1000 + usual) if usual > 1 else 0
+
+    return max(",\t;", key=score)
+
+
+def blocks(files: DataFrame) -> DataFrame:
+    """(path, ordinal, first_line, last_line, text) of the text files of discover()."""
+
+    def parse(s: pd.Series) -> pd.Series:
+        return s.map(lambda b: [{"first_line": a, "last_line": z, "text": t} for a, z, t in line_blocks(decode(bytes(b)))])
+
+    found = F.pandas_udf(parse, "array<struct<first_line:long,last_line:long,text:string>>")(F.col("content"))
+    return files.select("path", F.posexplode(found).alias("ordinal", "b")).select("path", "ordinal", "b.*")
