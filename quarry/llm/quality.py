@@ -67,24 +67,27 @@ def judge(docs: DataFrame, most_lost: float = MOST_LOST) -> DataFrame:
     d = docs.drop(*RESULT).withColumn("_t", F.coalesce(F.col("text"), F.lit("")))
     d = d.withColumn("_words", F.regexp_extract_all("_t", F.lit(WORD), 0))
     d = d.withColumn("_lines", F.filter(F.split("_t", "\n"), lambda x: F.length(F.translate(x, SPACE, "")) > 0))
-    d = d.withColumn("_flags", F.transform("_lines", line_fails))
+    # a line and its verdict lie side by side: a filter on kept that Catalyst pushes below still judges each line once
+    d = d.withColumn("_judged", F.transform("_lines", lambda x: F.struct(x.alias("line"), line_fails(x).alias("bad"))))
+    d = d.withColumn("_base", let(F.col("_words"), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeat_words(w).alias("again"))))
+    joined = lambda j: F.array_join(F.transform(j, lambda x: x["line"]), "\n")
+    good = lambda j: joined(F.filter(j, lambda x: ~x["bad"]))
     d = d.select(
         "*",
-        F.size("_words").cast("long").alias("n_words"),
+        F.col("_base.n").alias("n_words"),
         F.length(F.translate("_t", SPACE, "")).cast("long").alias("word_chars"),
         (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        repeat_words(F.col("_words")).alias("n_repeat_words"),
+        F.col("_base.again").alias("n_repeat_words"),
         F.size("_lines").cast("long").alias("n_lines"),
-        F.size(F.filter("_flags", lambda x: x)).cast("long").alias("n_bad_lines"),
-        F.filter("_lines", lambda x, i: ~F.col("_flags")[i]).alias("_good"),
+        F.size(F.filter("_judged", lambda x: x["bad"])).cast("long").alias("n_bad_lines"),
+        good(F.col("_judged")).alias("clean_text"),
+        let(F.col("_judged"), lambda j: F.when(F.size(j) > 0, 1.0 - F.length(good(j)) / F.length(joined(j))).otherwise(1.0)).alias("lost_share"),
+        let(F.col("_base"), lambda c: (c["n"] < 10) | (100 * c["again"] > 20 * c["n"])).alias("base_failed"),
     )
-    d = d.withColumn("clean_text", F.array_join("_good", "\n"))
-    every = F.length(F.array_join("_lines", "\n"))
-    d = d.withColumn("lost_share", F.when(every > 0, 1.0 - F.length("clean_text") / every).otherwise(1.0))
-    d = d.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     d = d.withColumn("kept", ~F.col("base_failed") & (F.col("lost_share") <= most_lost))
-    return d.drop("_t", "_words", "_lines", "_flags", "_good")
+    return d.drop("_t", "_words", "_lines", "_judged", "_base")
+
 
 
 def op7_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
