@@ -56,7 +56,8 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
         *[c for c in docs.columns if c not in RESULT and c != "text"],
         n_words(F.col("text")).alias("size"), quality_weight(F.col("text")).alias("quality_weight"), F.xxhash64("text").alias("_tie"),
     )
-    rows = rows.withColumn("_key", -F.log(uniform(F.col("doc_id"), F.lit(seed))) / F.col("quality_weight"))
+    # rows without id get keys of their own too, by their text
+    rows = rows.withColumn("_key", -F.log(uniform(F.coalesce("doc_id", "_tie"), F.lit(seed))) / F.col("quality_weight"))
     rows = stored(rows, "mix-rows")  # texts are read once; what follows reads a few numbers a row
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"), F.avg("quality_weight").alias("_avg"))
     plan = targets(sizes, weights, share, most).withColumn("_bins", F.ceil(F.col("_n") / bin_rows))
@@ -81,10 +82,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repeated(docs: DataFrame, **how) -> DataFrame:
     """The mixture itself: the columns of docs, each document as many times as it is taken."""
     cols = docs.columns
-    # doc_id may repeat: a key of the row's own content keeps the join one to one up to equal rows
-    chosen = mix(docs.select("doc_id", "source", "text"), **how)
+    # doc_id may repeat or be null: a key of the row's own content keeps the join one to one up to equal rows
+    row = F.xxhash64("doc_id", "source", "text")
+    chosen = mix(docs.select("doc_id", "source", "text", row.alias("_row")), **how)
     times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
-    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), times.alias("_times"), "size").where("_times > 0")
-    chosen = chosen.groupBy("_id", "_source").agg(F.max("_times").alias("_times"))
-    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")))
+    chosen = chosen.select("_row", times.alias("_times")).where("_times > 0").groupBy("_row").agg(F.max("_times").alias("_times"))
+    kept = docs.withColumn("_row", row).join(chosen, "_row")
     return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*cols)

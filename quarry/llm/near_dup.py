@@ -203,6 +203,7 @@ def op5_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
-    """docs without those near-duplicates of a smaller id: one row of each component stays."""
-    kept = near_duplicates(docs, width, percent).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("_id"))).drop("_id").dropDuplicates(["doc_id"])
+    """docs without those near-duplicates of a smaller id: one row of each component stays, and all rows without id."""
+    kept = near_duplicates(docs, width, percent).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
+    named = docs.join(kept, docs.doc_id == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where("doc_id IS NULL"))

@@ -70,3 +70,11 @@ def test_edges(spark):
         assert got == [(0, 7), (0, 10), (3, 7), (3, 10), (4, 7), (4, 10), (6, 7), (6, 7), (6, 10), (6, 10)]
     assert sorted(r.doc_id for r in decontaminated(docs, items).collect()) == [1, 2, 5]
     assert contaminated(docs.limit(0), items).count() == 0 and contaminated(docs, items.limit(0)).count() == 0
+
+
+def test_rows_without_id_are_judged_by_themselves(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    docs = spark.createDataFrame([(None, item), (None, "clean words without an id"), (None, None), (4, item), (4, "clean words of a repeated id")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    kept = [(r.doc_id, r.text) for r in decontaminated(docs, items).collect()]
+    assert sorted(kept, key=str) == sorted([(None, "clean words without an id"), (None, None), (4, "clean words of a repeated id")], key=str)

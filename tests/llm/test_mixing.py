@@ -66,3 +66,14 @@ def test_better_documents_come_first(spark):
     clean = sum(r.taken > 0 for r in got if r.source == "a" and r.doc_id % 2)
     dirty = sum(r.taken > 0 for r in got if r.source == "a" and not r.doc_id % 2)
     assert clean > 2 * dirty > 0
+
+
+def test_rows_without_id(spark):
+    rows = [(None, "a", f"t{i} " * (1 + i % 9)) for i in range(600)] + [(i, "b", f"u{i} " * 9) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mix(df, share=0.5, bin_rows=20).collect()
+    check_share = {s: sum(r.taken for r in got if r.source == s) for s in "ab"}
+    for r in got:
+        assert abs(check_share[r.source] - r.target) <= 4.5
+    again = repeated(df, share=0.5).collect()
+    assert sum(len(r.text.split()) for r in again if r.source == "a") == sum(r.taken for r in mix(df, share=0.5).collect() if r.source == "a")

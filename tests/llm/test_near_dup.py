@@ -88,3 +88,9 @@ def test_chains_and_edges(spark, small, monkeypatch):
     assert near_duplicates(df.limit(0)).count() == 0
     twice = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in near_duplicates(twice).collect()) == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False)]
+
+
+def test_rows_without_id_stay(spark):
+    text = "a b c d e f g h"
+    df = spark.createDataFrame([(None, text), (None, text), (None, "other words of one row"), (3, text), (2, text)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in deduplicated(df).collect()) == [(0, text), (0, text), (0, "other words of one row"), (2, text)]
