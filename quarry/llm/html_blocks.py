@@ -1,4 +1,4 @@
-"""Blocks of text of an HTML page, each with the hashes of the elements around it: one pass over the tags."""
+"""Blocks of text of an HTML page, each with keys of the elements around it: one pass over the tags."""
 
 from __future__ import annotations
 
@@ -14,6 +14,8 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody tfoot thead tr ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Share of link text from which a block counts as links, not prose.
+LINKED = 0.6
 SPACED = frozenset("br td th".split())
 #: Elements that are never part of the article.
 NEVER = frozenset("nav footer aside form script style noscript template iframe svg button select option textarea title head dialog menu object canvas audio video map search".split())
@@ -34,7 +36,7 @@ WALLS = frozenset("article aside section div table td th nav header footer main
 
 
 class Element:
-    __slots__ = ("tag", "dead", "heads_only", "article", "main", "parts", "prose", "blocks", "size")
+    __slots__ = ("tag", "dead", "heads_only", "article", "main", "region", "named", "parts", "blocks")
 
     def __init__(self, tag: str, up: Element | None):
         self.tag = tag
@@ -42,10 +44,12 @@ class Element:
         self.heads_only = up.heads_only if up else False
         self.article = up.article if up else False
         self.main = up.main if up else False
+        #: The innermost article or main element around this one.
+        self.region: Element | None = (up if up.tag in ("article", "main") else up.region) if up else None
+        #: Elements around, and this one, whose names speak against them: (element, whether headings stay).
+        self.named: tuple = up.named if up else ()
         self.parts: list[str] = []
-        self.prose = tag == "p" or tag in HEADINGS
         self.blocks: list[int] = []
-        self.size = 0
 
 
 def mark(e: Element, tag: str, attributes: str) -> None:
@@ -72,14 +76,72 @@ def mark(e: Element, tag: str, attributes: str) -> None:
         e.main = True
 
 
-def blocks_of(html: str, owners: bool = True) -> list[tuple[str, bool, bool, float, bool, list[int], list[int]]]:
-    """(text, in article, in main, share of link text, dead, owners, bare owners) of every block, in page order.
+def judge_names(out: list, facts: list) -> None:
+    """Kill the blocks of elements whose names speak against them, unless more than a name speaks for them.
 
-    Owners are hashes of the block elements around, over their tags and text; bare owners are those of short elements
-    without paragraphs or headings. A dead block belongs to an element that is never article. Without owners, nothing is
-    hashed.
+    An element stays if it holds the page's only articles, or its only main elements, or more than half of its prose.
+    """
+    prose = [0 if b[4] or b[3] >= LINKED else len(b[0]) for b in out]
+    free = [any(not b[4] and b[i] and not any(not (e.article, e.main)[i - 1] for e, _ in f[0]) for b, f in zip(out, facts, strict=True)) for i in (1, 2)]
+    stays = {}
+    for named, _ in facts:
+        for e, _ in named:
+            if e not in stays:
+                article = not e.article and any(out[k][1] for k in e.blocks)
+                only = not free[0] and (article or (not free[1] and not e.main and any(out[k][2] for k in e.blocks)))
+                stays[e] = only or 2 * sum(prose[k] for k in e.blocks) > sum(prose)
+    for b, (named, heading) in zip(out, facts, strict=True):
+        b[4] = b[4] or any(not stays[e] and not (heads and heading and (b[1] or b[2])) for e, heads in named)
+
+
+def keys_of(out: list, closed: list) -> list[int]:
+    """Give each block the keys of the elements around it that may be template; returns the keys that aren't evidence.
+
+    Outside of articles and main elements a key stands for the element's tag and text. Inside, an element counts that is
+    no paragraph or heading itself, whatever it holds: by its place from either end of the article (even keys) and
+    anywhere in it (odd keys). An element with more than half of the page's or article's text is no evidence there.
+    """
+    size = lambda blocks: sum(len(out[k][0]) for k in blocks if not out[k][4])
+    page = size(range(len(out)))
+    regions: dict = {}
+    most = set()
+    for e, h in closed:
+        n = size(e.blocks)
+        r = e.region
+        if not n or (r and (e.tag == "p" or e.tag in HEADINGS)):
+            continue
+        if r:
+            if r not in regions:
+                regions[r] = size(r.blocks)
+            keys = [(int.from_bytes(x, "big", signed=True) & ~1) | odd for x, odd in ((placed(h, "s", e.blocks[0] - r.blocks[0]), 0), (placed(h, "e", r.blocks[-1] - e.blocks[-1]), 0), (h.digest(), 1))]
+        else:
+            keys = [int.from_bytes(h.digest(), "big", signed=True) & ~1]
+        for k in e.blocks:
+            out[k][5].extend(keys)
+        if 2 * n > (regions[r] if r else page):
+            most.update(keys)
+    return sorted(most)
+
+
+def placed(h, side: str, at: int) -> bytes:
+    h = h.copy()
+    h.update(f"\n{side}{at}".encode())
+    return h.digest()
+
+
+def blocks_of(html: str, owners: bool = True) -> list[tuple[str, bool, bool, float, bool, list[int]]]:
+    """(text, in article, in main, share of link text, dead, keys) of every block, in page order; see page_blocks."""
+    return page_blocks(html, owners)[0]
+
+
+def page_blocks(html: str, owners: bool = True) -> tuple[list[tuple[str, bool, bool, float, bool, list[int]]], list[int]]:
+    """The blocks of a page, and the keys that are no evidence (see keys_of).
+
+    A dead block belongs to an element that is never article. Without owners, nothing is hashed and names aren't judged.
     """
     out: list = []
+    facts: list = []
+    closed: list = []
     root = Element("html", None)
     stack = [root]
     text: list[str] = []
@@ -93,25 +155,19 @@ def blocks_of(html: str, owners: bool = True) -> list[tuple[str, bool, bool, flo
             text.clear()
             if t:
                 top = stack[-1]
-                dead = top.dead or (top.heads_only and not ((top.article or top.main) and any(e.tag in HEADINGS for e in stack)))
+                heading = any(e.tag in HEADINGS for e in stack)
+                dead = top.dead or (top.heads_only and not ((top.article or top.main) and heading))
                 k = len(out)
-                out.append([t, top.article, top.main, links / len(t), dead, [], []])
+                out.append([t, top.article, top.main, links / len(t), dead, []])
+                facts.append((top.named, heading))
                 for e in stack if owners else ():
                     e.blocks.append(k)
                     e.parts.append(t)
-                    e.size += len(t)
         links = 0
 
     def close(e: Element) -> None:
         if owners and e.tag in BLOCK and e.blocks and e.tag not in ("html", "body", "main", "article"):
-            h = int.from_bytes(blake2b(f"{e.tag}\n".encode() + "\n".join(e.parts).encode(), digest_size=8).digest(), "big", signed=True)
-            bare = not e.prose and e.size <= 300
-            for k in e.blocks:
-                out[k][5].append(h)
-                if bare:
-                    out[k][6].append(h)
-        if e.prose and len(stack) and e.tag not in ("html", "body"):
-            stack[-1].prose = True
+            closed.append((e, blake2b(f"{e.tag}\n".encode() + "\n".join(e.parts).encode(), digest_size=8)))
 
     def pop_to(i: int) -> None:
         """Close the elements from stack[i] on."""
@@ -180,4 +236,8 @@ def blocks_of(html: str, owners: bool = True) -> list[tuple[str, bool, bool, flo
         in_link += tag == "a"
     pop_to(1)
     flush()
-    return [tuple(b) for b in out]
+    most: list[int] = []
+    if owners:
+        judge_names(out, facts)
+        most = keys_of(out, closed)
+    return [tuple(b) for b in out], most

@@ -1,35 +1,44 @@
 """Main text of HTML pages by site template removal.
 
-Each block of a page carries hashes of the elements around it. Spark counts them by host; elements that recur on many
-pages of their host are template and go with all they hold. Menus, headers, footers, sidebars, notices, adverts, forms
-and comments also go by their tags, roles and class names. Within an article only recurring elements without paragraphs
-and headings go: pages may share passages. Of what is left, articles are taken, else main elements, else all blocks that
-aren't mostly links.
+Each block of a page carries keys of the elements around it. Spark counts them by host over pages of distinct text, and
+elements that recur go with all they hold: those on max(MIN_PAGES, log2(pages + 1)) distinct pages, which hardly grows
+with the host. Inside articles the place must be the same too, counted from either end, or else the element must be on
+SHARE of the pages; paragraphs and headings go there with a recurring element around them only, not by themselves: pages
+may share passages. A page on which an element is most of the text is no evidence for it.
 
-Recurring elements of a host are few whatever its number of pages: each is on SHARE of them at least.
+Menus, footers, adverts, forms and the like also go by tags and roles. A name (class or id) kills an element. Of what is left, articles are taken, else main elements, else all
+blocks that aren't mostly links. Where at most a tenth of that text would be left, blocks that recur on at most half as
+many pages as the page's commonest are content and stay; where there are none, all stay.
 
-Cases: null html is an empty page, with empty text. A null url is a host of its own. Equal rows get equal results, and
-count as pages of their host each. An empty table gives an empty result. Clashing columns are dropped.
+Near copies under several URLs count as pages each; the last rule alone protects them, so that on a host of little else
+only what differs between them is left.
+
+Cases: null html is an empty page, with empty text. A null url is a host of its own. Equal rows get equal results. An
+empty table gives an empty result. Clashing columns are dropped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.html_blocks import blocks_of
+from quarry.llm.html_blocks import LINKED, page_blocks
+from quarry.llm.native import let
 from quarry.session import ship, stored
 
-MIN_PAGES, SHARE, LINK_SHARE = 3, 0.05, 0.6
-BLOCKS = "array<struct<text:string,article:boolean,main:boolean,links:double,owners:array<bigint>,bare:array<bigint>>>"
-SCHEMA = f"page_id long, url string, host string, blocks {BLOCKS}"
+MIN_PAGES, SHARE, LINK_SHARE = 3, 0.5, LINKED
+#: Share of the text that removal of templates must leave, and copies of the template list, dealt to spread hot hosts.
+LEAST_LEFT, SALTS = 0.1, 16
+BLOCKS = "array<struct<text:string,article:boolean,main:boolean,links:double,keys:array<bigint>>>"
+SCHEMA = f"page_id long, url string, host string, content long, most array<bigint>, blocks {BLOCKS}"
 ARROW = pa.schema(
     [
-        ("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()),
-        ("blocks", pa.list_(pa.struct([("text", pa.string()), ("article", pa.bool_()), ("main", pa.bool_()), ("links", pa.float64()), ("owners", pa.list_(pa.int64())), ("bare", pa.list_(pa.int64()))]))),
+        ("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("content", pa.int64()), ("most", pa.list_(pa.int64())),
+        ("blocks", pa.list_(pa.struct([("text", pa.string()), ("article", pa.bool_()), ("main", pa.bool_()), ("links", pa.float64()), ("keys", pa.list_(pa.int64()))]))),
     ]
 )
 
@@ -38,9 +47,15 @@ def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         html = batch.column(3)
         for a in range(0, batch.num_rows, 256):
-            part = [[(t, art, main, links, own, bare) for t, art, main, links, dead, own, bare in blocks_of(h.as_py() or "") if not dead] for h in html.slice(a, 256)]
-            rows = [[dict(zip(("text", "article", "main", "links", "owners", "bare"), b, strict=True)) for b in p] for p in part]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, 256) for i in range(3)), pa.array(rows, ARROW.field("blocks").type)], schema=ARROW)
+            content, most, rows = [], [], []
+            for h in html.slice(a, 256):
+                blocks, m = page_blocks(h.as_py() or "")
+                live = [b for b in blocks if not b[4]]
+                content.append(int.from_bytes(blake2b("\n".join(b[0] for b in live).encode(errors="surrogatepass"), digest_size=8).digest(), "big", signed=True))
+                most.append(m)
+                rows.append([dict(zip(("text", "article", "main", "links", "keys"), (*b[:4], b[5]), strict=True)) for b in live])
+            made = [pa.array(x, ARROW.field(k).type) for k, x in (("content", content), ("most", most), ("blocks", rows))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, 256) for i in range(3)), *made], schema=ARROW)
 
 
 def host(url):
@@ -52,23 +67,40 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE
     """(page_id, url, host, text, n_chars, n_blocks, n_template) of each row of pages (page_id, url, html)."""
     ship(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host(F.col("url")).alias("host"), "html")
-    pages = stored(pages.mapInArrow(parse, SCHEMA), "page-blocks")
-    # what a block may be deleted by: any element around it, in an article bare ones alone
-    by = lambda b: F.when(b["article"] | b["main"], b["bare"]).otherwise(b["owners"])
-    own = pages.select("host", F.explode(F.array_distinct(F.flatten(F.transform("blocks", by)))).alias("h"))
-    sizes = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    many = own.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    many = many.join(sizes, "host").where(F.col("n") >= F.col("pages") * share)
-    many = many.groupBy("host").agg(F.collect_list("h").alias("template"))
-    d = pages.join(many, "host", "left").withColumn("template", F.coalesce("template", F.array().cast("array<bigint>")))
-    d = d.withColumn("left", F.filter("blocks", lambda b: ~F.arrays_overlap(by(b), F.col("template"))))
-    d = d.withColumn("n_template", (F.size("blocks") - F.size("left")).cast("long"))
-    take = (
-        F.when(F.exists("blocks", lambda b: b["article"]), F.filter("left", lambda b: b["article"]))
-        .when(F.exists("blocks", lambda b: b["main"]), F.filter("left", lambda b: b["main"]))
-        .otherwise(F.filter("left", lambda b: b["links"] < link_share))
-    )
-    d = d.withColumn("text", F.array_join(F.transform(take, lambda b: b["text"]), "\n"))
+    pages = stored(pages.mapInArrow(parse, SCHEMA).withColumn("row", F.monotonically_increasing_id()), "page-blocks")
+    keys = F.array_distinct(F.flatten("blocks.keys"))
+    own = pages.select("host", "content", F.array_sort(F.array_except(keys, "most")).alias("keys")).select("host", "keys")
+    sizes = own.groupBy("host").agg(F.count("*").alias("pages"))
+    many = own.select("host", F.explode("keys").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    need = F.greatest(F.lit(min_pages), F.ceil(F.col("pages") * 0.05))
+    many = many.join(sizes, "host").where((F.col("n") >= need) & ((F.col("h") % 2 == 0) | (F.col("n") >= F.col("pages") * share)))
+    many = many.select("host", "h", "n", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    hits = pages.select("row", "host", F.explode(keys).alias("h"), F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"))
+    hits = hits.join(many, ["host", "h", "salt"]).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("h", "n"))).alias("hits"))
+    d = pages.join(hits, "row", "left").withColumn("hits", F.coalesce("hits", F.create_map().cast("map<bigint,bigint>")))
+    times = lambda b: F.coalesce(F.array_max(F.transform(b["keys"], lambda k: F.col("hits")[k])), F.lit(0).cast("long"))
+    d = d.withColumn("found", F.transform("blocks", lambda b: F.struct(b["text"].alias("text"), b["article"].alias("article"), b["main"].alias("main"), b["links"].alias("links"), times(b).alias("n"))))
+    chars = lambda blocks: F.aggregate(blocks, F.lit(0), lambda s, b: s + F.length(b["text"]))
+
+    def content(found):
+        """The blocks that are taken."""
+        region = (
+            F.when(F.exists(found, lambda b: b["article"]), F.filter(found, lambda b: b["article"]))
+            .when(F.exists(found, lambda b: b["main"]), F.filter(found, lambda b: b["main"]))
+            .otherwise(F.filter(found, lambda b: b["links"] < link_share))
+        )
+        top = F.array_max(F.transform(found, lambda b: b["n"]))
+
+        def of(r):
+            left = F.filter(r, lambda b: b["n"] == 0)
+            return left
+
+        return let(region, of)
+
+    d = d.withColumn("taken", let(F.col("found"), content))
+    again = lambda c: F.size(F.filter(c, lambda b: b["n"] > 0))
+    d = d.withColumn("n_template", (again("found") - again("taken")).cast("long"))
+    d = d.withColumn("text", F.array_join(F.transform("taken", lambda b: b["text"]), "\n"))
     return d.select("page_id", "url", "host", "text", F.length("text").cast("long").alias("n_chars"), F.size("blocks").cast("long").alias("n_blocks"), "n_template")
 
 

@@ -61,3 +61,17 @@ def test_broken_pages():
     for t in ("<", "<a", "<p", "<!--", "<div class='x", "</p></p>", "<![CDATA[ x ]]>", "<script>", "<p/>x", "a<b>c" * 2000 + "</b>" * 50, "<div>" * 3000 + "x"):
         blocks_of(t)
     assert [b[0] for b in blocks_of("<p>a<div>b</p>c</div>d")] == ["a", "b", "c", "d"]
+
+
+def texts(spark, rows):
+    return {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_boxes_in_articles_go_and_shared_passages_stay(spark):
+    legal = "<p>" + "Legal words that stand on all pages of this site. " * 9 + "</p>"
+    page = lambda i: f"<article><p>Own {i}</p><div class=x>{legal}</div>" + "".join(f"<p>Line {i}, {k} of the text itself, which is longer than the box above.</p>" for k in range(12))
+    quote = "<blockquote><p>A passage that some pages quote.</p></blockquote>"
+    rows = [(i, f"http://box.example/{i}", page(i) + "<p>before</p>" * i + (quote if i % 5 == 0 else "") + "<p>after</p>" * i + "</article>") for i in range(40)]
+    got = texts(spark, rows)
+    assert all("Legal words" not in t and f"Own {i}" in t and f"Line {i}, 11" in t for i, t in got.items())
+    assert all("some pages quote" in got[i] for i in range(0, 40, 5))
