@@ -69,10 +69,11 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host(F.col("url")).alias("host"), "html")
     pages = stored(pages.mapInArrow(parse, SCHEMA).withColumn("row", F.monotonically_increasing_id()), "page-blocks")
     keys = F.array_distinct(F.flatten("blocks.keys"))
-    own = pages.select("host", "content", F.array_sort(F.array_except(keys, "most")).alias("keys")).select("host", "keys")
+    # copies of a page count once
+    own = pages.select("host", "content", F.array_sort(F.array_except(keys, "most")).alias("keys")).groupBy("host", "content").agg(F.min("keys").alias("keys"))
     sizes = own.groupBy("host").agg(F.count("*").alias("pages"))
     many = own.select("host", F.explode("keys").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    need = F.greatest(F.lit(min_pages), F.ceil(F.col("pages") * 0.05))
+    need = F.greatest(F.lit(min_pages), F.ceil(F.log2(F.col("pages") + 1)))
     many = many.join(sizes, "host").where((F.col("n") >= need) & ((F.col("h") % 2 == 0) | (F.col("n") >= F.col("pages") * share)))
     many = many.select("host", "h", "n", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     hits = pages.select("row", "host", F.explode(keys).alias("h"), F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("salt"))
@@ -92,8 +93,9 @@ def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE
         top = F.array_max(F.transform(found, lambda b: b["n"]))
 
         def of(r):
+            rare = F.filter(r, lambda b: b["n"] * 2 <= top)
             left = F.filter(r, lambda b: b["n"] == 0)
-            return left
+            return F.when(chars(left) > chars(r) * LEAST_LEFT, left).when(F.size(rare) > 0, rare).otherwise(r)
 
         return let(region, of)
 

@@ -75,3 +75,15 @@ def test_boxes_in_articles_go_and_shared_passages_stay(spark):
     got = texts(spark, rows)
     assert all("Legal words" not in t and f"Own {i}" in t and f"Line {i}, 11" in t for i, t in got.items())
     assert all("some pages quote" in got[i] for i in range(0, 40, 5))
+
+
+def test_copies_and_hosts_of_any_size(spark):
+    copy = "<div><p>First paragraph of the page.</p><p>Second paragraph of the page.</p></div>"
+    rows = [(i, f"http://copy.example/{i}", copy) for i in range(5)]
+    same = lambda i: f"<p>{i}</p><div>{''.join(f'<p>Paragraph {k} of a page with near copies.</p>' for k in range(5))}</div><div>Foot</div>"
+    rows += [(100 + i, f"http://near.example/{i}", same(i) if i < 8 else f"<p>Text {i} of a page of its own.</p><div>Foot</div>") for i in range(60)]
+    rows += [(1000 + i, f"http://big.example/{i}", f"<p>Text {i} of a page of its own.</p>" + ("<div>Rare promotion</div>" if i < 40 else "")) for i in range(1200)]
+    got = texts(spark, rows)
+    assert all(got[i] == "First paragraph of the page.\nSecond paragraph of the page." for i in range(5))
+    assert all("Paragraph 4" in got[100 + i] and "Foot" not in got[100 + i] for i in range(8))
+    assert got[150] == "Text 50 of a page of its own." and got[1003] == "Text 3 of a page of its own."
