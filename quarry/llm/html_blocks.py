@@ -66,10 +66,13 @@ def mark(e: Element, tag: str, attributes: str) -> None:
                 e.dead = True
     if tag in NEVER or role in ROLES:
         e.dead = True
-    elif tag not in ("html", "body", "main") and names and MARKS.search(names):
-        e.dead = True
-    elif tag == "header" or (names and tag not in ("html", "body", "main", "article") and HEADER.search(names)):
+    elif tag == "header":
         e.heads_only = True
+    elif names and role != "main" and tag not in ("html", "body", "main", "article"):
+        if MARKS.search(names):
+            e.named = (*e.named, (e, False))
+        elif HEADER.search(names):
+            e.named = (*e.named, (e, True))
     if tag == "article":
         e.article = True
     elif tag == "main" or role == "main":

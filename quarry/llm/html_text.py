@@ -6,7 +6,8 @@ with the host. Inside articles the place must be the same too, counted from eith
 SHARE of the pages; paragraphs and headings go there with a recurring element around them only, not by themselves: pages
 may share passages. A page on which an element is most of the text is no evidence for it.
 
-Menus, footers, adverts, forms and the like also go by tags and roles. A name (class or id) kills an element. Of what is left, articles are taken, else main elements, else all
+Menus, footers, adverts, forms and the like also go by tags and roles. A name (class or id) kills an element unless that
+holds the page's only articles or most of its prose. Of what is left, articles are taken, else main elements, else all
 blocks that aren't mostly links. Where at most a tenth of that text would be left, blocks that recur on at most half as
 many pages as the page's commonest are content and stay; where there are none, all stay.
 

@@ -87,3 +87,12 @@ def test_copies_and_hosts_of_any_size(spark):
     assert all(got[i] == "First paragraph of the page.\nSecond paragraph of the page." for i in range(5))
     assert all("Paragraph 4" in got[100 + i] and "Foot" not in got[100 + i] for i in range(8))
     assert got[150] == "Text 50 of a page of its own." and got[1003] == "Text 3 of a page of its own."
+
+
+def test_names_alone_kill_no_article(spark):
+    bodies = [
+        "<div class='site has-sidebar'><article><p>Body text.</p></article></div>", "<div class='elementor-widget widget'><p>Body text.</p></div><p>x</p>", "<article class='post no-comments'><p>Body text.</p></article>",
+        "<div class='page header'><main><p>Body text.</p></main></div>", "<article><p>Body text.</p></article><div class=comments><article><p>Nice!</p></article></div>",
+    ]
+    got = texts(spark, [(i, f"http://n{i}.example/", b) for i, b in enumerate(bodies)])
+    assert [got[i].replace("\nx", "") for i in range(5)] == ["Body text."] * 5
