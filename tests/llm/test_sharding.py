@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from quarry.llm.sharding import balanced, op4_balanced_shards
+from quarry.llm.sharding import balanced, cut_edges, op4_balanced_shards
 from tests.conftest import SF
 
 
@@ -49,3 +49,16 @@ def test_groups_gather(spark):
     assert max(hot.values()) >= 100  # a shard is filled with it
     assert balanced(df.limit(0), n_shards=10).count() == 0
     check(balanced(df.limit(3), n_shards=10).collect(), [(r.doc_id, r.text) for r in df.limit(3).collect()], 10)
+
+
+def test_a_hot_group_fills_one_shard_after_the_other(spark):
+    texts = [(i, f"alone {i}") for i in range(500)] + [(1000 + i, f"group {i // 5}") for i in range(300)] + [(2000 + i, "hot") for i in range(400)]
+    out = balanced(spark.createDataFrame(texts, "doc_id long, text string"), n_shards=20, bin_rows=50)
+    rows = out.collect()
+    check(rows, texts, 20)
+    hot = Counter(next(v for v in spread(rows).values() if len(v) == 400))
+    assert len(hot) <= 8  # 400 rows, 60 a shard: 7 at least
+    pairs = lambda c: sum(n * (n - 1) // 2 for n in c)
+    groups = spread(rows).values()
+    edges = cut_edges(out).first()
+    assert edges.edges == pairs(map(len, groups)) and edges.cut == edges.edges - sum(pairs(Counter(v).values()) for v in groups)
