@@ -1,7 +1,9 @@
 """Line-first quality rules, with DataFrame operations alone.
 
-Punctuation, navigation and boilerplate rules judge every line; lines that fail go, and a document that loses too much
-of its text goes too. Base rules on whole documents stand before them.
+Punctuation, navigation and boilerplate rules judge every line, at any length; lines that fail go, and a document that
+loses too much of its text goes too. Base rules on whole documents stand before them. A line is boilerplate if it has a
+phrase for each PHRASE_CHARS characters or part of that (so one is enough in a short line), or if the sentences with a
+phrase are PHRASE_SHARE of its characters.
 
 Cases: a null or empty text has no words, fails the base rule and isn't kept. A line without words neither counts nor
 fails. Equal rows get equal results. An empty table gives an empty result. Columns of the input stay unless they clash
@@ -10,12 +12,16 @@ with those of the result.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.native import SPACE, WORD, let
 
 MOST_LOST = 0.5
+PHRASE_CHARS, PHRASE_SHARE = 300, 0.2
 SYMBOLS = "#*$%&|<>"
 #: Boilerplate phrases, matched in lower case.
 BOILERPLATE = (
@@ -23,7 +29,11 @@ BOILERPLATE = (
     r"enable javascript|subscribe to our newsletter|sign up for our|click here to|lorem ipsum|"
     r"licensed under the|permission is hereby granted|without warranty of any kind"
 )
-NAVIGATION = r"^(home|menu|login|log in|sign in|sign up|next|previous|prev|back|top|search|share|print|skip to content|read more|contact|about|sitemap)( ?[|>»/-] ?.{0,30})*$"
+#: What a boilerplate phrase holds at least: cheap to look for in long lines.
+NEEDLES = ("all rights reserved", "terms of ", "privacy policy", "cookie", "enable javascript", "subscribe to our", "sign up for our", "click here to", "lorem ipsum", "licensed under the", "permission is hereby", "without warranty of")
+SENTENCE_END = r"(?<=[.!?;])\s+"
+#: A navigation word, then parts of at most 30 characters between bars; possessive, so that long lines cost their length.
+NAVIGATION = r"^(?:home|menu|login|log in|sign in|sign up|next|previous|prev|back|top|search|share|print|skip to content|read more|contact|about|sitemap)(?: ?+[|>»/-] ?+[^|>»/\-\n\r\x{85}\x{2028}\x{2029}]{0,30}+)*+$"
 RESULT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text", "lost_share", "n_lines", "n_bad_lines")
 
 
@@ -56,10 +66,17 @@ def line_fails(line: Column) -> Column:
     bars = F.length(line) - F.length(F.translate(line, "|»›•", ""))
     shouts = F.length(line) - F.length(F.regexp_replace(line, "[!?]{2,}", ""))
     punctuation = (symbols * 10 > solid) | (shouts * 20 > solid) | (~line.rlike(r"[\p{L}\p{N}]"))
-    short = F.length(line) <= 300
-    navigation = (bars >= 3) | (short & F.lower(F.trim(line)).rlike(NAVIGATION))
-    boilerplate = short & F.lower(line).rlike(BOILERPLATE)
-    return punctuation | navigation | boilerplate
+    navigation = (bars >= 3) | F.lower(F.trim(line)).rlike(NAVIGATION)
+    return punctuation | navigation | let(F.lower(line), boilerplate)
+
+
+def boilerplate(low: Column) -> Column:
+    """True where phrases, or the sentences that hold them, are a good part of a line in lower case."""
+    maybe = reduce(or_, [low.contains(x) for x in NEEDLES])
+    dense = F.size(F.regexp_extract_all(low, F.lit(BOILERPLATE), 0)) * PHRASE_CHARS >= F.length(low)
+    hit = F.filter(F.split(low, SENTENCE_END), lambda x: x.rlike(BOILERPLATE))
+    held = F.aggregate(hit, F.lit(0), lambda n, x: n + F.length(x))
+    return F.when(maybe & low.rlike(BOILERPLATE), dense | (held >= F.length(low) * PHRASE_SHARE)).otherwise(False)
 
 
 def judge(docs: DataFrame, most_lost: float = MOST_LOST) -> DataFrame:

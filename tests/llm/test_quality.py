@@ -56,3 +56,14 @@ def test_a_filter_on_kept_judges_each_line_once(spark):
     text = "\n".join(f"alpha{i} beta{i} gamma{i} delta{i} epsilon{i}." for i in range(4000))
     docs = spark.createDataFrame([(1, text), (2, None), (3, "short")], "doc_id long, text string")
     assert [r.doc_id for r in judge(docs).where("kept").select("doc_id").collect()] == [1]
+
+
+def test_long_lines_are_judged(spark):
+    grant = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom it is given to do so, subject to the following conditions:'
+    warranty = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT OR OTHERWISE, ARISING FROM THE SOFTWARE.'
+    prose = "The quick brown fox jumps over the lazy dog and runs into the deep green forest. " * 30
+    nav = "home" + " - a part of the site" * 20
+    rows = [(1, grant), (2, warranty), (3, " ".join(["We use cookies on this site, see our privacy policy for what that means."] * 9)), (4, prose + "They accept cookies."), (5, nav), (6, "home" + " - a part" * 9000 + " of more than thirty characters without a bar"), (7, "We use cookies.")]
+    assert all(len(t) > 300 for i, t in rows if i < 7)
+    got = {r.doc_id: r.n_bad_lines for r in judge(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 0, 5: 1, 6: 0, 7: 1}
