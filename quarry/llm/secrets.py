@@ -1,8 +1,10 @@
 """Secret scans, with DataFrame operations alone: patterns, and character Markov models for what patterns miss.
 
 Two first-order models over ASCII characters, one of random strings and one of ordinary identifiers, are counted from
-labelled samples. A token is a secret where the log-likelihood ratio per character exceeds a threshold. Spans of the
-patterns stay; spans of the models are added where they overlap none of those. Positions are code points, ends exclusive.
+labelled samples. Tokens have 12 characters or more, as in the assignment pattern. A token is a secret where the summed
+log-likelihood ratio exceeds THRESHOLD for each step, and for FULL steps at least: short tokens need more evidence a
+character. Spans of the patterns stay; of a secret that they cover in part, what they leave is added in pieces that look
+random with the characters beside them. Positions are code points, ends exclusive.
 
 Cases: a null text is empty and has no spans. Equal rows get equal results. Ties in start are ordered by kind. An empty
 table gives an empty result; the models then know random strings only by rule and identifiers by the built-in sample.
@@ -12,6 +14,7 @@ Columns of the input stay unless they clash with those of the result.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,10 +24,12 @@ from quarry.llm.native import let, uniform
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"[A-Za-z0-9+/_=-]{12,}"
 KINDS = ("assign", "access", "hex", "markov")
 #: Mean log-likelihood ratio of a character (nats) from which a token counts as random.
 THRESHOLD = 0.6
+#: Steps from one character to the next for which a shorter token must make up.
+FULL = 19
 #: Bounds of the labelled sample: documents whose words are identifiers, random strings of each alphabet.
 SAMPLE_DOCS, SAMPLE_RANDOM = 500, 2_000
 SIDE = 128
@@ -32,7 +37,7 @@ RESULT = ("n_assign", "n_access", "n_hex", "n_markov", "base_sha256", "spans", "
 
 
 def labelled(docs: DataFrame, n_docs: int = SAMPLE_DOCS, n_random: int = SAMPLE_RANDOM) -> DataFrame:
-    """(label, token): 1 for random strings in hex, base64 and base32-like alphabets, 0 for words and composed identifiers."""
+    """(label, token): 1 for random strings in hex, base64 and base32-like alphabets, 0 for words, composed identifiers and numbers."""
     spark = docs.sparkSession
     raw = F.sha2(F.concat(F.lit("sample-"), F.col("id").cast("string")), 256)
     random = spark.range(n_random).select(
@@ -42,11 +47,14 @@ def labelled(docs: DataFrame, n_docs: int = SAMPLE_DOCS, n_random: int = SAMPLE_
     words = F.array(*[F.lit(x) for x in parts])
     pick = lambda k: words[(uniform(F.col("id"), F.lit(k)) * len(parts)).cast("int")]
     composed = spark.range(n_random).select(F.explode(F.array(F.concat_ws("_", pick(1), pick(2), pick(3)), F.concat(pick(4), F.initcap(pick(5)), F.initcap(pick(6))), F.concat_ws("/", pick(7), pick(8), pick(9)))).alias("token")).select(F.lit(0).alias("label"), "token")
+    digits = F.lpad(F.pmod(F.xxhash64("id"), F.lit(10**12)).cast("string"), 12, "0")
+    part = lambda a, n: F.substring(digits, a, n)
+    numbers = spark.range(n_random).select(F.explode(F.array(digits, F.concat_ws("-", part(1, 4), part(5, 2), part(7, 2)), F.concat(F.lit("+"), F.concat_ws("-", part(1, 2), part(3, 3), part(6, 7))))).alias("token")).select(F.lit(0).alias("label"), "token")
     ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n_docs)
     prose = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi")
     has = F.concat_ws("|", F.lit(ASSIGN), F.lit(r"AKIA[A-Z0-9]{14,}"), F.lit(r"[0-9a-f]{16,}"))
     prose = prose.select(F.explode(F.regexp_extract_all(F.regexp_replace("text", has, " "), F.lit(r"[A-Za-z_/-]{3,}"), 0)).alias("token")).select(F.lit(0).alias("label"), "token")
-    return random.unionByName(composed).unionByName(prose)
+    return random.unionByName(composed).unionByName(numbers).unionByName(prose)
 
 
 def fit(samples: DataFrame) -> list[float]:
@@ -72,8 +80,11 @@ def fit(samples: DataFrame) -> list[float]:
     return ratio
 
 
-def spans_of(text: Column, pattern: str, keep: Column | None = None) -> Column:
-    """array<struct<s, e, m>> of the leftmost non-overlapping matches: their places follow from the pieces between them."""
+def spans_of(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
+    """array<struct<s, e, m>> of the leftmost non-overlapping matches: their places follow from the pieces between them.
+
+    With keep, only of those for which it is true.
+    """
 
     def place(pieces: Column, matches: Column) -> Column:
         start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out"))
@@ -81,7 +92,8 @@ def spans_of(text: Column, pattern: str, keep: Column | None = None) -> Column:
         def step(acc: Column, i: Column) -> Column:
             s = acc["at"] + F.length(pieces[i])
             e = s + F.length(matches[i])
-            return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), matches[i].alias("m")))).alias("out"))
+            more = F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), matches[i].alias("m"))))
+            return F.struct(e.alias("at"), (more if keep is None else F.when(keep(matches[i]), more).otherwise(acc["out"])).alias("out"))
 
         return F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), start, step, lambda acc: acc["out"])
 
@@ -101,11 +113,23 @@ def scan(docs: DataFrame, ratio: list[float], threshold: float = THRESHOLD) -> D
 
     def score(m: Column) -> Column:
         at = lambda i: F.ascii(F.substr(m, i, F.lit(1)))
-        return F.aggregate(F.sequence(F.lit(1), F.length(m) - 1), F.lit(0.0), lambda s, i: s + F.element_at(table, at(i) * SIDE + at(i + 1) + 1)) / (F.length(m) - 1)
-
-    free = lambda x: ~F.exists(F.col("_base"), lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    d = d.withColumn("_tokens", spans_of(F.col("_t"), CANDIDATE))
-    d = d.withColumn("_markov", F.filter("_tokens", lambda x: free(x) & (score(x["m"]) > threshold)))
+        return F.aggregate(F.sequence(F.lit(1), F.length(m) - 1), F.lit(0.0), lambda s, i: s + F.element_at(table, at(i) * SIDE + at(i + 1) + 1))
+
+    def rest(x: Column) -> Column:
+        """What the patterns leave of a secret token: the token itself, or the pieces that look random."""
+        over = F.filter("_base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+        piece = lambda s, e: F.array(F.struct(s.alias("s"), e.alias("e"), F.substr(x["m"], s - x["s"] + 1, e - s).alias("m")))
+        start = F.struct(x["s"].alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out"))
+        step = lambda acc, b: F.struct(F.greatest(acc["at"], b["e"]).alias("at"), F.when(b["s"] > acc["at"], F.concat(acc["out"], piece(acc["at"], b["s"]))).otherwise(acc["out"]).alias("out"))
+        pieces = F.aggregate(over, start, step, lambda acc: F.when(acc["at"] < x["e"], F.concat(acc["out"], piece(acc["at"], x["e"]))).otherwise(acc["out"]))
+        # a piece is judged with the character on either side of it
+        beside = lambda p: F.substr(x["m"], F.greatest(p["s"] - x["s"], F.lit(1)), F.least(p["e"] + 1, x["e"]) - F.greatest(p["s"] - 1, x["s"]))
+        random = F.filter(pieces, lambda p: let(beside(p), lambda m: score(m) > threshold * (F.length(m) - 1)))
+        return F.when(F.size(over) == 0, F.array(x)).otherwise(random)
+
+    secret = lambda m: score(m) > threshold * F.greatest(F.length(m) - 1, F.lit(FULL))
+    d = d.withColumn("_tokens", spans_of(F.col("_t"), CANDIDATE, secret))
+    d = d.withColumn("_markov", F.flatten(F.transform("_tokens", rest)))
     d = d.withColumn("_all", F.array_sort(F.concat(F.col("_base"), tag("_markov", 3))))
     kinds = F.array(*[F.lit(k) for k in KINDS])
     joined = lambda c: F.array_join(F.transform(F.col(c), lambda x: F.concat_ws(":", kinds[x["k"]], x["s"].cast("string"), x["e"].cast("string"))), ",")

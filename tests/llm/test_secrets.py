@@ -62,3 +62,13 @@ def test_held_out_accuracy(spark):
     got = {r.doc_id: r.n_markov for r in scan(df, ratio).collect()}
     assert sum(got[i] for i in range(200)) >= 190
     assert sum(got[i] for i in range(200, 200 + len(plain))) <= 3
+
+
+def test_short_and_partly_covered_tokens(spark):
+    texts = ["pw: Zx9Kq2LmV7bT4wRj", "key Qz7Rk2XvW9pLmZx9Kq2L0123456789abcdefZx9Kq2LmV7bT4wRj8NcY end", "call +49-171-2345678 on 2026-01-02 or 202601021234", "internationalization getUserNameList Verantwortung config/default", "my_password=Zx9Kq2LmV7bT4wRj"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r for r in scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), fit(labelled(docs))).collect()}
+    check(got.values(), dict(enumerate(texts)))
+    assert got[0].secrets == ["Zx9Kq2LmV7bT4wRj"]
+    assert got[1].secrets == ["Qz7Rk2XvW9pLmZx9Kq2L", "0123456789abcdef", "Zx9Kq2LmV7bT4wRj8NcY"]
+    assert [got[i].n_markov for i in (2, 3, 4)] == [0, 0, 0]
