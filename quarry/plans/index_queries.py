@@ -93,8 +93,17 @@ def like_fallback(s, d):
 
 
 def doc_targeted_score(s, d):
-    """Chunks of chosen documents by where they hold the terms, the best two of each."""
-    c = line_chunks(corpus(s, d).where("doc_id IN (1, 11, 12, 17, 28, 30)"), "title", "relative_path")
+    """Chunks of the documents that its SQL names by where they hold the terms, the best two of each."""
+    return best_chunks(corpus(s, d).where("doc_id IN (1, 11, 12, 17, 28, 30)"))
+
+
+def doc_scores(s, d):
+    """The same of all documents."""
+    return best_chunks(corpus(s, d))
+
+
+def best_chunks(docs: DataFrame) -> DataFrame:
+    c = line_chunks(docs, "title", "relative_path")
     score = F.lit(0)
     for t in ("the", "ention"):
         score = score + F.when(F.col("title").contains(t), 10).otherwise(0) + F.when(F.col("relative_path").contains(t), 6).otherwise(0) + F.when(F.col("chunk_text").contains(t), 4).otherwise(0)
@@ -174,7 +183,6 @@ def sparse_headings(s, d):
     return c.groupBy("doc_id", "heading").agg(F.min("ordinal").alias("ordinal"))
 
 
-TITLES = ["【复用】星河活动 v1.2 2026-01-02", "奖励配置 说明文档", "plain title", "活动方案", "pool_001 version 3", "（旧版）轮盘_玩法"]
 TEXTS = ["2026.01.02_2026.03.04 / 20260805_20260901 / 20260805", "20260100 20260231", "于 2026年3月5日 更新", "2026/7 x", "no date 12026-01-02", "20251231"]
 
 
@@ -185,6 +193,11 @@ def find_dates_literals(s, d):
 DATES_SQL = "SELECT * FROM (VALUES (CAST(0 AS BIGINT), '2026-01-02,2026-03-04,2026-08-05,2026-09-01'), (1, ''), (2, '2026-03-05'), (3, '2026-07-01'), (4, ''), (5, '2025-12-31')) AS v(id, dates)"
 
 
+def find_dates_texts(s, d):
+    """Dates of whole texts."""
+    return corpus(s, d).select("doc_id", F.array_join(F.transform(T.find_dates(F.col("text")), lambda x: x.cast("string")), ",").alias("dates"))
+
+
 def section_classify(s, d):
     heads = F.element_at(F.array(*[F.lit(x) for x in ("奖励数值", "玩法规则", "panel", "", "背景", "drop table id")]), (F.col("doc_id") % 6 + 1).cast("int"))
     return corpus(s, d).select("doc_id", T.classify_section(heads, F.lower(F.left("text", F.lit(240)))).alias("section"))
@@ -196,8 +209,8 @@ def _section_sql() -> str:
 
 
 def family_key_titles(s, d):
-    k = T.family_key(T.normalize_text(F.col("t")))
-    return s.createDataFrame([(i, t) for i, t in enumerate(TITLES)], "id long, t string").select("id", k.alias("k")).select("id", "k.key", F.round("k.confidence", 4).alias("confidence"))
+    k = T.family_key(T.normalize_text(F.col("title")))
+    return corpus(s, d).select("doc_id", k.alias("k")).select("doc_id", "k.key", F.round("k.confidence", 4).alias("confidence"))
 
 
 def normalized_titles(s, d):
@@ -220,6 +233,7 @@ QUERIES = {
     "exact_anchor_rank": (exact_anchor_rank, f"{WITH}, t AS (SELECT unnest(['the', 'idiot', 'src1/en']) AS term), h AS (SELECT term, doc_id, content_hash, effective_date, relative_path, CAST(CASE WHEN title = term THEN 0 WHEN contains(title, term) THEN 1 WHEN contains(relative_path, term) THEN 2 ELSE 3 END AS BIGINT) AS level FROM corpus, t WHERE contains(title, term) OR contains(relative_path, term) OR contains(text, term)), a AS (SELECT *, row_number() OVER (PARTITION BY term, content_hash ORDER BY level, effective_date DESC, relative_path, doc_id) AS r FROM h), b AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY level, effective_date DESC, relative_path, doc_id) AS rank FROM a WHERE r = 1) SELECT term, rank, doc_id, level FROM b WHERE rank <= 4"),
     "like_fallback": (like_fallback, f"{WITH} SELECT doc_id, CAST(effective_date AS VARCHAR) AS effective_date FROM corpus WHERE contains(lower(title), 'idiot') OR contains(lower(text), 'idiot') OR contains(text, '|') OR contains(text, '%%%') ORDER BY corpus.effective_date DESC, relative_path, doc_id LIMIT 50"),
     "doc_targeted_score": (doc_targeted_score, f"{WITH_CHUNKS}, s AS (SELECT doc_id, ordinal, CAST((CASE WHEN contains(title, 'the') THEN 10 ELSE 0 END) + (CASE WHEN contains(relative_path, 'the') THEN 6 ELSE 0 END) + (CASE WHEN contains(chunk_text, 'the') THEN 4 ELSE 0 END) + (CASE WHEN contains(title, 'ention') THEN 10 ELSE 0 END) + (CASE WHEN contains(relative_path, 'ention') THEN 6 ELSE 0 END) + (CASE WHEN contains(chunk_text, 'ention') THEN 4 ELSE 0 END) AS BIGINT) AS score FROM chunks WHERE doc_id IN (1, 11, 12, 17, 28, 30)), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ordinal) AS rank FROM s) SELECT * FROM r WHERE rank <= 2"),
+    "doc_scores": (doc_scores, f"{WITH_CHUNKS}, s AS (SELECT doc_id, ordinal, CAST((CASE WHEN contains(title, 'the') THEN 10 ELSE 0 END) + (CASE WHEN contains(relative_path, 'the') THEN 6 ELSE 0 END) + (CASE WHEN contains(chunk_text, 'the') THEN 4 ELSE 0 END) + (CASE WHEN contains(title, 'ention') THEN 10 ELSE 0 END) + (CASE WHEN contains(relative_path, 'ention') THEN 6 ELSE 0 END) + (CASE WHEN contains(chunk_text, 'ention') THEN 4 ELSE 0 END) AS BIGINT) AS score FROM chunks), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ordinal) AS rank FROM s) SELECT * FROM r WHERE rank <= 2"),
     "latest_per_family": (latest_per_family, f"{WITH}, r AS (SELECT *, row_number() OVER (PARTITION BY family_key ORDER BY effective_date DESC, relative_path, doc_id) AS r FROM corpus) SELECT family_key, doc_id, CAST(effective_date AS VARCHAR) AS effective_date FROM r WHERE r = 1"),
     "version_chain": (version_chain, f"{WITH} SELECT doc_id, CAST(effective_date AS VARCHAR) AS effective_date, title FROM corpus WHERE family_key = 'src1:en' ORDER BY corpus.effective_date DESC, relative_path LIMIT 30"),
     "request_filters": (request_filters, f"{WITH} SELECT doc_id, lang, CAST(effective_date AS VARCHAR) AS effective_date FROM corpus WHERE source_kind = 'design' AND lang IN ('en', 'de') AND corpus.effective_date BETWEEN DATE '2024-03-01' AND DATE '2024-09-30'"),
@@ -235,6 +249,7 @@ QUERIES = {
     "chunk_lengths": (chunk_lengths, f"{WITH_CHUNKS} SELECT doc_id, count(*) AS chunks, CAST(sum(length(chunk_text)) AS BIGINT) AS chars, max(ordinal) AS last FROM chunks GROUP BY 1"),
     "sparse_headings": (sparse_headings, f"{WITH_CHUNKS} SELECT doc_id, left(chunk_text, 3) AS heading, min(ordinal) AS ordinal FROM chunks GROUP BY 1, 2"),
     "find_dates_literals": (find_dates_literals, DATES_SQL),
+    "find_dates_texts": (find_dates_texts, None),
     "section_classify": (section_classify, _section_sql()),
     "family_key_titles": (family_key_titles, None),
     "normalized_titles": (normalized_titles, None),
