@@ -173,6 +173,15 @@ def semantic_rescore(s, d):
     return e.join(F.broadcast(q)).select("vec_id", F.round(T.cosine(F.col("embedding"), F.col("q")), 5).alias("similarity")).orderBy(F.desc("similarity"), "vec_id").limit(80)
 
 
+def semantic_neighbours(s, d):
+    """Every row whose id is divisible by 20 against all rows: the nearest 80 of each."""
+    e = table(s, d, "embeddings")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    pairs = e.crossJoin(q).select("query_id", "vec_id", F.round(T.cosine(F.col("embedding"), F.col("q")), 5).alias("similarity"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
+    return pairs.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 80")
+
+
 def chunk_lengths(s, d):
     return line_chunks(corpus(s, d)).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.length("chunk_text")).alias("chars"), F.max("ordinal").alias("last"))
 
@@ -246,6 +255,7 @@ QUERIES = {
     "missing_deleted": (missing_deleted, f"{WITH} SELECT source, CAST(sum(CASE WHEN doc_id % 4 = 0 AND source IN ('src1', 'src2') THEN 1 ELSE 0 END) AS BIGINT) AS deleted, count(*) AS documents FROM corpus GROUP BY 1"),
     "incremental_upsert": (incremental_upsert, f"{WITH} SELECT CASE WHEN doc_id % 2 = 0 THEN 'new' ELSE 'old' END AS version, count(*) AS documents FROM corpus WHERE doc_id % 2 = 0 OR doc_id % 3 <> 0 GROUP BY 1"),
     "semantic_rescore": (semantic_rescore, "WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 5) AS similarity FROM embeddings, q ORDER BY similarity DESC, vec_id LIMIT 80"),
+    "semantic_neighbours": (semantic_neighbours, "WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 5) AS similarity FROM embeddings, q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, similarity, rank FROM r WHERE rank <= 80"),
     "chunk_lengths": (chunk_lengths, f"{WITH_CHUNKS} SELECT doc_id, count(*) AS chunks, CAST(sum(length(chunk_text)) AS BIGINT) AS chars, max(ordinal) AS last FROM chunks GROUP BY 1"),
     "sparse_headings": (sparse_headings, f"{WITH_CHUNKS} SELECT doc_id, left(chunk_text, 3) AS heading, min(ordinal) AS ordinal FROM chunks GROUP BY 1, 2"),
     "find_dates_literals": (find_dates_literals, DATES_SQL),

@@ -19,3 +19,9 @@ def test_family_key_of_literals(spark):
     k = T.family_key(T.normalize_text(F.col("t")))
     got = spark.createDataFrame([(t,) for t in TITLES], "t string").select(k.alias("k")).select("k.key", "k.confidence").collect()
     assert len(got) == len(TITLES) and all(r.confidence is not None for r in got)
+
+
+def test_every_twentieth_vector_is_a_query(spark):
+    ids = [r.vec_id for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").collect()]
+    got = registry.queries()["semantic_neighbours"](spark, SF).groupBy("query_id").count().collect()
+    assert {r.query_id: r["count"] for r in got} == {i: min(80, len(ids)) for i in ids if i % 20 == 0}
