@@ -1,8 +1,12 @@
-"""Blocks of text of an HTML page, each with keys of the elements around it: one pass over the tags."""
+"""Blocks of text of an HTML page and the tree of elements around them, each with a hash of its subtree.
+
+One pass over the tags; time and memory grow with the page's length, however deep it is.
+"""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from hashlib import blake2b
 from html import unescape
 
@@ -36,20 +40,33 @@ WALLS = frozenset("article aside section div table td th nav header footer main
 
 
 class Element:
-    __slots__ = ("tag", "dead", "heads_only", "article", "main", "region", "named", "parts", "blocks")
-
-    def __init__(self, tag: str, up: Element | None):
-        self.tag = tag
-        self.dead = up.dead if up else False
-        self.heads_only = up.heads_only if up else False
-        self.article = up.article if up else False
-        self.main = up.main if up else False
+    """An element; its blocks are those of page order from first to last, end excluded."""
+
+    __slots__ = ("tag", "up", "dead", "heads_only", "heading", "article", "main", "region", "named", "outer", "parts", "first", "last", "digest")
+
+    def __init__(self, tag: str, up: Element | None, first: int):
+        self.tag, self.up, self.first, self.last = tag, up, first, first
+        self.dead, self.heads_only = (up.dead, up.heads_only) if up else (False, False)
+        self.heading = tag in HEADINGS or (up is not None and up.heading)
+        self.article, self.main = (up.article, up.main) if up else (False, False)
         #: The innermost article or main element around this one.
         self.region: Element | None = (up if up.tag in ("article", "main") else up.region) if up else None
-        #: Elements around, and this one, whose names speak against them: (element, whether headings stay).
-        self.named: tuple = up.named if up else ()
-        self.parts: list[str] = []
-        self.blocks: list[int] = []
+        #: Whether its own name speaks against it: "all", or "heads" where headings stay.
+        self.named = ""
+        #: Whether an element around, or this one, outside of articles, or outside of main elements, has such a name.
+        self.outer: tuple[bool, bool] = up.outer if up else (False, False)
+        self.parts: list[bytes] = []
+        self.digest = b""
+
+
+class Block:
+    __slots__ = ("text", "article", "main", "links", "dead", "heading", "at")
+
+    def __init__(self, text: str, links: float, at: Element):
+        self.text, self.links, self.at = text, links, at
+        self.article, self.main, self.heading = at.article, at.main, at.heading
+        #: Part of an element that is never article, by tag, role or name.
+        self.dead = at.dead or (at.heads_only and not ((at.article or at.main) and at.heading))
 
 
 def mark(e: Element, tag: str, attributes: str) -> None:
@@ -70,86 +87,98 @@ def mark(e: Element, tag: str, attributes: str) -> None:
         e.heads_only = True
     elif names and role != "main" and tag not in ("html", "body", "main", "article"):
         if MARKS.search(names):
-            e.named = (*e.named, (e, False))
+            e.named = "all"
         elif HEADER.search(names):
-            e.named = (*e.named, (e, True))
+            e.named = "heads"
+        if e.named:
+            e.outer = (e.outer[0] or not e.article, e.outer[1] or not e.main)
     if tag == "article":
         e.article = True
     elif tag == "main" or role == "main":
         e.main = True
 
 
-def judge_names(out: list, facts: list) -> None:
-    """Kill the blocks of elements whose names speak against them, unless more than a name speaks for them.
-
-    An element stays if it holds the page's only articles, or its only main elements, or more than half of its prose.
-    """
-    prose = [0 if b[4] or b[3] >= LINKED else len(b[0]) for b in out]
-    free = [any(not b[4] and b[i] and not any(not (e.article, e.main)[i - 1] for e, _ in f[0]) for b, f in zip(out, facts, strict=True)) for i in (1, 2)]
-    stays = {}
-    for named, _ in facts:
-        for e, _ in named:
-            if e not in stays:
-                article = not e.article and any(out[k][1] for k in e.blocks)
-                only = not free[0] and (article or (not free[1] and not e.main and any(out[k][2] for k in e.blocks)))
-                stays[e] = only or 2 * sum(prose[k] for k in e.blocks) > sum(prose)
-    for b, (named, heading) in zip(out, facts, strict=True):
-        b[4] = b[4] or any(not stays[e] and not (heads and heading and (b[1] or b[2])) for e, heads in named)
-
-
-def keys_of(out: list, closed: list) -> list[int]:
-    """Give each block the keys of the elements around it that may be template; returns the keys that aren't evidence.
-
-    Outside of articles and main elements a key stands for the element's tag and text. Inside, an element counts that is
-    no paragraph or heading itself, whatever it holds: by its place from either end of the article (even keys) and
-    anywhere in it (odd keys). An element with more than half of the page's or article's text is no evidence there.
-    """
-    size = lambda blocks: sum(len(out[k][0]) for k in blocks if not out[k][4])
-    page = size(range(len(out)))
-    regions: dict = {}
-    most = set()
-    for e, h in closed:
-        n = size(e.blocks)
-        r = e.region
-        if not n or (r and (e.tag == "p" or e.tag in HEADINGS)):
-            continue
-        if r:
-            if r not in regions:
-                regions[r] = size(r.blocks)
-            keys = [(int.from_bytes(x, "big", signed=True) & ~1) | odd for x, odd in ((placed(h, "s", e.blocks[0] - r.blocks[0]), 0), (placed(h, "e", r.blocks[-1] - e.blocks[-1]), 0), (h.digest(), 1))]
-        else:
-            keys = [int.from_bytes(h.digest(), "big", signed=True) & ~1]
-        for k in e.blocks:
-            out[k][5].extend(keys)
-        if 2 * n > (regions[r] if r else page):
-            most.update(keys)
-    return sorted(most)
-
-
-def placed(h, side: str, at: int) -> bytes:
-    h = h.copy()
-    h.update(f"\n{side}{at}".encode())
-    return h.digest()
-
-
-def blocks_of(html: str, owners: bool = True) -> list[tuple[str, bool, bool, float, bool, list[int]]]:
-    """(text, in article, in main, share of link text, dead, keys) of every block, in page order; see page_blocks."""
-    return page_blocks(html, owners)[0]
-
-
-def page_blocks(html: str, owners: bool = True) -> tuple[list[tuple[str, bool, bool, float, bool, list[int]]], list[int]]:
-    """The blocks of a page, and the keys that are no evidence (see keys_of).
-
-    A dead block belongs to an element that is never article. Without owners, nothing is hashed and names aren't judged.
-    """
-    out: list = []
-    facts: list = []
-    closed: list = []
-    root = Element("html", None)
-    stack = [root]
+def sums(values) -> list[int]:
+    """Sums of the first 0, 1, 2, ... values."""
+    out = [0]
+    for v in values:
+        out.append(out[-1] + v)
+    return out
+
+
+class Page:
+    """Blocks and elements (in the order of their opening tags) of a page."""
+
+    def __init__(self, blocks: list[Block], elements: list[Element]):
+        self.blocks, self.elements = blocks, elements
+
+    def judge_names(self) -> None:
+        """Kill the blocks of elements whose names speak against them, unless more than a name speaks for them.
+
+        An element stays if it holds the page's only articles, or its only main elements, or more than half of its prose.
+        """
+        prose = sums(0 if b.dead or b.links >= LINKED else len(b.text) for b in self.blocks)
+        free = [any(not b.dead and on(b) and not b.at.outer[i] for b in self.blocks) for i, on in enumerate((lambda b: b.article, lambda b: b.main))]
+        articles, mains = (sums(map(on, self.blocks)) for on in (lambda b: b.article, lambda b: b.main))
+        inside = lambda s, e: s[e.last] - s[e.first]
+        killed: dict[Element, str] = {}
+        for e in self.elements:
+            of = killed.get(e.up, "") if e.up else ""
+            if e.named and of != "all":
+                article = not e.article and inside(articles, e) > 0
+                only = not free[0] and (article or (not free[1] and not e.main and inside(mains, e) > 0))
+                if not (only or 2 * inside(prose, e) > prose[-1]):
+                    of = e.named
+            if of:
+                killed[e] = of
+        for b in self.blocks:
+            of = killed.get(b.at, "")
+            b.dead = b.dead or of == "all" or (of == "heads" and not (b.heading and (b.article or b.main)))
+
+    def keys(self, seed: bytes) -> tuple[dict[Element, list[int]], set[int]]:
+        """Keys of the elements that may be template, and those of them that are no evidence on this page.
+
+        Outside of articles and main elements a key stands for the element's subtree. Inside, an element counts that is
+        no paragraph or heading itself, whatever it holds: by its place from either end of the article (even keys) and
+        anywhere in it (odd keys). An element with more than half of the page's or article's text is no evidence there;
+        text that is dead anyway counts only where an element has nothing else. seed (the host) is part of every key.
+        """
+        live, every = sums(0 if b.dead else len(b.text) for b in self.blocks), sums(len(b.text) for b in self.blocks)
+        out: dict[Element, list[int]] = {}
+        most: set[int] = set()
+        for e in self.elements:
+            r = e.region
+            if not e.digest or (r and (e.tag == "p" or e.tag in HEADINGS)):
+                continue
+            size = live if live[e.last] > live[e.first] else every
+            n, around = size[e.last] - size[e.first], size[r.last] - size[r.first] if r else size[-1]
+            if r:
+                keys = [number(seed, e.digest, b"s%d" % (e.first - r.first)) & ~1, number(seed, e.digest, b"e%d" % (r.last - e.last)) & ~1, number(seed, e.digest, b"") | 1]
+            else:
+                keys = [number(seed, e.digest, b"") & ~1]
+            out[e] = keys
+            if 2 * n > around:
+                most.update(keys)
+        return out, most
+
+
+def number(*parts: bytes) -> int:
+    return int.from_bytes(blake2b(b"\0".join(parts), digest_size=8).digest(), "big", signed=True)
+
+
+def blocks_of(html: str) -> list[str]:
+    """The texts of a page's blocks, in page order."""
+    return [b.text for b in parse(html, hashed=False).blocks]
+
+
+def parse(html: str, hashed: bool = True) -> Page:
+    """The page; unless hashed, no element has a digest."""
+    out: list[Block] = []
+    root = Element("html", None, 0)
+    elements, stack = [root], [root]
+    open_tags: Counter = Counter(html=1)
     text: list[str] = []
     links = 0
-    in_link = 0
 
     def flush() -> None:
         nonlocal links
@@ -157,30 +186,36 @@ def page_blocks(html: str, owners: bool = True) -> tuple[list[tuple[str, bool, b
             t = " ".join(unescape("".join(text)).split())
             text.clear()
             if t:
-                top = stack[-1]
-                heading = any(e.tag in HEADINGS for e in stack)
-                dead = top.dead or (top.heads_only and not ((top.article or top.main) and heading))
-                k = len(out)
-                out.append([t, top.article, top.main, links / len(t), dead, []])
-                facts.append((top.named, heading))
-                for e in stack if owners else ():
-                    e.blocks.append(k)
-                    e.parts.append(t)
+                out.append(Block(t, links / len(t), stack[-1]))
+                if hashed:
+                    stack[-1].parts.append(t.encode(errors="surrogatepass"))
         links = 0
 
-    def close(e: Element) -> None:
-        if owners and e.tag in BLOCK and e.blocks and e.tag not in ("html", "body", "main", "article"):
-            closed.append((e, blake2b(f"{e.tag}\n".encode() + "\n".join(e.parts).encode(), digest_size=8)))
-
     def pop_to(i: int) -> None:
         """Close the elements from stack[i] on."""
-        nonlocal in_link
         if any(e.tag in BLOCK for e in stack[i:]):
             flush()
         while len(stack) > i:
             e = stack.pop()
-            in_link -= e.tag == "a"
-            close(e)
+            open_tags[e.tag] -= 1
+            e.last = len(out)
+            if hashed and e.parts:
+                digest = blake2b(b"\n".join([e.tag.encode(errors="surrogatepass"), *e.parts]), digest_size=8).digest()
+                stack[-1].parts.append(digest)
+                if e.tag in BLOCK and e.tag not in ("html", "body", "main", "article"):
+                    e.digest = digest
+                e.parts.clear()
+
+    def close_open(kinds: set[str], walls: set[str]) -> None:
+        """Close the innermost open element of the kinds, unless a wall stands between."""
+        if not any(open_tags[k] for k in kinds):
+            return
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].tag in kinds:
+                pop_to(i)
+                return
+            if stack[i].tag in walls:
+                return
 
     at, n = 0, len(html)
     while at < n:
@@ -188,7 +223,7 @@ def page_blocks(html: str, owners: bool = True) -> tuple[list[tuple[str, bool, b
         piece = html[at : m.start() if m else n]
         if piece:
             text.append(piece)
-            if in_link:
+            if open_tags["a"]:
                 links += len(piece.strip())
         if not m:
             break
@@ -199,12 +234,7 @@ def page_blocks(html: str, owners: bool = True) -> tuple[list[tuple[str, bool, b
             continue
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    pop_to(i)
-                    break
-                if stack[i].tag in WALLS and tag not in WALLS:
-                    break
+            close_open({tag}, WALLS if tag not in WALLS else frozenset())
             if tag in BLOCK:
                 flush()
             continue
@@ -213,34 +243,21 @@ def page_blocks(html: str, owners: bool = True) -> tuple[list[tuple[str, bool, b
             at = end.end() if end else n
             continue
         if tag in CLOSES:
-            kinds, walls = CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in kinds:
-                    pop_to(i)
-                    break
-                if stack[i].tag in walls:
-                    break
+            close_open(*CLOSES[tag])
         if tag in NO_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    pop_to(i)
-                    break
-                if stack[i].tag in WALLS:
-                    break
+            close_open({"p"}, WALLS)
         if tag in SPACED:
             text.append(" ")
         if tag in BLOCK:
             flush()
         if tag in VOID or (m[3].endswith("/") and tag not in BLOCK):
             continue
-        e = Element(tag, stack[-1])
+        e = Element(tag, stack[-1], len(out))
         mark(e, tag, m[3])
         stack.append(e)
-        in_link += tag == "a"
+        elements.append(e)
+        open_tags[tag] += 1
     pop_to(1)
     flush()
-    most: list[int] = []
-    if owners:
-        judge_names(out, facts)
-        most = keys_of(out, closed)
-    return [tuple(b) for b in out], most
+    root.last = len(out)
+    return Page(out, elements)

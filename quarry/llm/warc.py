@@ -93,7 +93,7 @@ def derive(headers: list[tuple[str, str]], block: bytes) -> list[dict]:
         page = payload.decode(charset, "replace")
     except LookupError:
         page = payload.decode("utf-8", "replace")
-    plain = "\n".join(b[0] for b in blocks_of(page, owners=False)) if "html" in kind or not kind else page if kind.startswith("text/") else ""
+    plain = "\n".join(blocks_of(page)) if "html" in kind or not kind else page if kind.startswith("text/") else ""
     actual = digest(payload)
     source, uri, date = h["warc-record-id"], h.get("warc-target-uri"), h.get("warc-date", DATE)
     ids = {k: record_id(k, source) for k in ("conversion", "metadata")}

@@ -1,7 +1,7 @@
 import re
 from html import unescape
 
-from quarry.llm.html_blocks import blocks_of
+from quarry.llm.html_blocks import blocks_of, parse
 from quarry.llm.html_text import main_text, op1_template_free_text
 from tests.conftest import SF
 
@@ -60,7 +60,7 @@ def test_templates_go(spark):
 def test_broken_pages():
     for t in ("<", "<a", "<p", "<!--", "<div class='x", "</p></p>", "<![CDATA[ x ]]>", "<script>", "<p/>x", "a<b>c" * 2000 + "</b>" * 50, "<div>" * 3000 + "x"):
         blocks_of(t)
-    assert [b[0] for b in blocks_of("<p>a<div>b</p>c</div>d")] == ["a", "b", "c", "d"]
+    assert blocks_of("<p>a<div>b</p>c</div>d") == ["a", "b", "c", "d"]
 
 
 def texts(spark, rows):
@@ -96,3 +96,28 @@ def test_names_alone_kill_no_article(spark):
     ]
     got = texts(spark, [(i, f"http://n{i}.example/", b) for i, b in enumerate(bodies)])
     assert [got[i].replace("\nx", "") for i in range(5)] == ["Body text."] * 5
+
+
+def test_templates_go_where_names_say_nothing(spark):
+    menu, foot = "<div class=q1><span>Start</span> <span>Wares</span></div>", "<div class=q2><p>Street 5, Town. All prices with tax.</p></div>"
+    rows = [(i, f"http://plain.example/{i}", f"{menu}<div class=q3><p>Text {i} of the page, in words of its own.</p></div>{foot}") for i in range(9)]
+    rows += [(100 + i, "http://tags.example/", f"<nav>Menu</nav><p>Text {i}.</p>") for i in range(2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for most in (1 << 20, 0):  # templates by broadcast, and by join
+        got = {r.page_id: r for r in main_text(df, most_templates=most).collect()}
+        assert all((got[i].text, got[i].n_template, got[i].n_rules) == (f"Text {i} of the page, in words of its own.", 2, 0) for i in range(9))
+        assert all((got[100 + i].text, got[100 + i].n_template, got[100 + i].n_rules) == (f"Text {i}.", 0, 1) for i in range(2))
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    took = []
+    for n in (5_000, 40_000):
+        began = time.process_time()
+        page = parse("<div class=menu-x>x<b>" * n + "</i>" * n)
+        page.judge_names()
+        keys, _ = page.keys(b"h")
+        took.append(time.process_time() - began)
+        assert len(keys) == n and sum(map(len, keys.values())) == n
+    assert took[1] < 8 * 4 * took[0] + 1
