@@ -15,6 +15,8 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import partial
+from itertools import accumulate, chain, compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +31,41 @@ from quarry.session import ship, stored
 
 TOKENIZER, END_ID, SHARD_TOKENS = "word_bpe_49k.json", 1, 1 << 20
 #: Bytes of text encoded at once; words in each of two generations kept between blocks; the longest word kept.
-BLOCK, MOST_WORDS, LONG_WORD = 1 << 22, 300_000, 48
+BLOCK, MOST_WORDS, LONG_WORD = 1 << 22, 400_000, 48
 NO_ID = -(1 << 63)
+#: ASCII marks but the apostrophe: behind a letter or digit (of ASCII, or in two bytes) such tokenizers part them from it.
+MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39)
+LETTERS = frozenset(c.encode() for c in map(chr, range(0x250)) if (c.isalpha() and c != "\u0130") or c in "0123456789")
+#: Starts the names of special tokens; combining marks from U+0300 begin with one of these bytes.
+SPECIAL, COMBINING = b"<|", (b"\xcc", b"\xcd")
+#: Stands between words that are encoded together.
+NUL = b"\0"
+
+
+class Memory(dict):
+    """Ids of byte strings in two generations: what is met again moves on, the rest goes."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.older: dict[bytes, bytes] = {}
+
+    def missing(self, wanted: set[bytes]) -> list[bytes]:
+        """Those of wanted that neither generation has."""
+        if len(self) > MOST_WORDS:
+            self.older = dict(self)
+            self.clear()
+        new = wanted.difference(self)
+        again = new.intersection(self.older)
+        self.update((w, self.older[w]) for w in again)
+        return list(new.difference(again))
 
 
 class Encoder:
     """ids of texts by the tokenizers library, a word at a time where the tokenizer drops white space anyway.
 
     Normaliser, pre-tokeniser and merges of such a tokenizer never reach across white space: the ids of a text are
-    those of its words, one after the other. Words are encoded when first met and kept.
+    those of its words, one after the other. Words are encoded when first met, many at once, and kept; marks behind a
+    word's last letter or digit are words of their own. All that is tried on a probe; where it fails, texts are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -48,11 +76,12 @@ class Encoder:
         size = self.tokenizer.get_vocab_size()
         self.n_planes = max(1, (size - 1).bit_length())
         self.dtype = np.dtype("<u2" if self.n_planes <= 16 else "<u4")
-        probe = ["probe", " \n\t\r"]
-        a, b, c = (self.tokenizer.encode(x, add_special_tokens=False).ids for x in (probe[0], probe[1], f"{probe[0]}{probe[1]}{probe[0]}"))
-        self.by_word = not b and c == a + a
-        self.kept: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.words, self.stems = Memory(), Memory()
+        ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        nul = ids("\0")
+        self.by_word = not ids(" \n\t\r") and ids("probe \n\t\rProbe") == ids("probe") * 2 and len(nul) == 1 and ids("a \0 b") == ids("a") + nul + ids("b")
+        self.by_word = self.by_word and all(ids(f"{w}{m}") == ids(w) + ids(m) for w in ("probe", "9", "\xe9", "\xdf") for m in (",", ".%%", "$(", '"!?', "_", "-"))
+        self.nul = np.array(nul[:1], self.dtype)
 
     def raw(self, texts: list[str]) -> list[bytes]:
         kind = "H" if self.dtype.itemsize == 2 else "I"
@@ -60,23 +89,55 @@ class Encoder:
             return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def together(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words without NUL, a few hundred in one text."""
+        out: list[bytes] = []
+        for a in range(0, len(words), 256):
+            part = words[a : a + 256]
+            ids = np.frombuffer(self.raw([b" \0 ".join(part).decode()])[0], self.dtype)
+            cuts = [0, *(np.flatnonzero(ids == self.nul) * self.dtype.itemsize).tolist()]
+            data, step = ids.tobytes(), self.dtype.itemsize
+            out.append(data[: cuts[1]] if len(cuts) > 1 else data)
+            out += [data[p + step : q] for p, q in zip(cuts[1:], [*cuts[2:], len(data)], strict=True)]
+        return out
+
+    def learn(self, new: list[bytes]) -> None:
+        """Put the ids of new words into memory."""
+        odd = [w for w in new if len(w) > 256 or SPECIAL in w or NUL in w]
+        self.words.update(zip(odd, self.raw([w.decode() for w in odd]), strict=True))
+        plain = list(set(new).difference(odd)) if odd else new
+        heads = [w.rstrip(MARKS) for w in plain]
+        heads = [h if len(h) < len(w) and (h[-1:] in LETTERS or h[-2:] in LETTERS) else w for h, w in zip(heads, plain, strict=True)]
+        tails = [w[len(h) :] for h, w in zip(heads, plain, strict=True)]
+        known = self.stems
+        stems = known.missing(set(heads).union(tails))
+        known.update(zip(stems, self.together(stems), strict=True))
+        known[b""] = b""
+        self.words.update((w, known[h] + known[t]) for w, h, t in zip(plain, heads, tails, strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self.raw(texts)
-        if len(self.kept) > MOST_WORDS:  # words that are met again move on, others go
-            self.kept, self.older = {}, self.kept
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        found, older = self.kept, self.older
-        new = set().union(*split).difference(found)
-        again = new.intersection(older)
-        found.update((w, older[w]) for w in again)
-        new = list(new.difference(again))
-        found.update(zip(new, self.raw(new), strict=True))
-        out = [b"".join(map(found.__getitem__, w)) for w in split]
+        split = [b.split() for b in map(self.folded, texts)]
+        flat = list(chain.from_iterable(split))
+        found = list(map(self.words.get, flat))
+        missed = list(compress(range(len(flat)), map(not_, found)))
+        wanted = {flat[i] for i in missed}
+        new = self.words.missing(wanted)
+        self.learn(new)
+        for i in missed:
+            found[i] = self.words[flat[i]]
         for w in new:
             if len(w) > LONG_WORD:
-                del found[w]
-        return out
+                del self.words[w]
+        ends = list(accumulate(map(len, split), initial=0))
+        return [b"".join(found[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+
+    @staticmethod
+    def folded(text: str) -> bytes:
+        """UTF-8, with A-Z as a-z where that changes no ids: not beside combining marks, nor in special tokens."""
+        b = text.encode()
+        return b if SPECIAL in b or any(c in b for c in COMBINING) else b.lower()
 
 
 _encoders: dict[str, Encoder] = {}

@@ -1,7 +1,9 @@
 """Wavelet matrix over token ids: bit-planes with ranks, in one compressed file.
 
 File: magic, then a header (ids, planes, documents; zeros of each plane), the documents' ids and lengths, and the planes,
-highest bit first, each compressed by itself and opened only when asked for. Directories of ranks are rebuilt on opening.
+highest bit first, each compressed by itself and opened only when asked for. The directory of ranks has two levels, ones
+before each superblock of 65,536 bits and, in 16 bits, before each block of 512 bits in it: 3 % of the plane. It takes one
+pass of popcounts, so that it is made on opening and not stored.
 """
 
 from __future__ import annotations
@@ -14,43 +16,60 @@ import zstandard
 
 MAGIC = b"WVM1"
 HEAD = struct.Struct("<4sQII")
-WORD = 64
+#: Bits of a word, words of a block, blocks of a superblock.
+WORD, BLOCK, SUPER = 64, 8, 128
 
 
 class Plane:
     """Bits with rank and select."""
 
     def __init__(self, packed: np.ndarray, n: int):
-        self.packed, self.n = packed, n
+        self.n = n
+        step = WORD // 8 * BLOCK
+        self.words = np.frombuffer(packed.tobytes() + bytes(-len(packed) % step or step * (not len(packed))), "<u8")
 
     @cached_property
     def bits(self) -> np.ndarray:
-        return np.unpackbits(self.packed, count=self.n, bitorder="little").view(bool)
+        return np.unpackbits(self.words.view(np.uint8), count=self.n, bitorder="little").view(bool)
 
     @cached_property
-    def words(self) -> np.ndarray:
-        return np.frombuffer(self.packed.tobytes() + bytes(-len(self.packed) % 8), "<u8")
-
-    @cached_property
-    def ranks(self) -> np.ndarray:
-        """Ones before each word."""
-        return np.concatenate(([0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)))
+    def _blocks(self) -> tuple[np.ndarray, np.ndarray]:
+        """Ones before each superblock, and before each block within its superblock."""
+        ones = np.bitwise_count(self.words).reshape(-1, BLOCK).sum(axis=1, dtype=np.int64)
+        total = np.concatenate(([0], np.cumsum(ones)))
+        supers = total[:-1:SUPER].copy()
+        return supers, (total[:-1] - np.repeat(supers, SUPER)[: len(ones)]).astype(np.uint16)
 
     def get(self, i: int) -> int:
-        return int(self.packed[i >> 3]) >> (i & 7) & 1
+        return int(self.words[i // WORD]) >> (i % WORD) & 1
+
+    def _before(self, bit: int, block: int) -> int:
+        """How many bits before a block are bit."""
+        supers, within = self._blocks
+        ones = int(supers[block // SUPER]) + int(within[block])
+        return ones if bit else block * BLOCK * WORD - ones
 
     def rank(self, bit: int, i: int) -> int:
         """How many of the first i bits are bit."""
         w, r = divmod(i, WORD)
-        ones = int(self.ranks[w]) + (int(int(self.words[w]) & ((1 << r) - 1)).bit_count() if r else 0)
+        block = min(w // BLOCK, len(self._blocks[1]) - 1)
+        ones = self._before(1, block) + sum(int(x).bit_count() for x in self.words[block * BLOCK : w])
+        ones += (int(self.words[w]) & ((1 << r) - 1)).bit_count() if r else 0
         return ones if bit else i - ones
 
     def select(self, bit: int, k: int) -> int:
-        """Where the bit of rank k (from 0) is."""
-        before = self.ranks if bit else np.arange(len(self.ranks)) * WORD - self.ranks
-        w = int(np.searchsorted(before, k, side="right")) - 1
-        left, word = k - int(before[w]), int(self.words[w])
-        word = word if bit else ~word & (1 << WORD) - 1
+        """Where the bit of rank k (from 0) is: halving over blocks, then words, then bits."""
+        low, high = 0, len(self._blocks[1])
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (mid, high) if self._before(bit, mid) <= k else (low, mid)
+        left = k - self._before(bit, low)
+        for w in range(low * BLOCK, len(self.words)):
+            word = int(self.words[w])
+            word = word if bit else ~word & (1 << WORD) - 1
+            if left < word.bit_count():
+                break
+            left -= word.bit_count()
         for _ in range(left):
             word &= word - 1
         return w * WORD + (word & -word).bit_length() - 1
@@ -79,9 +98,9 @@ class WaveletMatrix:
         for k in range(n_planes - 1, -1, -1):
             bit = (x >> k) & 1 == 1
             raw.append(pack(np.packbits(bit, bitorder="little").tobytes()))
-            low = x[~bit]
+            low = x[np.flatnonzero(~bit)]
             zeros.append(len(low))
-            x = np.concatenate((low, x[bit]))
+            x = np.concatenate((low, x[np.flatnonzero(bit)]))
         docs = [pack(np.asarray(v, "<i8").tobytes()) for v in (doc_ids, lengths)]
         sizes = np.array([len(b) for b in (*docs, *raw)], "<u8")
         return b"".join([HEAD.pack(MAGIC, len(ids), n_planes, len(doc_ids)), np.array(zeros, "<u8").tobytes(), sizes.tobytes(), *docs, *raw])
@@ -108,8 +127,8 @@ class WaveletMatrix:
         for k in range(self.n_planes - 1, -1, -1):
             bit, z = self.plane(k).bits, self.zeros[k]
             y = np.empty_like(x)
-            y[~bit] = x[:z]
-            y[bit] = x[z:] | x.dtype.type(1 << (self.n_planes - 1 - k))
+            y[np.flatnonzero(~bit)] = x[:z]
+            y[np.flatnonzero(bit)] = x[z:] | x.dtype.type(1 << (self.n_planes - 1 - k))
             x = y
         return x
 
