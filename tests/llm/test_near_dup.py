@@ -94,3 +94,27 @@ def test_rows_without_id_stay(spark):
     text = "a b c d e f g h"
     df = spark.createDataFrame([(None, text), (None, text), (None, "other words of one row"), (3, text), (2, text)], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.text) for r in deduplicated(df).collect()) == [(0, text), (0, text), (0, "other words of one row"), (2, text)]
+
+
+def test_rows_of_one_id_with_other_texts_are_judged_apart(spark):
+    a, b = "a b c d e f g h", "totally other words of quite another row"
+    df = spark.createDataFrame([(1, a), (1, b), (1, b), (2, a), (3, b), (None, a), (4, None), (4, "")], "doc_id long, text string")
+    kept = sorted(((r.doc_id or 0, r.text or "") for r in deduplicated(df).collect()))
+    assert kept == [(0, a), (1, a), (1, b), (4, ""), (4, "")]
+    assert deduplicated(df.limit(0)).count() == 0
+
+
+def test_hot_classes_and_buckets(spark, monkeypatch):
+    """A class of exact copies and a bucket of near copies hold a third of the rows each, whatever counts as hot."""
+    rnd = random.Random(9)
+    base = [rnd.choice("abcdefghijklmnopqrstuvwxyz") * rnd.randrange(1, 9) for _ in range(200)]
+    texts = {i: "one text that all these documents share word for word" for i in range(300)}
+    for i in range(300, 600):
+        w = list(base)
+        w[rnd.randrange(200)] = f"x{i}"
+        texts[i] = " ".join(w)
+    texts |= {i: " ".join(f"w{rnd.randrange(9999)}" for _ in range(12)) for i in range(600, 900)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for share in (200, 2, 900):
+        monkeypatch.setattr(near_dup, "HOT_SHARE", share)
+        check(df, texts)
