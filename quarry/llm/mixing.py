@@ -14,11 +14,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.native import SPACE, n_words, prefix_sums, uniform
+from quarry.llm.native import SPACE, hot_join, n_words, prefix_sums, uniform
 from quarry.session import stored
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST, SEED, BIN_ROWS = 1.5, 2.0, 17, 1_000
+#: Steps of quality weights for which keys have a distribution of their own; a source of more than 1 / HOT_SHARE of the rows is hot.
+LEVELS, HOT_SHARE = 20, 200
 RESULT = ("size", "source_size", "target", "taken", "epochs", "quality_weight")
 
 
@@ -59,19 +61,21 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     # rows without id get keys of their own too, by their text
     rows = rows.withColumn("_key", -F.log(uniform(F.coalesce("doc_id", "_tie"), F.lit(seed))) / F.col("quality_weight"))
     rows = stored(rows, "mix-rows")  # texts are read once; what follows reads a few numbers a row
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"), F.avg("quality_weight").alias("_avg"))
+    named = lambda c: F.when(F.col(c).isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col(c)))
+    levels = rows.groupBy("source", F.round(F.col("quality_weight") * LEVELS).alias("_level")).agg(F.sum("size").alias("s"), F.count("*").alias("c"), F.avg("quality_weight").alias("w"))
+    sizes = levels.groupBy("source").agg(F.sum("s").alias("source_size"), F.sum("c").alias("_n"), F.collect_list(F.struct("c", "w")).alias("_levels"))
     plan = targets(sizes, weights, share, most).withColumn("_bins", F.ceil(F.col("_n") / bin_rows))
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
-    plan = plan.withColumnRenamed("source", "_source")
-    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "_n")
-    # keys are near exponential: their distribution function deals them evenly to the bins, in their order
-    at = F.floor(F.col("_bins") * (1.0 - F.exp(-F.col("_key") * F.col("_avg"))))
-    rows = rows.withColumn("_bin", F.least(at, F.col("_bins") - 1))
+    hot = max(1, rows.count() // HOT_SHARE)
+    rows = hot_join(rows.withColumn("_source", named("source")), plan.withColumn("_source", named("source")).drop("source"), ["_source"], "_n", hot, F.col("_tie")).drop("_source")
+    # keys are exponential with few rates: their distribution function deals them evenly to the bins, in their order
+    later = F.aggregate("_levels", F.lit(0.0), lambda s, x: s + x["c"] * F.exp(-F.col("_key") * x["w"])) / F.col("_n")
+    rows = rows.withColumn("_bin", F.least(F.floor(F.col("_bins") * (1.0 - later)), F.col("_bins") - 1)).drop("_n", "_levels")
     rows = prefix_sums(rows, ["source"], "_bin", ["_key", "doc_id", "size", "_tie"], F.col("size"), "_before")
     # the document at the border is taken where that brings the sum nearer to the target
     extra = F.col("_before") + F.col("size") / 2.0 <= F.col("target") - F.col("epochs") * F.col("source_size")
     taken = F.col("size") * (F.col("epochs") + F.when(extra, 1).otherwise(0))
-    return rows.withColumn("taken", taken.cast("long")).drop("_bins", "_avg", "_bin", "_key", "_tie", "_before")
+    return rows.withColumn("taken", taken.cast("long")).drop("_bins", "_bin", "_key", "_tie", "_before")
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,12 +84,17 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repeated(docs: DataFrame, **how) -> DataFrame:
-    """The mixture itself: the columns of docs, each document as many times as it is taken."""
+    """The mixture itself: the columns of docs, each document as many times as it is taken.
+
+    Rows equal in all columns share what is taken of them.
+    """
     cols = docs.columns
-    # doc_id may repeat or be null: a key of the row's own content keeps the join one to one up to equal rows
-    row = F.xxhash64("doc_id", "source", "text")
+    row = F.xxhash64(*cols)
     chosen = mix(docs.select("doc_id", "source", "text", row.alias("_row")), **how)
     times = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int")
-    chosen = chosen.select("_row", times.alias("_times")).where("_times > 0").groupBy("_row").agg(F.max("_times").alias("_times"))
+    chosen = chosen.select("_row", times.alias("_times")).groupBy("_row").agg(F.sum("_times").cast("int").alias("_times"), F.count("*").alias("_equal"))
+    chosen = stored(chosen.where("_times > 0"), "mix-chosen")
     kept = docs.withColumn("_row", row).join(chosen, "_row")
+    if not chosen.where("_equal > 1").isEmpty():
+        kept = kept.where("_equal = 1").unionByName(kept.where("_equal > 1").dropDuplicates(["_row"]))
     return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*cols)

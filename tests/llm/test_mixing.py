@@ -77,3 +77,31 @@ def test_rows_without_id(spark):
         assert abs(check_share[r.source] - r.target) <= 4.5
     again = repeated(df, share=0.5).collect()
     assert sum(len(r.text.split()) for r in again if r.source == "a") == sum(r.taken for r in mix(df, share=0.5).collect() if r.source == "a")
+
+
+def test_equal_rows_share_what_is_taken(spark):
+    rows = [(1, "a", "t " * 10)] * 1000 + [(2 + i, "b", "u " * 10) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    for share in (0.5, 1.5):
+        taken = sum(r.taken for r in mix(df, share=share).collect() if r.source == "a")
+        got = repeated(df, share=share).where("source = 'a'").count() * 10
+        assert got == taken > 0
+
+
+def test_bins_are_even_whatever_the_weights(spark):
+    from quarry.llm import mixing
+
+    seen = {}
+    real = mixing.prefix_sums
+
+    def spy(df, group, bin_col, *rest):
+        seen["largest"] = df.groupBy(*group, bin_col).count().agg(F.max("count")).first()[0]
+        return real(df, group, bin_col, *rest)
+
+    mixing.prefix_sums = spy
+    try:
+        rows = [(i, "a", "w " * 20 if i % 3 else "### " * 20) for i in range(20_000)]
+        mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), bin_rows=500).count()
+    finally:
+        mixing.prefix_sums = real
+    assert seen["largest"] < 700
