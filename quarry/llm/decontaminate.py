@@ -1,12 +1,13 @@
 """Benchmark decontamination by greedy string tiling.
 
-Word runs of the seed's length, shared by a document and a test item, are found by a Karp-Rabin hash over word hashes.
-Seeds on one diagonal grow into matches; the longest match whose words are free is marked, again and again, so that
+Word runs of the seed's length, shared by a document and a test item, are joined by a Karp-Rabin hash over word hashes
+and confirmed word by word. Seeds on one diagonal grow into matches; the longest match whose words are free is marked, again and again, so that
 passages in another order are found too. A pair counts where its tiles cover enough of the item.
 
 The test items are worked on in blocks of at most BLOCK_BYTES, each broadcast by itself: all items against all rows.
 
-Cases: a null text has no words. An item of fewer words than a seed is never found. Equal items are found each. A
+Cases: a null text has no words. An item of fewer words than a seed is never found, unless least_words asks for
+it: then where all of it stands in a row. Equal items are found each. A
 document without id is judged all the same. An empty table of documents or items gives no pairs. Other columns are
 ignored.
 """
@@ -68,52 +69,66 @@ def words_of(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return hashed([(t or "").lower().encode() for t in texts], PUNCT)
 
 
-def seed_table(ids: list, texts: list, seed: int) -> tuple:
-    """(sorted distinct seeds, where each one's places begin, item and place of each, ids, item lengths)."""
-    h, at = words_of(texts)
-    g = grams(h, seed)
-    n = np.diff(at)
-    item = np.repeat(np.arange(len(texts)), n)[: len(g)]
-    place = (np.arange(len(h)) - np.repeat(at[:-1], n))[: len(g)]
-    ok = place + seed <= n[item] if len(g) else np.empty(0, bool)
-    g, item, place = g[ok], item[ok], place[ok]
-    order = np.argsort(g, kind="stable")
-    g, item, place = g[order], item[order], place[order]
-    keys, first = np.unique(g, return_index=True)
-    return keys, np.append(first, len(g)), item, place, np.array(ids, np.int64), n
+class Seeds:
+    """Seeds of test items by length: items of fewer words than a seed, from least words on, are seeds of their own length."""
+
+    def __init__(self, ids: list, texts: list, seed: int, least: int):
+        self.words, self.at = words_of(texts)
+        self.ids, self.n = np.array(ids, np.int64), np.diff(self.at)
+        self.tables = []
+        for k in sorted({min(seed, n) for n in self.n.tolist() if n >= max(1, least)}):
+            g = grams(self.words, k)
+            item = np.repeat(np.arange(len(texts)), self.n)[: len(g)]
+            place = np.arange(len(g)) - self.at[item]
+            ok = (place + k <= self.n[item]) & (np.minimum(self.n[item], seed) == k)
+            order = np.flatnonzero(ok)[np.argsort(g[ok], kind="stable")]
+            keys, first = np.unique(g[order], return_index=True)
+            self.tables.append((k, keys, np.append(first, len(order)), item[order], place[order]))
+
+
+def shared(h: np.ndarray, at: np.ndarray, seeds: Seeds) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """(document, item, length, places in the document, in the item) of the seeds that both have, word by word."""
+    for k, keys, first, item, place in seeds.tables:
+        g = grams(h, k)
+        where = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
+        hit = np.flatnonzero(keys[where] == g)
+        doc = np.searchsorted(at, hit, side="right") - 1
+        inside = hit + k <= at[doc + 1]
+        hit, doc = hit[inside], doc[inside]
+        n = first[where[hit] + 1] - first[where[hit]]
+        s = np.repeat(first[where[hit]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        hit, doc, x, q = np.repeat(hit, n), np.repeat(doc, n), item[s], place[s]
+        same = np.ones(len(hit), bool)
+        for j in range(k):  # equal hashes of runs are confirmed on the words
+            same &= h[hit + j] == seeds.words[seeds.at[x] + q + j]
+        order = np.flatnonzero(same)
+        order = order[np.lexsort((x[order], doc[order]))]
+        hit, doc, x, q = hit[order], doc[order], x[order], q[order]
+        cuts = np.flatnonzero(np.concatenate(([True], (np.diff(doc) != 0) | (np.diff(x) != 0), [True]))) if len(doc) else []
+        for c, e in zip(cuts[:-1], cuts[1:], strict=True):
+            yield int(doc[c]), int(x[c]), k, hit[c:e] - at[doc[c]], q[c:e]
 
 
 def find(batches: Iterator[pa.RecordBatch], table, seed: int, coverage: float) -> Iterator[pa.RecordBatch]:
-    keys, first, item, place, ids, n_item = table.value
+    seeds: Seeds = table.value
     for batch in batches:
         docs = batch.column(0).to_pylist()
         texts = [(t or "").lower().encode() for t in batch.column(1).to_pylist()]
         out: list[tuple] = []
-        for a, b in blocks(texts) if len(keys) else ():
-            h, at = hashed(texts[a:b], PUNCT)
-            g = grams(h, seed)
-            where = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
-            hit = np.flatnonzero(keys[where] == g)
-            doc = np.searchsorted(at, hit, side="right") - 1
-            inside = hit + seed <= at[doc + 1]
-            hit, doc = hit[inside], doc[inside]
-            for i in np.unique(doc).tolist():
-                own = hit[doc == i] if len(hit) < 1000 else hit[np.searchsorted(doc, i) : np.searchsorted(doc, i, side="right")]
-                k = where[own]
-                n = first[k + 1] - first[k]
-                p = np.repeat(own - at[i], n)
-                s = np.repeat(first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                for x in np.unique(item[s]).tolist():
-                    mine = item[s] == x
-                    tiles = tile(p[mine], place[s[mine]], seed)
-                    covered = sum(t[2] for t in tiles)
-                    if covered >= coverage * n_item[x]:
-                        out.append((docs[a + i], int(ids[x]), int(n_item[x]), covered, len(tiles), max(t[2] for t in tiles)))
+        for a, b in blocks(texts):
+            for doc, x, k, p, q in shared(*hashed(texts[a:b], PUNCT), seeds):
+                tiles = tile(p, q, k)
+                covered = sum(t[2] for t in tiles)
+                if covered >= coverage * seeds.n[x]:
+                    out.append((docs[a + doc], int(seeds.ids[x]), int(seeds.n[x]), covered, len(tiles), max(t[2] for t in tiles)))
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 6, schema=PAIRS)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, seed: int = SEED_WORDS, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Pairs (doc_id, item_id) with their tiles, where these cover at least that share of the item's words."""
+def contaminated(docs: DataFrame, items: DataFrame, seed: int = SEED_WORDS, coverage: float = COVERAGE, block_bytes: int = BLOCK_BYTES, least_words: int = SEED_WORDS) -> DataFrame:
+    """Pairs (doc_id, item_id) with their tiles, where these cover at least that share of the item's words.
+
+    Items of fewer than least_words words are not looked for: a run of two or three words is no evidence of a benchmark.
+    """
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -124,7 +139,7 @@ def contaminated(docs: DataFrame, items: DataFrame, seed: int = SEED_WORDS, cove
     for k in range(n_blocks):
         block = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k)
         got = block.toArrow()  # at most about block_bytes
-        table = spark.sparkContext.broadcast(seed_table(got.column(0).to_pylist(), got.column(1).to_pylist(), seed))
+        table = spark.sparkContext.broadcast(Seeds(got.column(0).to_pylist(), got.column(1).to_pylist(), seed, least_words))
         found.append(docs.mapInArrow(partial(find, table=table, seed=seed, coverage=coverage), SCHEMA))
     if not found:
         return spark.createDataFrame([], SCHEMA).withColumn("coverage", F.lit(0.0))

@@ -78,3 +78,21 @@ def test_rows_without_id_are_judged_by_themselves(spark):
     items = spark.createDataFrame([(7, item)], "item_id long, text string")
     kept = [(r.doc_id, r.text) for r in decontaminated(docs, items).collect()]
     assert sorted(kept, key=str) == sorted([(None, "clean words without an id"), (None, None), (4, "clean words of a repeated id")], key=str)
+
+
+def test_short_items_where_they_are_asked_for(spark):
+    docs = spark.createDataFrame([(1, "x one, TWO y"), (2, "two one"), (3, "alpha"), (4, "one two three four five six")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "one two"), (8, "alpha"), (9, "one two three four five six"), (10, "")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in contaminated(docs, items).collect()) == [(4, 9)]
+    assert sorted((r.doc_id, r.item_id) for r in contaminated(docs, items, least_words=1).collect()) == [(1, 7), (3, 8), (4, 7), (4, 9)]
+
+
+def test_a_phrase_of_all_items_costs_no_more_than_its_seeds(spark):
+    import time
+
+    phrase = "in the beginning there was one phrase of all items"
+    items = spark.createDataFrame([(i, f"{phrase} and item {i} has words{i} of{i} its{i} own{i}") for i in range(3000)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"{phrase} " * 3) for i in range(40)], "doc_id long, text string")
+    began = time.time()
+    assert contaminated(docs, items).count() == 40 * 3000  # nine of 16 or 17 words
+    assert time.time() - began < 120
