@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.native import let, uniform
+from quarry.llm.native import let, running, uniform
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -33,6 +33,8 @@ FULL = 19
 #: Bounds of the labelled sample: documents whose words are identifiers, random strings of each alphabet.
 SAMPLE_DOCS, SAMPLE_RANDOM = 500, 2_000
 SIDE = 128
+#: Pattern spans that are looked through together.
+LOOK = 64
 RESULT = ("n_assign", "n_access", "n_hex", "n_markov", "base_sha256", "spans", "secrets")
 
 
@@ -87,15 +89,9 @@ def spans_of(text: Column, pattern: str, keep: Callable[[Column], Column] | None
     """
 
     def place(pieces: Column, matches: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out"))
-
-        def step(acc: Column, i: Column) -> Column:
-            s = acc["at"] + F.length(pieces[i])
-            e = s + F.length(matches[i])
-            more = F.concat(acc["out"], F.array(F.struct(s.alias("s"), e.alias("e"), matches[i].alias("m"))))
-            return F.struct(e.alias("at"), (more if keep is None else F.when(keep(matches[i]), more).otherwise(acc["out"])).alias("out"))
-
-        return F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), start, step, lambda acc: acc["out"])
+        both = F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)), matches, lambda p, m: F.length(p) + F.length(m))
+        spans = let(let(both, running), lambda at: F.transform(matches, lambda m, i: F.struct((at[i] + F.length(pieces[i])).alias("s"), (at[i] + F.length(pieces[i]) + F.length(m)).alias("e"), m.alias("m"))))
+        return spans if keep is None else F.filter(spans, lambda x: keep(x["m"]))
 
     found = let(F.split(text, pattern, -1), lambda p: let(F.regexp_extract_all(text, F.lit(pattern), 0), lambda m: place(p, m)))
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<s:int,e:int,m:string>>"))
@@ -112,12 +108,17 @@ def scan(docs: DataFrame, ratio: list[float], threshold: float = THRESHOLD) -> D
     table = F.split(F.lit(",".join(f"{x:.5f}" for x in ratio)), ",").cast("array<double>")
 
     def score(m: Column) -> Column:
-        at = lambda i: F.ascii(F.substr(m, i, F.lit(1)))
-        return F.aggregate(F.sequence(F.lit(1), F.length(m) - 1), F.lit(0.0), lambda s, i: s + F.element_at(table, at(i) * SIDE + at(i + 1) + 1))
+        codes = F.transform(F.split(m, ""), F.ascii)
+        return let(codes, lambda c: F.aggregate(F.sequence(F.lit(1), F.length(m) - 1), F.lit(0.0), lambda s, i: s + F.element_at(table, c[i - 1] * SIDE + c[i] + 1)))
+
+    # spans of patterns in runs with their borders, so that a token looks into few of them
+    runs = F.sequence(F.lit(0), F.floor((F.size("_base") - 1) / LOOK).cast("int"))
+    d = d.withColumn("_runs", F.when(F.size("_base") > 0, F.transform(runs, lambda r: let(F.slice("_base", r * LOOK + 1, F.lit(LOOK)), lambda b: F.struct(b[0]["s"].alias("s"), F.array_max(F.transform(b, lambda x: x["e"])).alias("e"), b.alias("of"))))))
+    meets = lambda b, x: (b["s"] < x["e"]) & (x["s"] < b["e"])
 
     def rest(x: Column) -> Column:
         """What the patterns leave of a secret token: the token itself, or the pieces that look random."""
-        over = F.filter("_base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+        over = F.when(F.size("_base") > 0, F.flatten(F.transform(F.filter("_runs", lambda r: meets(r, x)), lambda r: F.filter(r["of"], lambda b: meets(b, x))))).otherwise(F.col("_base"))
         piece = lambda s, e: F.array(F.struct(s.alias("s"), e.alias("e"), F.substr(x["m"], s - x["s"] + 1, e - s).alias("m")))
         start = F.struct(x["s"].alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out"))
         step = lambda acc, b: F.struct(F.greatest(acc["at"], b["e"]).alias("at"), F.when(b["s"] > acc["at"], F.concat(acc["out"], piece(acc["at"], b["s"]))).otherwise(acc["out"]).alias("out"))
@@ -138,7 +139,7 @@ def scan(docs: DataFrame, ratio: list[float], threshold: float = THRESHOLD) -> D
         "*", n("_assign").alias("n_assign"), n("_access").alias("n_access"), n("_hex").alias("n_hex"), n("_markov").alias("n_markov"),
         F.sha2(joined("_base"), 256).alias("base_sha256"), joined("_all").alias("spans"), F.transform("_all", lambda x: x["m"]).alias("secrets"),
     )
-    return d.drop("_t", "_assign", "_access", "_hex", "_base", "_tokens", "_markov", "_all")
+    return d.drop("_t", "_assign", "_access", "_hex", "_base", "_runs", "_tokens", "_markov", "_all")
 
 
 def op3_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,3 +72,23 @@ def test_short_and_partly_covered_tokens(spark):
     assert got[0].secrets == ["Zx9Kq2LmV7bT4wRj"]
     assert got[1].secrets == ["Qz7Rk2XvW9pLmZx9Kq2L", "0123456789abcdef", "Zx9Kq2LmV7bT4wRj8NcY"]
     assert [got[i].n_markov for i in (2, 3, 4)] == [0, 0, 0]
+
+
+def test_long_texts_with_many_tokens(spark):
+    import random
+    import time
+
+    rnd = random.Random(4)
+    abc = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    token = lambda n: "".join(rnd.choice(abc) for _ in range(n))
+    texts = {1: " ".join(token(24) for _ in range(40_000)), 2: token(1_000_000), 3: " ".join(f"secret={token(14)} {token(30)}" for _ in range(5_000)), 4: "ab " * 300_000}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4, "doc_id")
+    ratio = fit(labelled(df.where("doc_id = 4")))
+    began = time.time()
+    rows = {r.doc_id: r for r in scan(df, ratio).collect()}
+    assert time.time() - began < 120
+    check(rows.values(), texts)
+    assert rows[1].n_markov > 38_000 and rows[2].spans == "markov:0:1000000" and rows[3].n_assign == 5_000 and rows[4].spans == ""
+    for x, m in zip(rows[1].spans.split(","), rows[1].secrets, strict=True):
+        _, a, b = x.split(":")
+        assert texts[1][int(a) : int(b)] == m
