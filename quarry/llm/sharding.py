@@ -7,8 +7,8 @@ largest groups first. Rounds go on until no document moves; each move brings mor
 Groups larger than a shard's quota are placed before: they fill shards whole, one after the other. Unlinked documents
 fill every shard to its quota at the end, so that counts are at most one apart. cut_edges counts the links that are cut.
 
-Cases: a null text has no bytes, size 16 and crc 0; null texts are one group. Repeated ids are dealt like others. An
-empty table gives an empty result. Columns of the input that clash with those of the result are dropped, others stay.
+Cases: a null text has no bytes, size 16 and crc 0; null texts are one group. Repeated ids are dealt like others; rows
+of equal id and text may change places. An empty table gives an empty result. Columns of the input that clash with those of the result are dropped, others stay.
 """
 
 from __future__ import annotations
@@ -16,10 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.native import prefix_sums, uniform
+from quarry.llm.native import hot_join, prefix_sums, uniform
 from quarry.session import stored
 
 SHARDS, BIN_ROWS = 40, 1_000
+#: A group of more than 1 / HOT_SHARE of the rows is hot.
+HOT_SHARE = 200
 RESULT = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
@@ -91,9 +93,11 @@ def balanced(docs: DataFrame, n_shards: int = SHARDS, rounds: int | None = None,
     total = rows.count()
     quota = F.floor(F.lit(total) / n_shards).cast("long")
     groups = rows.groupBy("gid").agg(F.count("*").alias("group_n"))
-    linked = rows.join(groups.where("group_n > 1"), "gid")
+    hot = max(1, total // HOT_SHARE)
+    rows = stored(hot_join(rows, groups, ["gid"], "group_n", hot, F.col("doc_id")), "shard-grouped")
+    linked = rows.where("group_n > 1")
     linked = _binned(linked, F.col("group_n"), F.col("doc_id"), F.lit("in-group"), bin_rows=bin_rows)
-    linked = stored(prefix_sums(linked, ["gid"], "_bin", ["_u", "doc_id", "size"], F.lit(1), "rank").drop("_u", "_bin"), "shard-linked")
+    linked = stored(prefix_sums(linked, ["gid"], "_bin", ["_u", "doc_id"], F.lit(1), "rank").drop("_u", "_bin"), "shard-linked")
 
     # groups above the quota are at most twice as many as shards: they are placed by the driver
     least = max(1, total // n_shards)
@@ -110,28 +114,28 @@ def balanced(docs: DataFrame, n_shards: int = SHARDS, rounds: int | None = None,
 
     # each group's documents, in the order of their ranks, fill the places that its state holds: at most n_shards a group
     places = state.withColumn("till", F.sum("n").over(Window.partitionBy("gid").orderBy(F.desc("n"), "shard")))
-    places = places.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("till", "shard"))).alias("places"))
-    seated = linked.join(places, "gid").withColumn("shard", F.filter("places", lambda p: F.col("rank") < p["till"])[0]["shard"]).drop("places", "rank")
+    places = places.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("till", "shard"))).alias("places"), F.max("till").alias("of"))
+    seated = hot_join(linked, places, ["gid"], "of", hot, F.col("doc_id")).drop("of").withColumn("shard", F.filter("places", lambda p: F.col("rank") < p["till"])[0]["shard"]).drop("places", "rank")
 
     # exact quotas: what stands over a shard's quota is dealt anew with the unlinked documents
     share = (F.lit(total) / n_shards).cast("long") + F.when(F.col("shard") < total % n_shards, 1).otherwise(0)
     seated = _binned(seated, quota, F.col("gid"), F.col("doc_id"), bin_rows=bin_rows)
-    seated = prefix_sums(seated, ["shard"], "_bin", ["_u", "doc_id", "size"], F.lit(1), "at").withColumn("fits", F.col("at") < share).drop("_u", "_bin", "at")
+    seated = prefix_sums(seated, ["shard"], "_bin", ["_u", "doc_id", "gid"], F.lit(1), "at").withColumn("fits", F.col("at") < share).drop("_u", "_bin", "at")
     seated = stored(seated, "shard-seated")
-    alone = rows.join(groups.where("group_n = 1"), "gid").drop("group_n")
+    alone = rows.where("group_n = 1").drop("group_n")
     free = alone.unionByName(seated.where("NOT fits").drop("group_n", "fits", "shard"))
     shards = docs.sparkSession.range(n_shards).select(F.col("id").cast("int").alias("shard"))
     used = seated.where("fits").groupBy("shard").agg(F.count("*").alias("used"))
     gaps = shards.join(used, "shard", "left").withColumn("gap", share - F.coalesce("used", F.lit(0)))
     gaps = gaps.withColumn("till", F.sum("gap").over(Window.orderBy("shard")))  # n_shards rows
     gaps = gaps.agg(F.array_sort(F.collect_list(F.struct("till", "shard"))).alias("gaps"))
-    free = _binned(free, F.lit(total), F.col("doc_id"), F.lit("free"), bin_rows=bin_rows)
-    free = prefix_sums(free, [], "_bin", ["_u", "doc_id", "size"], F.lit(1), "rank").crossJoin(F.broadcast(gaps))  # one row
+    free = _binned(free, F.lit(total), F.col("doc_id"), F.col("gid"), F.lit("free"), bin_rows=bin_rows)
+    free = prefix_sums(free, [], "_bin", ["_u", "doc_id", "gid"], F.lit(1), "rank").crossJoin(F.broadcast(gaps))  # one row
     free = free.withColumn("shard", F.filter("gaps", lambda p: F.col("rank") < p["till"])[0]["shard"]).drop("gaps", "rank", "_u", "_bin")
 
     out = seated.where("fits").drop("group_n", "fits").unionByName(free)
-    out = _binned(out, quota + 1, F.col("doc_id"), F.lit("slot"), bin_rows=bin_rows)
-    out = prefix_sums(out, ["shard"], "_bin", ["_u", "doc_id", "size", "text_crc32"], F.lit(1), "slot").drop("_u", "_bin")
+    out = _binned(out, quota + 1, F.col("doc_id"), F.col("gid"), F.lit("slot"), bin_rows=bin_rows)
+    out = prefix_sums(out, ["shard"], "_bin", ["_u", "doc_id", "gid"], F.lit(1), "slot").drop("_u", "_bin")
     return out.withColumn("slot", F.col("slot").cast("long")).withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
