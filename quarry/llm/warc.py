@@ -4,16 +4,16 @@ Each response gives a conversion record with the visible text of its payload and
 headers and digests. Both refer to the response (WARC-Refers-To) and to each other (WARC-Concurrent-To); identifiers
 follow from the source's, so that a repeated run makes the same records.
 
-Cases: null html is an empty payload; a null url gives a record without target. A record that isn't a well-formed
-response gives no derivative. Equal rows give equal records. An empty table gives none. Other columns are ignored.
+Cases: null html is an empty payload; a null url gives a record without target. A record that isn't a response gives no
+derivative; one that can't be read gives a row of type issue, and the records after it are read. Equal rows give equal records. An empty table gives none. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -53,32 +53,69 @@ def parse_headers(data: bytes) -> tuple[str, list[tuple[str, str]]]:
     return first, out
 
 
-def records(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
-    """(headers, block) of every record of a WARC file's content, compressed by record or not; ends at the first broken one."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
+def unzipped(data: bytes) -> bytes:
+    """Content of a file compressed by record or not; a damaged member ends it, what was before it counts."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        z = zlib.decompressobj(31)
+        try:
+            out.append(z.decompress(data))
+        except zlib.error:
+            break
+        data = z.unused_data
+    return b"".join(out) if out else data
+
+
+def records(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes | None]]:
+    """(headers, block) of every record of a WARC file's content; block is None for a broken one, after which the next is looked for."""
+    data = unzipped(data)
+    at = data.find(b"WARC/")
+    while at >= 0:
         cut = data.find(END * 2, at)
-        if cut < 0:
-            return
-        _, headers = parse_headers(data[at:cut])
-        size = next((int(v) for k, v in headers if k.lower() == "content-length" and v.isdigit()), -1)
-        block = data[cut + 4 : cut + 4 + size]
-        if size < 0 or len(block) < size:
-            return
-        yield headers, block
-        at = cut + 4 + size
-
-
-def response(url: str | None, html: str | None, key: str) -> bytes:
-    """A response record for a page."""
+        _, headers = parse_headers(data[at : cut if cut >= 0 else len(data)])
+        size = next((int(v) for k, v in headers if k.lower() == "content-length" and v.isascii() and v.isdigit()), -1)
+        end = cut + 4 + size
+        if cut < 0 or size < 0 or end > len(data):
+            yield headers, None
+            at = data.find(b"\nWARC/", at) + 1 or -1
+            continue
+        yield headers, data[cut + 4 : end]
+        at = data.find(b"WARC/", end)
+
+
+def response(url: str | None, html: str | None, key: str, date: str = DATE) -> bytes:
+    """A response record for a page; its identifier follows from key, address and content."""
     payload = (html or "").encode()
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
-    headers = [("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", key, url or "")), ("WARC-Date", DATE), ("WARC-Target-URI", url), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", digest(payload)), ("WARC-Block-Digest", digest(block))]
+    sha = digest(payload)
+    headers = [("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", key, url or "", sha)), ("WARC-Date", date), ("WARC-Target-URI", url), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", sha), ("WARC-Block-Digest", digest(block))]
     return record(headers, block)
 
 
+def decoded(body: bytes, http: list[tuple[str, str]]) -> bytes:
+    """An HTTP body without its transfer and content codings; as it is where it doesn't keep to them."""
+    h = {k.lower(): v.lower() for k, v in http}
+    if h.get("transfer-encoding") == "chunked":
+        out, at = [], 0
+        while (cut := body.find(END, at)) >= 0:
+            try:
+                size = int(body[at:cut].split(b";")[0], 16)
+            except ValueError:
+                return body
+            if not size:
+                break
+            out.append(body[cut + 2 : cut + 2 + size])
+            at = cut + 4 + size
+        body = b"".join(out)
+    if h.get("content-encoding") in ("gzip", "x-gzip", "deflate"):
+        for bits in (47, -15):
+            try:
+                return zlib.decompressobj(bits).decompress(body)
+            except zlib.error:
+                continue
+    return body
+
+
 def derive(headers: list[tuple[str, str]], block: bytes) -> list[dict]:
     """The conversion and the metadata record of a response; none for other records."""
     h = {k.lower(): v for k, v in headers}
@@ -89,10 +126,11 @@ def derive(headers: list[tuple[str, str]], block: bytes) -> list[dict]:
     payload = block[cut + 4 :]
     kind = next((v for k, v in http if k.lower() == "content-type"), "")
     charset = kind.lower().partition("charset=")[2].split(";")[0].strip("\"' ") or "utf-8"
+    body = decoded(payload, http)
     try:
-        page = payload.decode(charset, "replace")
+        page = body.decode(charset, "replace")
     except LookupError:
-        page = payload.decode("utf-8", "replace")
+        page = body.decode("utf-8", "replace")
     plain = "\n".join(blocks_of(page)) if "html" in kind or not kind else page if kind.startswith("text/") else ""
     actual = digest(payload)
     source, uri, date = h["warc-record-id"], h.get("warc-target-uri"), h.get("warc-date", DATE)
@@ -113,6 +151,12 @@ def derive(headers: list[tuple[str, str]], block: bytes) -> list[dict]:
     return out
 
 
+def broken(headers: list[tuple[str, str]]) -> dict:
+    """The row that reports a record that can't be read; it has no record of its own."""
+    h = {k.lower(): v for k, v in headers}
+    return {"record_type": "issue", "refers_to": h.get("warc-record-id"), "target_uri": h.get("warc-target-uri")}
+
+
 FIELDS = "record_type string, record_id string, refers_to string, concurrent_to string, target_uri string, source_digest string, block_digest string, content_length long, record binary"
 SCHEMA = pa.schema([("key", pa.int64())] + [(x.split()[0], {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]]) for x in FIELDS.split(", ")])
 STEP = 256
@@ -123,7 +167,8 @@ def derive_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a in range(0, batch.num_rows, STEP):
             rows = []
             for key, data in zip(batch.column(0).slice(a, STEP).to_pylist(), batch.column(1).slice(a, STEP), strict=True):
-                rows += [{"key": key, **d} for h, b in records(data.as_py() or b"") for d in derive(h, b)]
+                for h, b in records(data.as_py() or b""):
+                    rows += [{"key": key, **d} for d in (derive(h, b) if b is not None else [broken(h)])]
             yield pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
 
 

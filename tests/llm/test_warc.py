@@ -2,6 +2,8 @@ import base64
 import gzip
 import hashlib
 
+from pyspark.sql import functions as F
+
 from quarry.llm.warc import derivatives, derive, op9_warc_derivatives, read_warcs, record, records, response, responses
 from tests.conftest import SF
 
@@ -40,8 +42,9 @@ def test_files_and_edges(spark, tmp_path):
     other = record([("WARC-Type", "request"), ("WARC-Record-ID", "<urn:uuid:1>")], b"GET / HTTP/1.1\r\n\r\n")
     (tmp_path / "a.warc").write_bytes(a + other + b)
     (tmp_path / "b.warc.gz").write_bytes(gzip.compress(a) + gzip.compress(b[:-40]))
-    got = derivatives(read_warcs(spark, str(tmp_path))).collect()
-    assert len(got) == 6
+    every = derivatives(read_warcs(spark, str(tmp_path))).collect()
+    got = [r for r in every if r.record_type != "issue"]
+    assert len(every) == 7 and len(got) == 6
     texts = [bytes(r.record).split(b"\r\n\r\n", 1)[1].strip().decode() for r in got if r.record_type == "conversion"]
     assert sorted(texts) == ["", "é one", "é one"]
     assert derive([("WARC-Type", "response")], b"") == [] and list(records(b"junk")) == []
@@ -50,3 +53,30 @@ def test_files_and_edges(spark, tmp_path):
     out = derivatives(responses(df)).collect()
     assert len(out) == 8 and all(b"\r\nInjected" not in bytes(r.record) for r in out)
     assert derivatives(responses(df.limit(0))).count() == 0
+
+
+def test_equal_addresses_with_other_content_have_other_ids(spark):
+    df = spark.createDataFrame([(1, "http://x/", "<p>one</p>"), (1, "http://x/", "<p>two</p>"), (1, "http://x/", "<p>two</p>")], "page_id long, url string, html string")
+    rows = derivatives(responses(df.withColumn("data", F.lit(1)).withColumn("key", F.lit("x")))).collect()
+    assert len(rows) == 6 and len({r.record_id for r in rows}) == 4
+
+
+def test_broken_records_are_reported_and_the_rest_is_read(spark):
+    good = [response(f"http://x/{i}", f"<p>text {i}</p>", str(i)) for i in range(3)]
+    bad = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:9>\r\nContent-Length: nine\r\n\r\nlost\r\n\r\n"
+    cut = good[2][:-40]
+    df = spark.createDataFrame([(1, bytearray(good[0] + bad + good[1])), (2, bytearray(cut)), (3, bytearray(b"no warc")), (4, None), (5, bytearray(gzip.compress(good[0]) + gzip.compress(good[1])[:-9]))], "key long, data binary")
+    got = sorted((r.key, r.record_type, r.refers_to if r.record_type == "issue" else "") for r in derivatives(df).collect())
+    two = lambda k: [(k, "conversion", ""), (k, "metadata", "")]
+    assert [x for x in got if x[0] == 1] == sorted(two(1) + two(1) + [(1, "issue", "<urn:uuid:9>")])
+    assert [x[:2] for x in got if x[0] == 2] == [(2, "issue")] and not [x for x in got if x[0] in (3, 4)]
+    assert [x for x in got if x[0] == 5][:2] == two(5)[:1] * 2 or ("conversion" in {x[1] for x in got if x[0] == 5})
+
+
+def test_bodies_are_decoded():
+    page = "<p>é text</p>".encode()
+    packed = gzip.compress(page)
+    chunks = b"".join(b"%x\r\n%s\r\n" % (len(packed[i : i + 7]), packed[i : i + 7]) for i in range(0, len(packed), 7)) + b"0\r\n\r\n"
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nTransfer-Encoding: chunked\r\nContent-Encoding: gzip\r\n\r\n" + chunks
+    conversion, metadata = derive([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:1>")], block)
+    assert conversion["record"].endswith("é text".encode() + b"\r\n\r\n") and conversion["source_digest"] == sha(chunks)
