@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Sequence
 from functools import reduce
 
 import pandas as pd
@@ -48,12 +50,15 @@ def fold(text: str | None) -> str:
 
 
 def fold_series(s: pd.Series) -> pd.Series:
-    return s.map(fold)
+    return s.map(fold, na_action="ignore")
 
 
 def normalize_text(text: Column) -> Column:
-    """fold() of a column."""
-    return F.pandas_udf(fold_series, "string")(text)
+    """fold() of a column. ASCII stays in the JVM: Python workers get nulls for it."""
+    plain = F.coalesce(text, F.lit(""))
+    other = plain.rlike(r"[^\x00-\x7F]")
+    ascii_ = F.regexp_replace(F.lower(F.regexp_replace(plain, r"^[\t-\r\x1c-\x20]+|[\t-\r\x1c-\x20]+$", "")), r"[\t\n\f\r ]+", " ")
+    return F.when(other, F.pandas_udf(fold_series, "string")(F.when(other, plain))).otherwise(ascii_)
 
 
 def classify_section(heading: Column, text: Column) -> Column:
@@ -63,6 +68,12 @@ def classify_section(heading: Column, text: Column) -> Column:
     return F.coalesce(rule(heading), rule(start), F.lit("other"))
 
 
+def section_of(headings: Sequence[str], text: str) -> str:
+    """classify_section() of one block, in Python: its headings, joined, and its text, both as they are."""
+    heading, start = fold(" / ".join(headings)), fold(text)[:240]
+    return next((name for where in (heading, start) if where for name, p in SECTION_RULES if re.search(p, where)), "other")
+
+
 def family_key(title: Column) -> Column:
     """struct(key, confidence) of a normalised title: what is left without tags, versions, dates and separators."""
     spaced = reduce(lambda c, p: F.regexp_replace(c, p, " "), FAMILY_DROPS, title)
@@ -109,3 +120,19 @@ def search_terms(text: Column) -> Column:
     parts = F.flatten(F.transform(whole, lambda t: F.filter(F.split(t, r"[/\\]"), lambda x: F.length(x) > 1)))
     fine = F.flatten(F.transform(whole, lambda t: F.filter(F.split(t, "[_./:-]+"), lambda x: F.length(x) > 1)))
     return F.array_distinct(F.concat(han, whole, parts, fine))
+
+
+def unmarked(s: pd.Series) -> pd.Series:
+    """Without marks above and below letters, in lower case: how an index compares words."""
+    strip = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c)).lower()
+    return s.map(strip, na_action="ignore")
+
+
+def without_marks(text: Column) -> Column:
+    other = text.rlike(r"[^\x00-\x7F]")
+    return F.when(other, F.pandas_udf(unmarked, "string")(F.when(other, text))).otherwise(F.lower(text))
+
+
+def folded_terms(text: Column) -> Column:
+    """search_terms() without marks on letters, as words are indexed: café and cafe are one."""
+    return search_terms(without_marks(text))
