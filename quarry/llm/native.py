@@ -67,7 +67,8 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], size: str, hot:
     same = lambda name: reduce(and_, [F.col(k) == F.col(f"_{name}_{k}") for k in keys])
     served = left.join(F.broadcast(side(F.col(size) > hot, "hot")), same("hot"), "left")
     served = served.withColumn("_place", F.when(F.col("_hot").isNotNull() | F.col(keys[0]).isNull(), F.xxhash64(spread)).otherwise(F.lit(0).cast("long")))
-    cold = side(F.col(size) <= hot, "cold").withColumn("_cold_place", F.lit(0).cast("long"))
+    # always 0, but no constant: the optimiser would take a constant out of the keys
+    cold = side(F.col(size) <= hot, "cold").withColumn("_cold_place", F.pmod(F.xxhash64(*[f"_cold_{k}" for k in keys]), F.lit(1)).cast("long"))
     out = served.join(cold, same("cold") & (F.col("_place") == F.col("_cold_place")), "left").withColumn("_found", F.coalesce("_hot", "_cold"))
     return out.select(*left.columns, *[F.col(f"_found.{c}").alias(c) for c in right.columns if c not in keys])
 
