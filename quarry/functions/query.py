@@ -22,21 +22,23 @@ SYNONYMS = (
     ("奖励", "奖品", "掉落", "兑换", "产出"),
 )
 # Phrases of asking, which part keywords.
-STOP_PHRASES = """
-我需要 我要 我想 想要 需要 帮我把 帮我 给我 请问 麻烦 帮忙
-看一下 看看 看下 查一下 查下 找一下 找到 找出 查找 查询 搜索 告诉我
-说明一下 解释一下 介绍一下 整理一下 总结一下 列出来 列一下 列出
-有哪些 有没有 是多少 是什么 哪些 哪个 哪张 哪里 什么 怎么样 怎么 怎样 如何 多少
-最近几期 最新的 最新 最近 新增 新的 一个 一下 这个 那个 这些 那些
-里面的 里面 其中 以及 还有 分别 可以 能否 能不能 应该
-的 了 吗 呢 吧 把 和 与 及
-表格 逻辑
-""".split()
+STOP_PHRASES = (
+    "我需要", "我要", "我想", "想要", "需要", "帮我把", "帮我", "给我", "请问", "麻烦", "帮忙", "看一下", "看看", "看下",
+    "查一下", "查下", "找一下", "找到", "找出", "查找", "查询", "搜索", "告诉我", "说明一下", "解释一下", "介绍一下", "整理一下", "总结一下",
+    "列出来", "列一下", "列出", "有哪些", "有没有", "是多少", "是什么", "哪些", "哪个", "哪张", "哪里", "什么", "怎么样", "怎么",
+    "怎样", "如何", "多少", "最近几期", "最新的", "最新", "最近", "新增", "新的", "一个", "一下", "这个", "那个", "这些",
+    "那些", "里面的", "里面", "其中", "以及", "还有", "分别", "可以", "能否", "能不能", "应该", "的", "了", "吗",
+    "呢", "吧", "把", "和", "与", "及", "表格", "逻辑",
+)
 # Nouns that part long fragments, beside the synonyms; words too general to search for; words before a name.
-NOUNS = "活动 玩法 策划 版本 道具 精灵 皮肤 礼包 商店 任务 剧情 产出 消耗 设计 内容".split()
+NOUNS = (
+    "活动", "玩法", "策划", "版本", "道具", "精灵", "皮肤", "礼包", "商店", "任务", "剧情", "产出", "消耗", "设计", "内容",
+)
 GENERAL = {"id", "ids"}
-LEADS = "帮我 给我 我要 我想 想要 需要 找到 找出 查找 查询 看看 最新 最近 复用 沿用 套用 一个 这个 那个 关于 分析 说明 请 的".split()
-GENERIC_NAMES = set("活动 玩法 配置 配表 表格 任务 奖励 版本 最新 最近".split())
+LEADS = (
+    "帮我", "给我", "我要", "我想", "想要", "需要", "找到", "找出", "查找", "查询", "看看", "最新", "最近", "复用", "沿用", "套用", "一个", "这个", "那个", "关于", "分析", "说明", "请", "的",
+)
+GENERIC_NAMES = {"活动", "玩法", "配置", "配表", "表格", "任务", "奖励", "版本", "最新", "最近"}
 TABLE_INTENT = regex.compile("(?i)(配表|配置表|哪些表|表格|字段|参数|前端模块|后台模块)")
 LATEST_INTENT = regex.compile(r"(?i)(最新|最近|(?<![a-z0-9_])latest(?![a-z0-9_]))")
 NAMED = regex.compile(r"([\p{Han}·•・:_-]{2,24})[\s·•・:_-]*(\d{2,})")
@@ -52,7 +54,7 @@ def _longest_first(words) -> str:
 
 #: What lies between keywords: a phrase of asking, other characters, or the border of CJK and Latin letters.
 _BREAKS = regex.compile(rf"{_longest_first(STOP_PHRASES)}|[^\p{{L}}\p{{N}}_./:-]+|(?<={CJK})(?=[a-z])|(?<=[a-z])(?={CJK})", regex.V1)
-_VOCABULARY = regex.compile(f"({_longest_first([w for g in SYNONYMS for w in g if not w.isascii()] + NOUNS)})")
+_VOCABULARY = regex.compile(f"({_longest_first([w for g in SYNONYMS for w in g if not w.isascii()] + list(NOUNS))})")
 
 
 def distinct(values) -> list[str]:
@@ -119,6 +121,8 @@ class QueryPlan:
     named: tuple[Named, ...] = ()
     latest: bool = False
     tables: bool = False
+    #: Words of the first group of synonyms that the question names: one of them must be in a result.
+    primary: tuple[str, ...] = ()
     terms: tuple[str, ...] = field(default=(), repr=False)
 
 
@@ -155,6 +159,22 @@ def understand(query: str, synonyms: bool = True) -> QueryPlan:
     marked = [a for a in found if (regex.search("[A-Z]", a) and len(a) > 2) or regex.search(r"[\d_./:-]", a) or len(a) > 7]
     plan = QueryPlan(
         query, tuple(concepts), tuple(phrases), tuple(distinct(map(fold, found))), tuple(distinct(map(fold, marked))), tuple(named_groups(query)),
-        latest, bool(TABLE_INTENT.search(query)), tuple(ordered_terms(expanded_terms(query, synonyms))),
+        latest, bool(TABLE_INTENT.search(query)), next(iter(fired_groups(query)), ()), tuple(ordered_terms(expanded_terms(query, synonyms))),
     )
     return weigh(plan, [1.0] * len(concepts)) if concepts else plan
+
+
+def query_tokens(term: str) -> list[str]:
+    """What an index looks up for a term: characters and pairs of Han runs, runs of at most eight, other words whole."""
+    out: list[str] = []
+    for han, word in regex.findall(r"(\p{Han}+)|([a-z0-9_./:-]{2,})", fold(term)):
+        out += [*han, *(han[i : i + 2] for i in range(len(han) - 1)), *([han] if 1 < len(han) <= 8 else [])] if han else [word]
+    return distinct(out)
+
+
+def required_tokens(term: str) -> list[str]:
+    """Index terms that must all be there for a term to match: pairs of Han characters, and words."""
+    out: list[str] = []
+    for han, word in regex.findall(r"(\p{Han}+)|([a-z0-9_./:-]{2,})", fold(term)):
+        out += [han[i : i + 2] for i in range(len(han) - 1)] if han else [word]
+    return distinct(out)

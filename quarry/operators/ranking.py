@@ -7,8 +7,14 @@ from pyspark.sql import functions as F
 
 
 def first_per(df: DataFrame, key: str, *order) -> DataFrame:
-    """The first row of each key."""
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_r = 1").drop("_r")
+    """The first row of each key, in ascending order of Columns: a partial aggregate, so that no key meets in one task."""
+    best = F.min_by(F.struct(*[c for c in df.columns if c != key]), F.struct(*[F.col(c) if isinstance(c, str) else c for c in order]))
+    return df.groupBy(key).agg(best.alias("_best")).select(key, "_best.*")
+
+
+def newest(day: str) -> Column:
+    """An ascending key that puts late days first."""
+    return -F.unix_date(F.col(day))
 
 
 def field_strength(term: Column, title: Column, path: Column, text: Column) -> Column:
@@ -21,18 +27,19 @@ def rank_bonus(rank: Column) -> Column:
     return F.when(rank == 0, 0.06).when(rank < 0, -rank / (1 - rank) * 0.06).otherwise(0.0)
 
 
-def quality_floor(df: DataFrame, kind: str, relevance: str) -> DataFrame:
-    """Rows not below min(best, max(.3, .7 best)) of their kind; the best is a partial aggregate, so no kind meets in one task."""
+def quality_floor(df: DataFrame, kind: str, relevance: str, exempt: Column | None = None) -> DataFrame:
+    """Rows not below min(best, max(.3, .7 best)) of their kind, and exempt ones; the best is a partial aggregate, so no kind meets in one task."""
     best = df.groupBy(kind).agg(F.max(relevance).alias("_best"))
-    return df.join(F.broadcast(best), kind).where(F.col(relevance) >= F.least(F.col("_best"), F.greatest(F.lit(0.3), 0.7 * F.col("_best")))).drop("_best")
+    enough = F.col(relevance) >= F.least(F.col("_best"), F.greatest(F.lit(0.3), 0.7 * F.col("_best")))
+    return df.join(F.broadcast(best), kind).where(enough if exempt is None else enough | exempt).drop("_best")
 
 
-def hybrid(df: DataFrame, relevance: str, day: str) -> Column:
-    """.68 relevance + .32 recency, scaled over the rows of df."""
-    span = df.agg(F.min(day).alias("lo"), F.max(day).alias("hi")).first()
-    width = (span.hi - span.lo).days if span.lo and span.hi else 0
-    recent = F.datediff(F.col(day), F.lit(span.lo)) / F.lit(float(width)) if width else F.lit(0.0)
-    return 0.68 * F.col(relevance) + 0.32 * recent
+def with_hybrid(df: DataFrame, relevance: str, day: str, name: str) -> DataFrame:
+    """df with .68 relevance + .32 recency, scaled over its rows; where all are of one day, recency is 1. One row is broadcast."""
+    span = df.agg(F.min(day).alias("_lo"), F.max(day).alias("_hi"))
+    width = F.datediff("_hi", "_lo").cast("double")
+    recent = F.when(width > 0, F.datediff(F.col(day), F.col("_lo")) / width).otherwise(1.0)
+    return df.crossJoin(F.broadcast(span)).withColumn(name, 0.68 * F.col(relevance) + 0.32 * recent).drop("_lo", "_hi")
 
 
 def within_budget(df: DataFrame, order: list, size: str, budget: int, by: list[str]) -> DataFrame:

@@ -6,16 +6,20 @@ effective_date, all folded at indexing time.
 
 from __future__ import annotations
 
+import datetime as dt
 import math
+from collections.abc import Iterable
+from dataclasses import dataclass
 from functools import reduce
+from operator import itemgetter
 
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.query import Concept, Named, QueryPlan, weigh
-from quarry.functions.text import utf16_length
-from quarry.operators.ranking import quality_floor, rank_bonus
+from quarry.functions.query import Concept, Named, QueryPlan, required_tokens, weigh
+from quarry.functions.text import cosine, fold, utf16_length, without_marks
+from quarry.operators.ranking import first_per, newest, quality_floor, rank_bonus, with_hybrid
 
 FIELDS = ("title", "heading", "relative_path", "chunk_text")
 GAP = r"[^\p{L}\p{N}]*"
@@ -111,46 +115,206 @@ def score(plan: QueryPlan, rank: Column | None = None, semantic: Column | None =
     return F.least(F.lit(1.0), s)
 
 
+def indexed(term: str) -> Column:
+    """Whether a chunk's index terms hold all that the term asks for.
+
+    Title and path are indexed with a document's first chunk alone, a heading with the first chunk that has it; letters
+    count without marks.
+    """
+    fields = [F.col("chunk_text"), F.when(F.col("ordinal") == 0, F.concat_ws(" ", "title", "relative_path")), F.when(F.col("ordinal") == 0, F.col("heading"))]
+
+    def found(token: str) -> Column:
+        if token.isascii():
+            return _any(F.coalesce(without_marks(c).rlike(rf"(?<![a-z0-9]){regex.escape(token)}(?![a-z0-9])"), F.lit(False)) for c in fields)
+        return _any(F.coalesce(c.contains(token), F.lit(False)) for c in fields)
+
+    tokens = required_tokens(term)
+    return reduce(lambda a, b: a & b, map(found, tokens)) if tokens else F.lit(False)
+
+
 def weighted(chunks: DataFrame, plan: QueryPlan) -> QueryPlan:
     """plan with inverse document frequencies as weights: one aggregate row, a column for each keyword."""
-    tests = [(holds(c.primary), _any(holds(a) for a in c.alternates)) for c in plan.concepts]
+    tests = [(indexed(c.primary), _any(indexed(a) for a in c.alternates)) for c in plan.concepts]
     sums = [F.sum(t.cast("long")).alias(f"{kind}{i}") for i, pair in enumerate(tests) for kind, t in zip("pa", pair, strict=True)]
     row = chunks.agg(F.count("*").alias("n"), *sums).first()
     idf = lambda d: math.log(1 + (max(row.n, d) - d + 0.5) / (d + 0.5)) if d else 0.0
-    own = [(idf(row[f"p{i}"] or 0), idf(row[f"a{i}"] or 0)) for i in range(len(tests))]
-    found = [p or a for p, a in own]
+    # a keyword that stands nowhere has half the weight of its synonyms, or the least of all
+    found = [idf(row[f"p{i}"] or 0) or idf(row[f"a{i}"] or 0) / 2 for i in range(len(tests))]
     least = min((w for w in found if w > 0), default=0.0)
     return weigh(plan, [w or least for w in found])
 
 
-def search(chunks: DataFrame, plan: QueryPlan, limit: int = 20, sort: str = "newest", latest_per_family: bool = False, excerpts: int = 3) -> DataFrame:
+@dataclass(frozen=True)
+class Filters:
+    """What a request narrows its results to; empty means all. Dates are inclusive."""
+
+    sources: tuple[str, ...] = ()
+    kinds: tuple[str, ...] = ()
+    sections: tuple[str, ...] = ()
+    extensions: tuple[str, ...] = ()
+    documents: tuple = ()
+    updated_after: dt.date | None = None
+    updated_before: dt.date | None = None
+
+    def of(self, chunks: DataFrame) -> DataFrame:
+        """Chunks that pass; filters on columns of documents reach the scan."""
+        for column, values in (("source_id", self.sources), ("source_kind", self.kinds), ("section", self.sections), ("doc_id", self.documents)):
+            chunks = chunks.where(F.col(column).isin(*values)) if values else chunks
+        if self.extensions:
+            chunks = chunks.where(F.lower("extension").isin(*[e.lower() for e in self.extensions]))
+        if self.updated_after:
+            chunks = chunks.where(F.col("effective_date") >= F.lit(self.updated_after))
+        return chunks.where(F.col("effective_date") <= F.lit(self.updated_before)) if self.updated_before else chunks
+
+
+# Roles of documents beside an activity's plan, by title, and what asks for each.
+ROLES = (
+    ("累充|充值", "累充|充值"), ("玩法内容|玩法设计|表格设计", "玩法内容|玩法设计|表格设计|配表"), ("数组特效|特效设计", "数组特效|特效设计"),
+    ("商业数值|数值模型", "商业数值|数值模型"), ("复用", "复用|沿用|套用"),
+)
+ACTIVITY = "活动"
+
+
+def named_document(title: Column, path: Column, groups: Iterable[Named]) -> Column:
+    """How well a document is named as one of the activities, a title a quarter more than a path; 0 if it isn't."""
+    scores = [c for g in groups for c in (F.when(named_score(title, g) > 0, named_score(title, g) + 0.25).otherwise(0.0), named_score(path, g))]
+    return F.greatest(F.lit(0.0), F.lit(0.0), *scores)
+
+
+def role_score(plan: QueryPlan) -> Column:
+    """How much a document's title and path make it the one that is asked for, among those of an activity or anchor."""
+    if not plan.named and not (plan.latest and plan.document_anchors):
+        return F.lit(0.0)
+    title, path = F.col("title"), F.col("relative_path")
+    both, query = F.concat_ws("\n", title, path), fold(plan.query)
+    s = named_document(title, path, plan.named) * 4
+    for a in plan.document_anchors:
+        s = s + F.when(title.contains(a), 1.0).when(path.contains(a), 0.25).otherwise(0.0)
+    for t in plan.terms:
+        s = s + F.when(both.contains(t), min(10, len(t)) * 0.08).otherwise(0.0)
+    if plan.named or ACTIVITY in query:
+        s = s + F.when(title.contains(ACTIVITY), 1.0).otherwise(0.0)
+    for of_title, of_query in ROLES:
+        s = s + F.when(title.rlike(of_title), 0.6 if regex.search(of_query, query) else -0.45).otherwise(0.0)
+    return s
+
+
+def required_documents(chunks: DataFrame, anchors: Iterable[str], most: int = 12) -> DataFrame | None:
+    """(doc_id) of the document for each anchor: titled so, else with it in the title, the path or a heading; the newest of equals.
+
+    One row an anchor, from a partial aggregate.
+    """
+    anchors = list(anchors)[:most]
+    if not anchors:
+        return None
+    title, path, heading = F.col("title"), F.col("relative_path"), F.col("heading")
+    level = lambda a: F.when(title == a, 0).when(title.contains(a), 1).when(path.contains(a), 2).when(heading.contains(a), 3)
+    best = [F.min(F.when(level(a).isNotNull(), F.struct(level(a).alias("level"), newest("effective_date").alias("age"), "relative_path", "doc_id"))).alias(f"a{i}") for i, a in enumerate(anchors)]
+    return chunks.agg(*best).select(F.explode(F.array_compact(F.array(*[F.col(f"a{i}.doc_id") for i in range(len(anchors))]))).alias("doc_id")).distinct()
+
+
+def breadth(plan: QueryPlan) -> Column:
+    """How much of the question a chunk's own text covers beside the keyword it covers best."""
+    text = F.col("chunk_text")
+    parts = []
+    for c in plan.concepts:
+        own = text.contains(c.named.entity) & text.contains(c.named.number) if c.named else text.contains(c.primary)
+        other = F.lit(False) if c.named else _any(text.contains(a) for a in c.alternates)
+        words = (c.named.entity, c.named.number) if c.named else (c.primary,)
+        told = reduce(lambda a, b: a & b, [F.col("title").contains(w) | F.col("relative_path").contains(w) for w in words])
+        parts.append(F.when(told, 0.0).when(own, c.weight).when(other, c.weight / 2).otherwise(0.0))
+    return reduce(lambda a, b: a + b, parts) - F.greatest(F.lit(0.0), F.lit(0.0), *parts)
+
+
+# How far ahead a chunk's score secures its place, and what breadth counts beside it.
+LOCKED, BREADTH = 0.03, 0.3
+DOCUMENT = ("doc_id", "title", "relative_path", "source_kind", "family_key", "effective_date")
+
+
+def search(
+    chunks: DataFrame, plan: QueryPlan, limit: int = 20, sort: str = "newest", latest_per_family: bool = False, excerpts: int = 3,
+    filters: Filters = Filters(), semantic: DataFrame | None = None, targeted: bool = False, gate: bool = True,
+) -> DataFrame:
     """The best documents with their best chunks: doc_id, relevance, and the columns of documents, ordinals in order of score.
 
     Every chunk that holds a term is scored; chunks of a document meet in partial aggregates, and texts don't travel.
-    Ties go to newer documents, then by path and doc_id. A question without concepts finds nothing.
+    Documents below their kind's floor go, but for those that an anchor requires, that are named as the activity, or that
+    have the role asked for. sort is newest, relevance or hybrid: the first limit documents in that order are taken, the
+    required ones before all others. Ties go by path and doc_id. A question without concepts finds nothing.
+
+    filters narrow before scores are compared. semantic is (doc_id, ordinal, similarity) for the rows that have one. With
+    targeted, the documents are chosen already: no floor, and chunks that cover more of the question come sooner.
     """
     if not plan.concepts:
-        return chunks.limit(0).select("doc_id", F.lit(0.0).alias("relevance"), "title", "relative_path", "source_kind", "family_key", "effective_date", F.array().cast("array<long>").alias("ordinals"))
+        return chunks.limit(0).select("doc_id", F.lit(0.0).alias("relevance"), *DOCUMENT[1:], F.array().cast("array<long>").alias("ordinals"))
     plan = weighted(chunks, plan)
+    chunks = filters.of(chunks)
     words = [w for c in plan.concepts for w in (c.primary, *c.alternates, *((c.named.entity,) if c.named else ()))]
     anchored = [holds(a) for a in plan.anchors if a in plan.document_anchors]
-    hit = chunks.where(_any([*(holds(w) for w in dict.fromkeys(words)), *anchored]))
-    keys = ["doc_id", "title", "relative_path", "source_kind", "family_key", "effective_date"]
-    scored = hit.select(*keys, F.col("ordinal").cast("long").alias("ordinal"), F.round(score(plan), 9).alias("score"))
-    best = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "ordinal")))
+    hit = chunks if targeted else chunks.where(_any([*(holds(w) for w in dict.fromkeys(words)), *anchored]))
+    if semantic is not None:
+        hit = hit.join(semantic.select("doc_id", "ordinal", "similarity"), ["doc_id", "ordinal"], "left")
+    value = F.round(score(plan, semantic=F.coalesce("similarity", F.lit(0.0)) if semantic is not None else None), 9)
+    # what a result must hold: a word of the first concept or a document anchor; one of these anchors; every other anchor
+    needles = {f"_p{i}": w for i, w in enumerate(plan.primary)} | {f"_d{i}": a for i, a in enumerate(plan.document_anchors)} | {f"_a{i}": a for i, a in enumerate(a for a in plan.anchors if a not in plan.document_anchors)}
+    own = breadth(plan) if targeted else F.lit(0.0)
+    scored = hit.select(*DOCUMENT, F.col("ordinal").cast("long").alias("ordinal"), value.alias("score"), F.round(own, 9).alias("breadth"), *[holds(w).alias(k) for k, w in needles.items()])
     # two levels, so that a document of very many chunks is cut to its best before its chunks meet
-    top = scored.withColumn("_r", F.row_number().over(Window.partitionBy("doc_id", F.col("ordinal") % 64).orderBy(F.desc("score"), "ordinal"))).where(F.col("_r") <= excerpts)
-    docs = top.groupBy(*keys).agg(F.max("score").alias("relevance"), F.slice(F.transform(best, lambda x: x["ordinal"]), 1, excerpts).alias("ordinals"))
-    docs = quality_floor(docs, "source_kind", "relevance")
-    order = {
-        "newest": [F.desc("effective_date"), F.desc("relevance")],
-        "relevance": [F.desc("relevance"), F.desc("effective_date")],
-    }[sort] + ["relative_path", "doc_id"]
+    order = [F.desc("score"), "ordinal"]
+    if targeted:
+        edge = Window.partitionBy("doc_id").orderBy(*order)
+        scored = scored.withColumn("_edge", F.coalesce(F.nth_value("score", excerpts).over(edge.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(-1.0)))
+        ahead = F.col("score") > F.col("_edge") + LOCKED
+        scored = scored.withColumn("_key", F.when(ahead | (F.col("_edge") < 0), 10 + F.col("score")).otherwise(F.round(F.col("score") + BREADTH * F.col("breadth"), 9)))
+        order = [F.desc("_key"), "ordinal"]
+        top = scored.withColumn("_r", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
+    else:
+        top = scored.withColumn("_key", F.col("score")).withColumn("_r", F.row_number().over(Window.partitionBy("doc_id", F.col("ordinal") % 64).orderBy(*order)))
+    relevance = scored.groupBy("doc_id").agg(F.max("score").alias("relevance"))
+    best = F.array_sort(F.collect_list(F.struct((-F.col("_key")).alias("s"), "ordinal", *needles)))
+    docs = top.where(F.col("_r") <= excerpts).groupBy(*DOCUMENT).agg(F.slice(best, 1, excerpts).alias("best")).join(relevance, "doc_id")
+    docs = docs.withColumn("ordinals", F.transform("best", lambda x: x["ordinal"]))
+    if needles and not targeted:
+        has = {k: F.array_contains(F.transform("best", itemgetter(k)), True) for k in needles}
+        of = lambda p: [c for k, c in has.items() if k.startswith(p)]
+        document = _any(of("_d"))
+        keep = document | _any(of("_p")) if plan.primary else F.lit(True)
+        if plan.document_anchors:
+            keep = keep & document
+        for c in of("_a"):
+            keep = keep & c
+        docs = docs.where(keep)
+    docs = docs.drop("best").withColumn("role", F.round(role_score(plan), 9)).withColumn("named", named_document(F.col("title"), F.col("relative_path"), plan.named) > 0)
+    if gate and not targeted:
+        docs = identity_gate(docs, plan)
+    required = None if targeted else required_documents(chunks, plan.document_anchors)
+    docs = docs.withColumn("required", F.lit(False)) if required is None else docs.join(F.broadcast(required.withColumn("_q", F.lit(True))), "doc_id", "left").withColumn("required", F.coalesce("_q", F.lit(False))).drop("_q")
+    if not targeted:
+        docs = quality_floor(docs, "source_kind", "relevance", F.col("required") | F.col("named") | (F.col("role") >= 0.9))
+    docs = with_hybrid(docs, "relevance", "effective_date", "mixed")
+    keys = {"newest": [newest("effective_date"), -F.col("role"), -F.col("relevance")], "relevance": [-F.col("relevance"), newest("effective_date")], "hybrid": [-F.round("mixed", 9)]}[sort]
+    keys = [*keys, F.col("relative_path"), F.col("doc_id")]
     if latest_per_family:
-        first = Window.partitionBy("family_key").orderBy(*order)
-        docs = docs.withColumn("_f", F.row_number().over(first)).where("_f = 1").drop("_f")
-    chosen = docs.orderBy(F.desc("relevance"), F.desc("effective_date"), "relative_path", "doc_id").limit(limit)
-    return chosen.orderBy(*order).select("doc_id", "relevance", *keys[1:], "ordinals")
+        docs = first_per(docs, "family_key", *[k.alias(f"_k{i}") for i, k in enumerate(keys)])
+    chosen = docs.orderBy(F.desc("required"), *keys).limit(limit)
+    return chosen.orderBy(*keys).select("doc_id", "relevance", *DOCUMENT[1:], "ordinals")
+
+
+def identity_gate(docs: DataFrame, plan: QueryPlan) -> DataFrame:
+    """docs narrowed to those of the named activity, or of the anchors where the newest is asked for, if there are any.
+
+    A question about tables narrows designs alone. Whether there are any comes from one broadcast row.
+    """
+    anchored = _any(F.concat_ws("\n", "title", "relative_path").contains(a) for a in plan.document_anchors)
+    if plan.named:
+        own, all_kinds = F.col("named"), not plan.tables
+    elif plan.latest and plan.document_anchors and not plan.tables:
+        own, all_kinds = anchored, True
+    else:
+        return docs
+    found = docs.agg(F.coalesce(F.max(own.cast("int")), F.lit(0)).alias("_any"))
+    other = F.lit(False) if all_kinds else F.col("source_kind") != "design"
+    return docs.crossJoin(F.broadcast(found)).where((F.col("_any") == 0) | own | other).drop("_any")
 
 
 def retrieve(chunks: DataFrame, plan: QueryPlan, documents: int = 8, per_document: int = 4, characters: int = 16_000) -> DataFrame:

@@ -112,7 +112,7 @@ def best_chunks(docs: DataFrame) -> DataFrame:
 
 
 def latest_per_family(s, d):
-    return R.first_per(corpus(s, d), "family_key", F.desc("effective_date"), "relative_path", "doc_id").select("family_key", "doc_id", day())
+    return R.first_per(corpus(s, d), "family_key", R.newest("effective_date"), "relative_path", "doc_id").select("family_key", "doc_id", day())
 
 
 def version_chain(s, d):
@@ -133,8 +133,8 @@ def quality_floor(s, d):
 
 
 def hybrid_sort(s, d):
-    c = relevance(corpus(s, d))
-    return c.withColumn("rank_value", F.round(R.hybrid(c, "relevance", "effective_date"), 6)).orderBy(F.desc("rank_value"), "relative_path").limit(40).select("doc_id", "rank_value")
+    c = R.with_hybrid(relevance(corpus(s, d)), "relevance", "effective_date", "_value")
+    return c.withColumn("rank_value", F.round("_value", 6)).orderBy(F.desc("rank_value"), "relative_path").limit(40).select("doc_id", "rank_value")
 
 
 def evidence_budget(s, d):
