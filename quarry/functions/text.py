@@ -85,8 +85,11 @@ def family_key(title: Column) -> Column:
     return F.struct(key.alias("key"), F.when(bare == title, F.lit(0.55)).otherwise(sure).alias("confidence"))
 
 
-def find_dates(text: Column) -> Column:
-    """Sorted distinct valid dates, written apart (20yy-m[-d]) or together (20yymmdd); digits may not touch them."""
+def find_dates(text: Column, today: Column | None = None) -> Column:
+    """Sorted distinct valid dates, written apart (20yy-m[-d]) or together (20yymmdd); digits may not touch them.
+
+    With today, only dates to a year and a day after it count.
+    """
     apart = r"(?<![0-9])20[0-9]{2}[-/.年_](?:0?[1-9]|1[0-2])(?:[-/.月_](?:0?[1-9]|[12][0-9]|3[01])日?)?(?![0-9])"
     joined = r"(?<![0-9])20[0-9]{2}(?:0[1-9]|1[0-2])(?:[0-2][0-9]|3[01])(?![0-9])"
 
@@ -97,7 +100,7 @@ def find_dates(text: Column) -> Column:
 
     a = F.transform(F.regexp_extract_all(text, F.lit(apart), 0), parsed)
     b = F.transform(F.regexp_extract_all(text, F.lit(joined), 0), lambda m: F.to_date(F.try_to_timestamp(m, F.lit("yyyyMMdd"))))
-    return F.array_sort(F.array_distinct(F.filter(F.concat(a, b), lambda d: d.isNotNull())))
+    return F.array_sort(F.array_distinct(F.filter(F.concat(a, b), lambda d: d.isNotNull() if today is None else d.isNotNull() & (d <= F.date_add(today, 366)))))
 
 
 def utf16_length(text: Column) -> Column:

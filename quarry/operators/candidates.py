@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.joins import hot_join
+
 WORD = r"[a-z0-9_./:-]{2,}"
 
 
 def canonical_ids(docs: DataFrame) -> DataFrame:
-    """canonical_id: of the newest of the documents of equal content (then by path and id)."""
+    """canonical_id: of the newest of the documents of equal content (then by path and id).
+
+    Groups are partial aggregates of narrow columns, and the largest ones are broadcast: copies never meet in one task.
+    """
     best = F.min(F.struct((-F.unix_date("effective_date")).alias("d"), "relative_path", "doc_id"))
-    # a partial aggregate, not a window: a group of many copies never meets in one task
-    groups = docs.groupBy("content_hash").agg(best.alias("b")).select("content_hash", F.col("b.doc_id").alias("canonical_id"))
-    return docs.join(groups, "content_hash")
+    groups = docs.groupBy("content_hash").agg(best.alias("b"), F.count("*").alias("copies")).select("content_hash", F.col("b.doc_id").alias("canonical_id"), "copies")
+    return hot_join(docs, groups, ["content_hash"], "copies", F.col("doc_id")).drop("copies")
+
+
+def canonical(docs: DataFrame) -> DataFrame:
+    """The documents that are their groups' canonical ones: ids from narrow columns, texts only for what is left."""
+    ids = docs.groupBy("content_hash").agg(F.min(F.struct((-F.unix_date("effective_date")).alias("d"), "relative_path", "doc_id")).alias("b")).select("b.doc_id")
+    return docs.join(ids, "doc_id", "left_semi")
 
 
 def postings(chunks: DataFrame, *keep: str) -> DataFrame:
@@ -27,11 +39,17 @@ def idf(n, df):
 
 
 def concept_scores(chunks: DataFrame, terms: list[str]) -> DataFrame:
-    """Score of each chunk: the sum of its terms' inverse document frequencies, normalised to sum 1 over the terms."""
-    hits = postings(chunks, *[c for c in ("relative_path", "effective_date") if c in chunks.columns]).where(F.col("term").isin(terms))
-    n = chunks.agg(F.count("*").alias("n"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    w = df.crossJoin(F.broadcast(n)).select("term", idf(F.col("n"), F.col("df")).alias("w"))  # a row for each query term
-    w = w.crossJoin(F.broadcast(w.agg(F.sum("w").alias("s")))).select("term", (F.col("w") / F.col("s")).alias("w"))
-    keys = [c for c in hits.columns if c != "term"]
-    return hits.join(F.broadcast(w), "term").groupBy(*keys).agg(F.sum("w").alias("score"))
+    """Score of each chunk: the sum of its terms' inverse document frequencies, normalised to sum 1 over the terms.
+
+    Of a chunk's words only those of the terms are kept, without a row for each word; their frequencies are one broadcast row.
+    """
+    words = F.regexp_extract_all(F.lower("chunk_text"), F.lit(WORD), 0)
+    found = chunks.withColumn("_found", F.array_intersect(words, F.array(*map(F.lit, terms))))
+    counts = [F.sum(F.array_contains("_found", t).cast("long")).alias(f"d{i}") for i, t in enumerate(terms)]
+    row = found.agg(F.count("*").alias("n"), *counts)
+    weight = [F.when(F.col(f"d{i}") > 0, idf(F.col("n"), F.col(f"d{i}"))).otherwise(0.0) for i in range(len(terms))]
+    total = reduce(lambda a, b: a + b, weight)
+    row = row.select(F.map_from_arrays(F.array(*map(F.lit, terms)), F.array(*[w / total for w in weight])).alias("_w"))
+    keys = [c for c in ("doc_id", "ordinal", "relative_path", "effective_date") if c in chunks.columns]
+    hits = found.where(F.size("_found") > 0).select(*keys, "_found").crossJoin(F.broadcast(row))
+    return hits.select(*keys, F.aggregate("_found", F.lit(0.0), lambda s, t: s + F.col("_w")[t]).alias("score"))

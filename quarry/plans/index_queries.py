@@ -92,13 +92,8 @@ def like_fallback(s, d):
     return corpus(s, d).where(any_of).orderBy(F.desc("effective_date"), "relative_path", "doc_id").limit(50).select("doc_id", day())
 
 
-def doc_targeted_score(s, d):
-    """Chunks of the documents that its SQL names by where they hold the terms, the best two of each."""
-    return best_chunks(corpus(s, d).where("doc_id IN (1, 11, 12, 17, 28, 30)"))
-
-
 def doc_scores(s, d):
-    """The same of all documents."""
+    """Chunks of all documents by where they hold the terms, the best two of each."""
     return best_chunks(corpus(s, d))
 
 
@@ -167,12 +162,6 @@ def incremental_upsert(s, d):
     return M.upsert(old, c.where("doc_id % 2 = 0").select("doc_id", F.lit("new").alias("version"), "content_hash"), "doc_id").groupBy("version").agg(F.count("*").alias("documents"))
 
 
-def semantic_rescore(s, d):
-    e = table(s, d, "embeddings")
-    q = e.where("vec_id = 0").select(F.col("embedding").alias("q"))  # one row
-    return e.join(F.broadcast(q)).select("vec_id", F.round(T.cosine(F.col("embedding"), F.col("q")), 5).alias("similarity")).orderBy(F.desc("similarity"), "vec_id").limit(80)
-
-
 def semantic_neighbours(s, d):
     """Every row whose id is divisible by 20 against all rows: the nearest 80 of each."""
     e = table(s, d, "embeddings")
@@ -192,16 +181,6 @@ def sparse_headings(s, d):
     return c.groupBy("doc_id", "heading").agg(F.min("ordinal").alias("ordinal"))
 
 
-TEXTS = ["2026.01.02_2026.03.04 / 20260805_20260901 / 20260805", "20260100 20260231", "于 2026年3月5日 更新", "2026/7 x", "no date 12026-01-02", "20251231"]
-
-
-def find_dates_literals(s, d):
-    return s.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "id long, t string").select("id", F.array_join(F.transform(T.find_dates(F.col("t")), lambda x: x.cast("string")), ",").alias("dates"))
-
-
-DATES_SQL = "SELECT * FROM (VALUES (CAST(0 AS BIGINT), '2026-01-02,2026-03-04,2026-08-05,2026-09-01'), (1, ''), (2, '2026-03-05'), (3, '2026-07-01'), (4, ''), (5, '2025-12-31')) AS v(id, dates)"
-
-
 def find_dates_texts(s, d):
     """Dates of whole texts."""
     return corpus(s, d).select("doc_id", F.array_join(F.transform(T.find_dates(F.col("text")), lambda x: x.cast("string")), ",").alias("dates"))
@@ -231,6 +210,27 @@ def text_chunks(s, d):
     return corpus(s, d).select("doc_id", F.posexplode(chunk_udf(2000, 100)(F.col("text"))).alias("ordinal", "piece")).select("doc_id", F.col("ordinal").cast("long"), F.length("piece").cast("long").alias("chars"))
 
 
+def _family_sql() -> str:
+    """The drops in their order; the borders of ASCII words are \\b here."""
+    drops, c = [p.replace("(?<![a-z0-9_])", r"\b").replace("(?![a-z0-9_])", r"\b") for p in T.FAMILY_DROPS], "n"
+    for p in drops:
+        c = f"regexp_replace({c}, '{p}', ' ', 'g')"
+    trimmed = lambda x: f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+    return f"""{WITH}, t AS (SELECT doc_id, lower({trimmed('title')}) AS n FROM corpus), b AS (SELECT *, {trimmed(c)} AS bare FROM t), k AS (SELECT *, trim(regexp_replace(bare, '{T.FAMILY_ENDINGS}', '')) AS cut FROM b),
+    r AS (SELECT *, CASE WHEN cut = '' THEN n ELSE cut END AS key FROM k)
+    SELECT doc_id, key, round(CASE WHEN bare = n THEN CAST(0.55 AS DOUBLE) ELSE greatest(0.45, least(0.95, 0.62 + CAST(greatest(0, length(n) - length(key)) AS DOUBLE) / greatest(20, length(n)))) END, 4) AS confidence FROM r"""
+
+
+FAMILY_SQL = _family_sql()
+#: A piece ends after the last sentence's end in its second half; the next begins 100 characters before that.
+PIECES_SQL = r"""WITH RECURSIVE t AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents),
+c AS (SELECT doc_id, t, 0 AS ordinal, 0 AS pos, least(length(t), 2000) AS till FROM t WHERE t <> ''
+  UNION ALL SELECT doc_id, t, ordinal + 1, greatest(pos + 1, cut - 100), least(length(t), greatest(pos + 1, cut - 100) + 2000) FROM (
+    SELECT *, CASE WHEN till >= length(t) THEN till WHEN regexp_matches(substr(t, pos + 1001, till - pos - 1000), '[。！？!?；;\n]') THEN pos + 1000 + length(regexp_replace(substr(t, pos + 1001, till - pos - 1000), '[^。！？!?；;\n]*$', '')) ELSE till END AS cut FROM c) WHERE cut < length(t)),
+p AS (SELECT doc_id, ordinal, t, pos, CASE WHEN till >= length(t) THEN till WHEN regexp_matches(substr(t, pos + 1001, till - pos - 1000), '[。！？!?；;\n]') THEN pos + 1000 + length(regexp_replace(substr(t, pos + 1001, till - pos - 1000), '[^。！？!?；;\n]*$', '')) ELSE till END AS cut FROM c)
+SELECT doc_id, CAST(ordinal AS BIGINT) AS ordinal, CAST(length(regexp_replace(substr(t, pos + 1, cut - pos), '^\s+|\s+$', '', 'g')) AS BIGINT) AS chars FROM p"""
+
+
 QUERIES = {
     "canonical_dedup": (canonical_dedup, f"{WITH} SELECT doc_id, first_value(doc_id) OVER (PARTITION BY content_hash ORDER BY effective_date DESC, relative_path, doc_id) AS canonical_id FROM corpus"),
     "duplicate_groups": (duplicate_groups, f"{WITH} SELECT content_hash, count(*) AS copies, min(doc_id) AS first_id FROM corpus GROUP BY 1 HAVING count(*) > 1"),
@@ -241,7 +241,6 @@ QUERIES = {
     "consistency": (consistency, f"{WITH_CHUNKS} SELECT (SELECT count(*) FROM chunks) AS chunks, (SELECT count(*) FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM corpus WHERE doc_id % 10 <> 0)) AS orphan_chunks, (SELECT count(*) FROM corpus WHERE doc_id % 10 <> 0) AS documents"),
     "exact_anchor_rank": (exact_anchor_rank, f"{WITH}, t AS (SELECT unnest(['the', 'idiot', 'src1/en']) AS term), h AS (SELECT term, doc_id, content_hash, effective_date, relative_path, CAST(CASE WHEN title = term THEN 0 WHEN contains(title, term) THEN 1 WHEN contains(relative_path, term) THEN 2 ELSE 3 END AS BIGINT) AS level FROM corpus, t WHERE contains(title, term) OR contains(relative_path, term) OR contains(text, term)), a AS (SELECT *, row_number() OVER (PARTITION BY term, content_hash ORDER BY level, effective_date DESC, relative_path, doc_id) AS r FROM h), b AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY level, effective_date DESC, relative_path, doc_id) AS rank FROM a WHERE r = 1) SELECT term, rank, doc_id, level FROM b WHERE rank <= 4"),
     "like_fallback": (like_fallback, f"{WITH} SELECT doc_id, CAST(effective_date AS VARCHAR) AS effective_date FROM corpus WHERE contains(lower(title), 'idiot') OR contains(lower(text), 'idiot') OR contains(text, '|') OR contains(text, '%%%') ORDER BY corpus.effective_date DESC, relative_path, doc_id LIMIT 50"),
-    "doc_targeted_score": (doc_targeted_score, f"{WITH_CHUNKS}, s AS (SELECT doc_id, ordinal, CAST((CASE WHEN contains(title, 'the') THEN 10 ELSE 0 END) + (CASE WHEN contains(relative_path, 'the') THEN 6 ELSE 0 END) + (CASE WHEN contains(chunk_text, 'the') THEN 4 ELSE 0 END) + (CASE WHEN contains(title, 'ention') THEN 10 ELSE 0 END) + (CASE WHEN contains(relative_path, 'ention') THEN 6 ELSE 0 END) + (CASE WHEN contains(chunk_text, 'ention') THEN 4 ELSE 0 END) AS BIGINT) AS score FROM chunks WHERE doc_id IN (1, 11, 12, 17, 28, 30)), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ordinal) AS rank FROM s) SELECT * FROM r WHERE rank <= 2"),
     "doc_scores": (doc_scores, f"{WITH_CHUNKS}, s AS (SELECT doc_id, ordinal, CAST((CASE WHEN contains(title, 'the') THEN 10 ELSE 0 END) + (CASE WHEN contains(relative_path, 'the') THEN 6 ELSE 0 END) + (CASE WHEN contains(chunk_text, 'the') THEN 4 ELSE 0 END) + (CASE WHEN contains(title, 'ention') THEN 10 ELSE 0 END) + (CASE WHEN contains(relative_path, 'ention') THEN 6 ELSE 0 END) + (CASE WHEN contains(chunk_text, 'ention') THEN 4 ELSE 0 END) AS BIGINT) AS score FROM chunks), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ordinal) AS rank FROM s) SELECT * FROM r WHERE rank <= 2"),
     "latest_per_family": (latest_per_family, f"{WITH}, r AS (SELECT *, row_number() OVER (PARTITION BY family_key ORDER BY effective_date DESC, relative_path, doc_id) AS r FROM corpus) SELECT family_key, doc_id, CAST(effective_date AS VARCHAR) AS effective_date FROM r WHERE r = 1"),
     "version_chain": (version_chain, f"{WITH} SELECT doc_id, CAST(effective_date AS VARCHAR) AS effective_date, title FROM corpus WHERE family_key = 'src1:en' ORDER BY corpus.effective_date DESC, relative_path LIMIT 30"),
@@ -254,14 +253,12 @@ QUERIES = {
     "source_reconcile": (source_reconcile, f"{WITH}, b AS (SELECT source, max(doc_id) AS i FROM corpus WHERE doc_id % 5 <> 0 AND source <> 'src5' GROUP BY 1), a AS (SELECT source, max(doc_id) AS i FROM corpus WHERE source <> 'src3' AND doc_id % 7 <> 0 GROUP BY 1) SELECT coalesce(a.source, b.source) AS source, CASE WHEN b.i IS NULL THEN 'added' WHEN a.i IS NULL THEN 'removed' WHEN a.i <> b.i THEN 'changed' ELSE 'same' END AS change FROM b FULL JOIN a ON a.source = b.source"),
     "missing_deleted": (missing_deleted, f"{WITH} SELECT source, CAST(sum(CASE WHEN doc_id % 4 = 0 AND source IN ('src1', 'src2') THEN 1 ELSE 0 END) AS BIGINT) AS deleted, count(*) AS documents FROM corpus GROUP BY 1"),
     "incremental_upsert": (incremental_upsert, f"{WITH} SELECT CASE WHEN doc_id % 2 = 0 THEN 'new' ELSE 'old' END AS version, count(*) AS documents FROM corpus WHERE doc_id % 2 = 0 OR doc_id % 3 <> 0 GROUP BY 1"),
-    "semantic_rescore": (semantic_rescore, "WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 5) AS similarity FROM embeddings, q ORDER BY similarity DESC, vec_id LIMIT 80"),
     "semantic_neighbours": (semantic_neighbours, "WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])), 5) AS similarity FROM embeddings, q), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, similarity, rank FROM r WHERE rank <= 80"),
     "chunk_lengths": (chunk_lengths, f"{WITH_CHUNKS} SELECT doc_id, count(*) AS chunks, CAST(sum(length(chunk_text)) AS BIGINT) AS chars, max(ordinal) AS last FROM chunks GROUP BY 1"),
     "sparse_headings": (sparse_headings, f"{WITH_CHUNKS} SELECT doc_id, left(chunk_text, 3) AS heading, min(ordinal) AS ordinal FROM chunks GROUP BY 1, 2"),
-    "find_dates_literals": (find_dates_literals, DATES_SQL),
     "find_dates_texts": (find_dates_texts, None),
     "section_classify": (section_classify, _section_sql()),
-    "family_key_titles": (family_key_titles, None),
-    "normalized_titles": (normalized_titles, None),
-    "text_chunks": (text_chunks, None),
+    "family_key_titles": (family_key_titles, FAMILY_SQL),
+    "normalized_titles": (normalized_titles, f"{WITH} SELECT doc_id, lower(regexp_replace(regexp_replace(title, '^\\s+|\\s+$', '', 'g'), '[\\t\\n\\f\\r ]+', ' ', 'g')) AS title FROM corpus"),
+    "text_chunks": (text_chunks, PIECES_SQL),
 }

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarry.plans import index_queries, retrieval_queries, search_queries
+from quarry.plans import evidence_queries, index_queries, retrieval_queries, search_queries
 
-MODULES = (search_queries, index_queries, retrieval_queries)
+MODULES = (search_queries, index_queries, retrieval_queries, evidence_queries)
 
 
 def queries() -> dict:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.query import QueryPlan, required_tokens, understand
 from quarry.operators import search as S
-from quarry.operators.candidates import canonical_ids
+from quarry.operators.candidates import canonical
 from quarry.plans.corpus import CHUNKS_SQL, CORPUS_SQL, corpus, line_chunks, table
 
 #: The corpus is European: ASCII words are anchors, all of which a result must hold.
@@ -23,7 +23,7 @@ FIELDS = ("title", "heading", "relative_path", "source_kind", "family_key", "eff
 
 def index(s: SparkSession, d: str) -> DataFrame:
     """Canonical line chunks in lower case, without headings."""
-    docs = canonical_ids(corpus(s, d)).where("doc_id = canonical_id").withColumn("title", F.lower("title")).withColumn("heading", F.lit(""))
+    docs = canonical(corpus(s, d)).withColumn("title", F.lower("title")).withColumn("heading", F.lit(""))
     return line_chunks(docs, *FIELDS).withColumn("chunk_text", F.lower("chunk_text"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.candidates import canonical_ids, concept_scores
+from quarry.operators.candidates import canonical, concept_scores
 from quarry.plans.corpus import CHUNKS_SQL, CORPUS_SQL, corpus, line_chunks
 
 TERMS = ["the", "idiot", "und"]
@@ -13,7 +13,7 @@ TERMS = ["the", "idiot", "und"]
 
 def concept_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top 20 documents for three weighted terms over the chunks of canonical documents."""
-    docs = canonical_ids(corpus(spark, sf_dir)).where("doc_id = canonical_id")
+    docs = canonical(corpus(spark, sf_dir))
     chunks = line_chunks(docs, "relative_path", "effective_date")
     scored = concept_scores(chunks, TERMS)
     best = Window.partitionBy("doc_id").orderBy(F.desc("score"), "ordinal")

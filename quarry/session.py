@@ -26,10 +26,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset.
+
+    Only where driver and executors are one process can that be a folder of this machine; elsewhere it must be set.
+    """
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not at:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = getattr(sc, "_quarry_shared", None) or tempfile.mkdtemp(prefix="quarry-shared")
         sc._quarry_shared = at
     if sc.getCheckpointDir() is None:

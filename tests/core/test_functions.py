@@ -29,8 +29,8 @@ def test_terms(spark):
 def test_family(spark):
     key = lambda t: tuple(one(spark, T.fold(t), T.family_key))
     assert key("plain title") == ("plain title", 0.55)
-    k, sure = key("【复用】星河活动 v1.2 2026-01-02")
-    assert k == "星河活动" and 0.62 < sure <= 0.95
+    k, sure = key("【复用】夜港活动 v1.2 2026-01-02")
+    assert k == "夜港活动" and 0.62 < sure <= 0.95
 
 
 def test_sections(spark):

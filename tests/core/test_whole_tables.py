@@ -4,7 +4,7 @@ from quarry.functions import text as T
 from quarry.plans import registry
 from tests.conftest import SF
 
-TITLES = ["【复用】星河活动 v1.2 2026-01-02", "奖励配置 说明文档", "plain title", "活动方案", "pool_001 version 3", "（旧版）轮盘_玩法"]
+TITLES = ["【复用】夜港活动 v1.2 2026-01-02", "奖励配置 说明文档", "plain title", "活动方案", "pool_001 version 3", "（旧版）轮盘_玩法"]
 
 
 def test_every_document_is_answered(spark):
