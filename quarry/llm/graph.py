@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.native import hot_join
+from quarry.operators.joins import hot_join
 from quarry.session import remove_path, shared_path
 
 MOST_ROUNDS, HOT_SHARE = 60, 200
@@ -26,17 +26,20 @@ def components(edges: DataFrame) -> DataFrame:
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("d"))
         hot = max(1, n // HOT_SHARE)
         # larger neighbours of each node point to the smallest of its neighbourhood
-        large = hot_join(both, low, ["u"], "d", hot, F.col("v")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        at = shared_path(spark, "components-large")
+        hot_join(both, low, ["u"], "d", F.col("v"), hot).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().write.parquet(at)
+        large = spark.read.parquet(at)
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d"))
         # of the smaller neighbours, and the node itself, each points to the smallest
-        small = hot_join(large, least, ["u"], "d", hot, F.col("v"))
+        small = hot_join(large, least, ["u"], "d", F.col("v"), hot)
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         path = shared_path(spark, "components")
         small.write.parquet(path)
         e = spark.read.parquet(path)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if old:
-            remove_path(spark, old)
+        for done in (at, old):
+            if done:
+                remove_path(spark, done)
         old = path
         if now == before:
             break

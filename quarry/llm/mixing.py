@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.native import SPACE, hot_join, n_words, prefix_sums, uniform
+from quarry.llm.native import SPACE, n_words, prefix_sums, uniform
+from quarry.operators.joins import hot_join
 from quarry.session import stored
 
 WEIGHTS = (5, 2, 1)
@@ -67,7 +68,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     plan = targets(sizes, weights, share, most).withColumn("_bins", F.ceil(F.col("_n") / bin_rows))
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
     hot = max(1, rows.count() // HOT_SHARE)
-    rows = hot_join(rows.withColumn("_source", named("source")), plan.withColumn("_source", named("source")).drop("source"), ["_source"], "_n", hot, F.col("_tie")).drop("_source")
+    rows = hot_join(rows.withColumn("_source", named("source")), plan.withColumn("_source", named("source")).drop("source"), ["_source"], "_n", F.col("_tie"), hot).drop("_source")
     # keys are exponential with few rates: their distribution function deals them evenly to the bins, in their order
     later = F.aggregate("_levels", F.lit(0.0), lambda s, x: s + x["c"] * F.exp(-F.col("_key") * x["w"])) / F.col("_n")
     rows = rows.withColumn("_bin", F.least(F.floor(F.col("_bins") * (1.0 - later)), F.col("_bins") - 1)).drop("_n", "_levels")

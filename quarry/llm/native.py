@@ -56,23 +56,6 @@ def prefix_sums(df: DataFrame, group: list[str], bin_col: str, order: list, valu
     return joined.withColumn(name, F.col("_offset") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_offset")
 
 
-def hot_join(left: DataFrame, right: DataFrame, keys: list[str], size: str, hot: int, spread: Column) -> DataFrame:
-    """left, each row with the columns of the one row of right that has its keys (null where there is none).
-
-    size is a column of right: the number of left's rows of the key. Keys of more than hot rows, of which there are at
-    most left's rows / hot, are broadcast, and their rows are dealt by spread, so that no key's rows meet in one task.
-    """
-    values = F.struct(*[c for c in right.columns if c not in keys])
-    side = lambda which, name: right.where(which).select(*[F.col(k).alias(f"_{name}_{k}") for k in keys], values.alias(f"_{name}"))
-    same = lambda name: reduce(and_, [F.col(k) == F.col(f"_{name}_{k}") for k in keys])
-    served = left.join(F.broadcast(side(F.col(size) > hot, "hot")), same("hot"), "left")
-    served = served.withColumn("_place", F.when(F.col("_hot").isNotNull() | F.col(keys[0]).isNull(), F.xxhash64(spread)).otherwise(F.lit(0).cast("long")))
-    # always 0, but no constant: the optimiser would take a constant out of the keys
-    cold = side(F.col(size) <= hot, "cold").withColumn("_cold_place", F.pmod(F.xxhash64(*[f"_cold_{k}" for k in keys]), F.lit(1)).cast("long"))
-    out = served.join(cold, same("cold") & (F.col("_place") == F.col("_cold_place")), "left").withColumn("_found", F.coalesce("_hot", "_cold"))
-    return out.select(*left.columns, *[F.col(f"_found.{c}").alias(c) for c in right.columns if c not in keys])
-
-
 def running(lengths: Column) -> Column:
     """Sums of the first 0, 1, 2, ... lengths (one for each), in runs of RUN, so that no array is copied for each of its items."""
     add = lambda c: F.aggregate(c, F.lit(0), lambda x, y: x + y)

@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.graph import components
-from quarry.llm.native import hot_join
 from quarry.llm.words import blocks, mix, shingle_sets
+from quarry.operators.joins import hot_join
 from quarry.session import ship, stored
 
 N_HASH, ROWS, BANDS = 126, 6, 42
@@ -147,10 +147,12 @@ def remaining(members: DataFrame, roots: DataFrame, bits: DataFrame, percent: in
     A class has at most about SIDE pairs in a run. Small buckets are joined with themselves. Large ones are dealt in squares of at most about SIDE * SIDE pairs, whose
     bitmaps are compared in numpy, so that only pairs that may be similar enough become rows.
     """
-    comp = members.join(roots, members.cid == roots.node, "left").select("bucket", "cid", "n", "size", F.coalesce("root", "cid").alias("comp"))
-    sizes = comp.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
+    own = members.join(roots, members.cid == roots.node, "left").select("bucket", "cid", "n", "size", F.coalesce("root", "cid").alias("comp"))
+    sizes = own.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("c").alias("rows")).where("comps > 1")
-    comp = hot_join(comp, mixed.select("bucket", F.col("top.comp").alias("top"), "rows"), ["bucket"], "rows", hot, F.col("cid")).where("top IS NOT NULL").drop("rows")
+    # buckets of several components are few: they are written once, and what follows reads these alone
+    mixed = stored(mixed.select("bucket", F.col("top.comp").alias("top"), "rows"), "near-mixed")
+    comp = stored(hot_join(own, mixed, ["bucket"], "rows", F.col("cid"), hot).where("top IS NOT NULL").drop("rows"), "near-comp")
     small = comp.where(F.col("size") <= SMALL)
     rare = small.where("comp <> top").select("bucket", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
     cross = rare.join(small, "bucket").where((F.col("ca") != F.col("comp")) & (F.least("na", "n") * 100 >= F.greatest("na", "n") * percent))
@@ -178,7 +180,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = PERCENT) ->
     heads = rows.select("k1", "k2", F.col("doc_id").alias("cid"), "n_shingles", "bits", "bands").join(classes, ["k1", "k2", "cid"], "left_semi")
     members = heads.select("cid", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     hubs = members.groupBy("bucket").agg(F.min(F.struct("cid", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1")
-    members = stored(hot_join(members, hubs, ["bucket"], "size", hot, F.col("cid")).where("size IS NOT NULL").select("bucket", "cid", "n", "hub", "size"), "near-members")
+    members = stored(hot_join(members, hubs, ["bucket"], "size", F.col("cid"), hot).where("size IS NOT NULL").select("bucket", "cid", "n", "hub", "size"), "near-members")
     texts = docs.join(classes.select(F.col("cid").alias("doc_id")), "doc_id", "left_semi")
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -192,7 +194,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = PERCENT) ->
 
     # hubs are the smallest classes of their buckets: a < b
     first = members.where("cid <> hub.cid").groupBy(F.col("hub.cid").alias("a"), F.col("hub.n").alias("na"), F.col("cid").alias("b"), F.col("n").alias("nb")).agg(F.max("size").alias("size"))
-    first = first.withColumn("run", F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / GROUP)).cast("long"))
+    first = stored(first.withColumn("run", F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / GROUP)).cast("long")), "near-first")
     links = stored(linked(first), "near-links")
     roots = stored(components(links), "near-roots")
 
@@ -208,7 +210,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = PERCENT) ->
             roots = stored(components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)), "near-roots")
 
     named = classes.join(roots, classes.cid == roots.node, "left").select("k1", "k2", F.coalesce("root", "cid").alias("root"), "copies")
-    out = hot_join(rows.drop("bands", "bits"), named, ["k1", "k2"], "copies", hot, F.col("doc_id"))
+    out = hot_join(rows.drop("bands", "bits"), named, ["k1", "k2"], "copies", F.col("doc_id"), hot)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

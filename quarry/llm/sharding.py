@@ -16,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.native import hot_join, prefix_sums, uniform
+from quarry.llm.native import prefix_sums, uniform
+from quarry.operators.joins import hot_join
 from quarry.session import stored
 
 SHARDS, BIN_ROWS = 40, 1_000
@@ -94,7 +95,7 @@ def balanced(docs: DataFrame, n_shards: int = SHARDS, rounds: int | None = None,
     quota = F.floor(F.lit(total) / n_shards).cast("long")
     groups = rows.groupBy("gid").agg(F.count("*").alias("group_n"))
     hot = max(1, total // HOT_SHARE)
-    rows = stored(hot_join(rows, groups, ["gid"], "group_n", hot, F.col("doc_id")), "shard-grouped")
+    rows = stored(hot_join(rows, groups, ["gid"], "group_n", F.col("doc_id"), hot), "shard-grouped")
     linked = rows.where("group_n > 1")
     linked = _binned(linked, F.col("group_n"), F.col("doc_id"), F.lit("in-group"), bin_rows=bin_rows)
     linked = stored(prefix_sums(linked, ["gid"], "_bin", ["_u", "doc_id"], F.lit(1), "rank").drop("_u", "_bin"), "shard-linked")
@@ -115,7 +116,7 @@ def balanced(docs: DataFrame, n_shards: int = SHARDS, rounds: int | None = None,
     # each group's documents, in the order of their ranks, fill the places that its state holds: at most n_shards a group
     places = state.withColumn("till", F.sum("n").over(Window.partitionBy("gid").orderBy(F.desc("n"), "shard")))
     places = places.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("till", "shard"))).alias("places"), F.max("till").alias("of"))
-    seated = hot_join(linked, places, ["gid"], "of", hot, F.col("doc_id")).drop("of").withColumn("shard", F.filter("places", lambda p: F.col("rank") < p["till"])[0]["shard"]).drop("places", "rank")
+    seated = hot_join(linked, places, ["gid"], "of", F.col("doc_id"), hot).drop("of").withColumn("shard", F.filter("places", lambda p: F.col("rank") < p["till"])[0]["shard"]).drop("places", "rank")
 
     # exact quotas: what stands over a shard's quota is dealt anew with the unlinked documents
     share = (F.lit(total) / n_shards).cast("long") + F.when(F.col("shard") < total % n_shards, 1).otherwise(0)
