@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from operator import itemgetter
 
@@ -317,31 +317,61 @@ def identity_gate(docs: DataFrame, plan: QueryPlan) -> DataFrame:
     return docs.crossJoin(F.broadcast(found)).where((F.col("_any") == 0) | own | other).drop("_any")
 
 
-def retrieve(chunks: DataFrame, plan: QueryPlan, documents: int = 8, per_document: int = 4, characters: int = 16_000) -> DataFrame:
+def retrieve(
+    chunks: DataFrame, plan: QueryPlan, documents: int = 8, per_document: int = 4, characters: int = 16_000, sort: str = "newest",
+    chosen: tuple = (), filters: Filters = Filters(), reruns: DataFrame | None = None,
+) -> DataFrame:
     """Evidence of both kinds of source: (position, doc_id, ordinal, size, used), until the characters are spent.
 
     Three quarters of the places go to designs by date, or to tables by relevance where the question asks for tables;
-    the rest go to the other kind by relevance, then both fill up. Documents named by an anchor come first. Limits are
-    clamped to 1-50, 1-10 and 2,000-60,000. At most 150 rows of each kind are ranked.
+    the rest go to the other kind by relevance, then both fill up. Documents that the question requires come before all:
+    of a named activity the design titled so, its newest declared rerun (reruns: doc_id, words) and the newest of a longer
+    name, as far as designs have places; and for each anchor a document that is named so. With chosen documents only these
+    are searched. Limits are clamped to 1-50, 1-10 and 2,000-60,000. At most 150 rows of each kind are ranked.
     """
     documents, per_document, characters = min(50, max(1, documents)), min(10, max(1, per_document)), min(60_000, max(2_000, characters))
     first, second = ("table", "design") if plan.tables else ("design", "table")
-    pool = max(documents * 3, 12 if plan.named else 0)
-    hits = [search(chunks.where(F.col("source_kind") == k), plan, pool, "newest", excerpts=per_document) for k in (first, second)]
-    both = hits[0].unionByName(hits[1])
+    pool, chosen = max(documents * 3, 12 if plan.named else 0), tuple(dict.fromkeys(chosen))[:documents]
+    of = lambda k: search(chunks.where(F.col("source_kind") == k), plan, pool, sort, excerpts=per_document, filters=replace(filters, documents=chosen or filters.documents), targeted=bool(chosen))
+    both = of(first).unionByName(of(second))
+    title, path = F.col("title"), F.col("relative_path")
+    names = F.concat_ws("\n", title, path)
+    if reruns is not None:
+        both = both.join(F.broadcast(reruns.where("words IS NOT NULL").select("doc_id", F.lit(True).alias("_rerun")).limit(2 * pool)), "doc_id", "left")
+    both = both.withColumn("_rerun", F.coalesce("_rerun", F.lit(False))) if reruns is not None else both.withColumn("_rerun", F.lit(False))
+    identity = named_document(title, path, plan.named) > 0 if plan.named else _any(names.contains(a) for a in plan.document_anchors)
+    if not plan.tables and not chosen and (plan.named or (plan.latest and plan.document_anchors)):
+        found = both.agg(F.coalesce(F.max((identity | F.col("_rerun")).cast("int")), F.lit(0)).alias("_any"))
+        both = both.crossJoin(F.broadcast(found)).where((F.col("_any") == 0) | identity | F.col("_rerun")).drop("_any")
     by_rel = Window.partitionBy("source_kind").orderBy(F.desc("relevance"), F.desc("effective_date"), "relative_path", "doc_id")
     by_day = Window.partitionBy("source_kind").orderBy(F.desc("effective_date"), F.desc("relevance"), "relative_path", "doc_id")
     quota = (documents * 3 + 3) // 4
     both = both.withColumn("_rel", F.row_number().over(by_rel)).withColumn("_day", F.row_number().over(by_day))
     place = F.col("_rel") if plan.tables else F.col("_day")
-    anchored = _any([*(F.concat_ws("\n", "title", "relative_path").contains(a) for a in plan.document_anchors), *(standalone(F.col("title"), g) for g in plan.named)])
-    is_first = F.col("source_kind") == first
-    level = F.when(anchored, 0).when(is_first & (place <= quota), 1).when(~is_first & (F.col("_rel") <= documents - quota), 2).when(is_first, 3).otherwise(4)
-    one = Window.orderBy("_level", F.when(F.col("_level") == 1, place).otherwise(F.col("_rel")), "doc_id")  # at most 300 rows
-    chosen = both.withColumn("_level", level).withColumn("_n", F.row_number().over(one)).where(F.col("_n") <= documents)
-    order = [F.desc("relevance"), F.desc("effective_date")] if plan.tables else [F.desc("effective_date"), F.desc("relevance")]
-    chosen = chosen.withColumn("position", F.row_number().over(Window.orderBy(*order, "relative_path", "doc_id")).cast("long"))
-    rows = chosen.select("position", "doc_id", F.posexplode("ordinals").alias("_k", "ordinal"))
+    is_first, design = F.col("source_kind") == first, F.col("source_kind") == "design"
+    level = F.when(is_first & (place <= quota), 10).when(~is_first & (F.col("_rel") <= documents - quota), 20).when(is_first, 30).otherwise(40)
+    both = both.withColumn("_level", level)
+    # the first document that meets each requirement, in the order of requirements
+    titled = named_document(title, F.lit(""), plan.named) if plan.named else F.lit(0.0)
+    needs: list[tuple[Column, Column]] = []
+    if plan.named:
+        needs.append((design & ((titled > 0) | (identity & ~F.col("_rerun"))), -titled))
+        slots = max(documents - quota, min(3, documents // 2)) if plan.tables else documents
+        longer = _any((named_score(title, g) > 0) & ~standalone(title, g) for g in plan.named)
+        needs += [(design & c, F.lit(0.0)) for c in (F.col("_rerun"), longer)][: max(0, slots - 1)]
+    numbers = {g.number for g in plan.named}
+    needs += [(names.contains(a), F.lit(0.0)) for a in plan.document_anchors if a not in numbers]
+    if needs and not chosen:
+        order = lambda c, key: F.min(F.when(c, F.struct(key.alias("k"), newest("effective_date").alias("age"), "relative_path", "doc_id")))
+        row = both.agg(*[order(c, key).alias(f"n{i}") for i, (c, key) in enumerate(needs)])
+        must = row.select(F.array_compact(F.array(*[F.col(f"n{i}.doc_id") for i in range(len(needs))])).alias("_must"))  # one row
+        both = both.crossJoin(F.broadcast(must)).withColumn("_at", F.array_position("_must", F.col("doc_id")))
+        both = both.withColumn("_level", F.when(F.col("_at") > 0, F.least(F.col("_at"), F.lit(9))).otherwise(F.col("_level"))).drop("_must", "_at")
+    one = Window.orderBy("_level", F.when(F.col("_level") == 10, place).otherwise(F.col("_rel")), "doc_id")  # at most 300 rows
+    kept = both.withColumn("_n", F.row_number().over(one)).where(F.col("_n") <= documents)
+    last = [F.desc("relevance"), F.desc("effective_date")] if plan.tables or sort == "relevance" else [F.desc("effective_date"), F.desc("relevance")]
+    kept = kept.withColumn("position", F.row_number().over(Window.orderBy(*last, "relative_path", "doc_id")).cast("long"))
+    rows = kept.select("position", "doc_id", F.posexplode("ordinals").alias("_k", "ordinal"))
     texts = chunks.select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), utf16_length(F.col("chunk_text")).alias("size"))
     packed = texts.join(F.broadcast(rows), ["doc_id", "ordinal"])  # at most 500 rows
     running = Window.orderBy("position", "_k").rowsBetween(Window.unboundedPreceding, 0)

@@ -1 +1 @@
-
+"""Incremental indexing by Structured Streaming."""
