@@ -233,7 +233,7 @@ DOCUMENT = ("doc_id", "title", "relative_path", "source_kind", "family_key", "ef
 
 def search(
     chunks: DataFrame, plan: QueryPlan, limit: int = 20, sort: str = "newest", latest_per_family: bool = False, excerpts: int = 3,
-    filters: Filters = Filters(), semantic: DataFrame | None = None, targeted: bool = False, gate: bool = True,
+    filters: Filters = Filters(), semantic: DataFrame | None = None, targeted: bool = False, reruns: DataFrame | None = None,
 ) -> DataFrame:
     """The best documents with their best chunks: doc_id, relevance, and the columns of documents, ordinals in order of score.
 
@@ -243,7 +243,8 @@ def search(
     required ones before all others. Ties go by path and doc_id. A question without concepts finds nothing.
 
     filters narrow before scores are compared. semantic is (doc_id, ordinal, similarity) for the rows that have one. With
-    targeted, the documents are chosen already: no floor, and chunks that cover more of the question come sooner.
+    targeted, the documents are chosen already: no floor, and chunks that cover more of the question come sooner. reruns
+    (doc_id) count as named too.
     """
     if not plan.concepts:
         return chunks.limit(0).select("doc_id", F.lit(0.0).alias("relevance"), *DOCUMENT[1:], F.array().cast("array<long>").alias("ordinals"))
@@ -285,7 +286,9 @@ def search(
             keep = keep & c
         docs = docs.where(keep)
     docs = docs.drop("best").withColumn("role", F.round(role_score(plan), 9)).withColumn("named", named_document(F.col("title"), F.col("relative_path"), plan.named) > 0)
-    if gate and not targeted:
+    if reruns is not None:
+        docs = docs.join(reruns.select("doc_id", F.lit(True).alias("_own")).distinct(), "doc_id", "left").withColumn("named", F.col("named") | F.coalesce("_own", F.lit(False))).drop("_own")
+    if not targeted:
         docs = identity_gate(docs, plan)
     required = None if targeted else required_documents(chunks, plan.document_anchors)
     docs = docs.withColumn("required", F.lit(False)) if required is None else docs.join(F.broadcast(required.withColumn("_q", F.lit(True))), "doc_id", "left").withColumn("required", F.coalesce("_q", F.lit(False))).drop("_q")
@@ -332,17 +335,19 @@ def retrieve(
     documents, per_document, characters = min(50, max(1, documents)), min(10, max(1, per_document)), min(60_000, max(2_000, characters))
     first, second = ("table", "design") if plan.tables else ("design", "table")
     pool, chosen = max(documents * 3, 12 if plan.named else 0), tuple(dict.fromkeys(chosen))[:documents]
-    of = lambda k: search(chunks.where(F.col("source_kind") == k), plan, pool, sort, excerpts=per_document, filters=replace(filters, documents=chosen or filters.documents), targeted=bool(chosen))
+    of = lambda k: search(chunks.where(F.col("source_kind") == k), plan, pool, sort, excerpts=per_document, filters=replace(filters, documents=chosen or filters.documents), targeted=bool(chosen), reruns=reruns)
     both = of(first).unionByName(of(second))
     title, path = F.col("title"), F.col("relative_path")
     names = F.concat_ws("\n", title, path)
+    none = F.lit(False)
     if reruns is not None:
-        both = both.join(F.broadcast(reruns.where("words IS NOT NULL").select("doc_id", F.lit(True).alias("_rerun")).limit(2 * pool)), "doc_id", "left")
-    both = both.withColumn("_rerun", F.coalesce("_rerun", F.lit(False))) if reruns is not None else both.withColumn("_rerun", F.lit(False))
+        both = both.join(reruns.select("doc_id", F.lit(True).alias("_body"), F.col("words").isNotNull().alias("_rerun")), "doc_id", "left").withColumn("_body", F.coalesce("_body", none)).withColumn("_rerun", F.coalesce("_rerun", none))
+    else:
+        both = both.withColumn("_body", none).withColumn("_rerun", none)
     identity = named_document(title, path, plan.named) > 0 if plan.named else _any(names.contains(a) for a in plan.document_anchors)
     if not plan.tables and not chosen and (plan.named or (plan.latest and plan.document_anchors)):
-        found = both.agg(F.coalesce(F.max((identity | F.col("_rerun")).cast("int")), F.lit(0)).alias("_any"))
-        both = both.crossJoin(F.broadcast(found)).where((F.col("_any") == 0) | identity | F.col("_rerun")).drop("_any")
+        found = both.agg(F.coalesce(F.max((identity | F.col("_body")).cast("int")), F.lit(0)).alias("_any"))
+        both = both.crossJoin(F.broadcast(found)).where((F.col("_any") == 0) | identity | F.col("_body")).drop("_any")
     by_rel = Window.partitionBy("source_kind").orderBy(F.desc("relevance"), F.desc("effective_date"), "relative_path", "doc_id")
     by_day = Window.partitionBy("source_kind").orderBy(F.desc("effective_date"), F.desc("relevance"), "relative_path", "doc_id")
     quota = (documents * 3 + 3) // 4
@@ -355,7 +360,7 @@ def retrieve(
     titled = named_document(title, F.lit(""), plan.named) if plan.named else F.lit(0.0)
     needs: list[tuple[Column, Column]] = []
     if plan.named:
-        needs.append((design & ((titled > 0) | (identity & ~F.col("_rerun"))), -titled))
+        needs.append((design & ((titled > 0) | identity), -titled))
         slots = max(documents - quota, min(3, documents // 2)) if plan.tables else documents
         longer = _any((named_score(title, g) > 0) & ~standalone(title, g) for g in plan.named)
         needs += [(design & c, F.lit(0.0)) for c in (F.col("_rerun"), longer)][: max(0, slots - 1)]
