@@ -2,6 +2,10 @@
 
 Each stage is (spark, docs, sf_dir) -> DataFrame, written as Parquet and read again as the next one's docs. All but the
 last return the columns of documents.
+
+Cases: a null or empty text fails the quality rules and goes. Documents stay as they were, failing lines included: the
+rules decide on whole documents. Rows without id are judged by themselves and are no near-duplicates of others; rows of
+one id whose texts differ are documents of their own. An empty table gives empty stages.
 """
 
 from __future__ import annotations
