@@ -46,3 +46,15 @@ def test_run(spark):
     for r in sorted(rows, key=lambda r: r.start):
         assert r.start == at
         at += r.n_tokens
+
+
+def test_stages_of_empty_and_odd_tables(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(1, None, None, None, None), (None, "", "en", "a", 0), (None, None, None, "a", None)], docs.schema)
+    for k, (rows, last) in enumerate(((docs.limit(0), 0), (odd, 0))):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, rows, SF)
+            path = str(tmp_path / f"{k}-{name}")
+            out.write.parquet(path)
+            rows = spark.read.schema(out.schema).parquet(path)
+        assert rows.count() == last
