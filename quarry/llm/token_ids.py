@@ -95,10 +95,9 @@ class Encoder:
         for a in range(0, len(words), 256):
             part = words[a : a + 256]
             ids = np.frombuffer(self.raw([b" \0 ".join(part).decode()])[0], self.dtype)
-            cuts = [0, *(np.flatnonzero(ids == self.nul) * self.dtype.itemsize).tolist()]
             data, step = ids.tobytes(), self.dtype.itemsize
-            out.append(data[: cuts[1]] if len(cuts) > 1 else data)
-            out += [data[p + step : q] for p, q in zip(cuts[1:], [*cuts[2:], len(data)], strict=True)]
+            cuts = [-step, *(np.flatnonzero(ids == self.nul) * step).tolist(), len(data)]
+            out += [data[p + step : q] for p, q in zip(cuts, cuts[1:], strict=False)]
         return out
 
     def learn(self, new: list[bytes]) -> None:

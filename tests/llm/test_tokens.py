@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 from quarry.llm import token_fst
 from quarry.llm.token_fst import count_tokens, op8_token_counts, token_counts
-from quarry.llm.token_ids import encoder, op2_wavelet_tokens, read_rows, write_files
+from quarry.llm.token_ids import Encoder, encoder, op2_wavelet_tokens, read_rows, write_files
 from quarry.llm.wavelet import WaveletMatrix
 from tests.conftest import SF
 
@@ -47,6 +47,14 @@ def test_encoder_matches_the_library():
     assert not encoder(public_tokenizers.path("byte_bpe_50k.json")).by_word
 
 
+@pytest.mark.parametrize("n", [1, 256, 257])
+def test_few_new_words(n):
+    """A block whose new words leave one over."""
+    enc = Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    text = " ".join(f"w{'abcdefghij'[i // 100]}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i % 10]}" for i in range(n))
+    assert np.frombuffer(enc.encode([text])[0], enc.dtype).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(2)
     for n, planes in ((0, 3), (1, 1), (63, 4), (64, 4), (65, 9), (1000, 16), (3000, 17)):
