@@ -16,6 +16,7 @@ NAMES = {
     "op9_warc_derivatives": "warc",
     "op10_mix_sources": "mixing",
     "op12_bounded_packing": "packing",
+    "op13_spelling_variants": "spelling",
 }
 
 
