@@ -15,6 +15,7 @@ NAMES = {
     "op8_token_counts": "token_fst",
     "op9_warc_derivatives": "warc",
     "op10_mix_sources": "mixing",
+    "op11_token_alignment": "alignment",
     "op12_bounded_packing": "packing",
     "op13_spelling_variants": "spelling",
 }
