@@ -5,7 +5,8 @@ headers and digests. Both refer to the response (WARC-Refers-To) and to each oth
 follow from the source's, so that a repeated run makes the same records.
 
 Cases: null html is an empty payload; a null url gives a record without target. A record that isn't a response gives no
-derivative; one that can't be read gives a row of type issue, and the records after it are read. Equal rows give equal records. An empty table gives none. Other columns are ignored.
+derivative; one that can't be read, its compression included, gives a row of type issue, and the records after it are
+read. Equal rows give equal records. An empty table gives none. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from quarry.session import ship
 
 VERSION, DATE = "WARC/1.1", "2024-01-01T00:00:00Z"
 END = b"\r\n"
+#: How a gzip member begins; compressed bytes that are read at once.
+GZIP, PIECE = b"\x1f\x8b\x08", 1 << 12
 
 
 def digest(data: bytes) -> str:
@@ -53,22 +56,60 @@ def parse_headers(data: bytes) -> tuple[str, list[tuple[str, str]]]:
     return first, out
 
 
-def unzipped(data: bytes) -> bytes:
-    """Content of a file compressed by record or not; a damaged member ends it, what was before it counts."""
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        z = zlib.decompressobj(31)
+def inflated(data: memoryview, at: int) -> tuple[list[bytes], int]:
+    """Content of the gzip member at a place and where it ends; -1 where it is damaged: what was before that counts."""
+    z, out = zlib.decompressobj(31), []
+    while not z.eof and at < len(data):
+        part = data[at : at + PIECE]
         try:
-            out.append(z.decompress(data))
+            out.append(z.decompress(part))
         except zlib.error:
+            return out, -1
+        at += len(part) - len(z.unused_data)
+    return out, at if z.eof else -1
+
+
+def segments(data: bytes) -> Iterator[tuple[bytes, bool]]:
+    """(content, whether it ends as it should) of a file compressed by record or not, parted where it is damaged.
+
+    After a damaged member, or bytes that belong to none, the next member is looked for.
+    """
+    if data[:2] != GZIP[:2]:
+        yield data, True
+        return
+    run, at, view, lost = [], 0, memoryview(data), False
+    while at >= 0:
+        out, end = inflated(view, at)
+        if lost and end < 0 and not any(out):  # no member begins here: still the same damage
+            at = data.find(GZIP, at + 1)
+            continue
+        run, lost = run + out, False
+        if end >= 0 and data.startswith(GZIP, end):
+            at = end
+        elif end >= 0 and not data[end:].strip(b"\0\r\n "):
             break
-        data = z.unused_data
-    return b"".join(out) if out else data
+        else:
+            yield b"".join(run), False
+            run, lost, at = [], True, data.find(GZIP, at + 1 if end < 0 else end)
+    if run:
+        yield b"".join(run), True
 
 
 def records(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes | None]]:
-    """(headers, block) of every record of a WARC file's content; block is None for a broken one, after which the next is looked for."""
-    data = unzipped(data)
+    """(headers, block) of every record of a WARC file's content; block is None for a broken one, after which the next is looked for.
+
+    Damage of the compression is a broken record too, without headers where it leaves none.
+    """
+    for content, sound in segments(data):
+        broken = False
+        for headers, block in plain_records(content):
+            broken = block is None
+            yield headers, block
+        if not sound and not broken:
+            yield [], None
+
+
+def plain_records(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes | None]]:
     at = data.find(b"WARC/")
     while at >= 0:
         cut = data.find(END * 2, at)

@@ -73,6 +73,29 @@ def test_broken_records_are_reported_and_the_rest_is_read(spark):
     assert [x for x in got if x[0] == 5][:2] == two(5)[:1] * 2 or ("conversion" in {x[1] for x in got if x[0] == 5})
 
 
+def uris(data):
+    return [dict(h).get("WARC-Target-URI") if b is not None else None for h, b in records(data)]
+
+
+def test_damaged_compression_loses_no_other_record():
+    whole = [response(f"http://x/{i}", f"<p>{hashlib.sha256(str(i).encode()).hexdigest() * 9}</p>", str(i)) for i in range(6)]
+    zipped = [gzip.compress(w) for w in whole]
+    want = [f"http://x/{i}" for i in range(6)]
+    hurt = bytearray(zipped[2])
+    hurt[len(hurt) // 2 : len(hurt) // 2 + 20] = b"\xff" * 20
+    assert uris(b"".join(zipped)) == want and uris(b"".join(zipped) + b"\0" * 512) == want
+    assert uris(b"".join([*zipped[:2], bytes(hurt), *zipped[3:]])) == [*want[:2], None, *want[3:]]
+    assert uris(zipped[0] + b"junk" + b"".join(zipped[1:])) == [want[0], None, *want[1:]]
+    assert uris(b"".join(zipped)[:-30]) == [*want[:5], None]
+    assert uris(b"".join([bytes(hurt), bytes(hurt), *zipped[3:]])) == [None, *want[3:]]  # one damage
+    one = gzip.compress(b"".join(whole))
+    assert uris(one) == want and uris(one[: len(one) // 2] + b"".join(zipped))[-6:] == want
+    # a record across members, as block-wise writers make it
+    data = b"".join(whole)
+    assert uris(b"".join(gzip.compress(data[k : k + 500]) for k in range(0, len(data), 500))) == want
+    assert uris(b"\x1f\x8b") == [None] and uris(b"") == []
+
+
 def test_bodies_are_decoded():
     page = "<p>é text</p>".encode()
     packed = gzip.compress(page)
