@@ -7,9 +7,8 @@ passages in another order are found too. A pair counts where its tiles cover eno
 The test items are worked on in blocks of at most BLOCK_BYTES, each broadcast by itself: all items against all rows.
 
 Cases: a null text has no words. An item of fewer words than a seed is never found, unless least_words asks for
-it: then where all of it stands in a row. Equal items are found each. A
-document without id is judged all the same. An empty table of documents or items gives no pairs. Other columns are
-ignored.
+it: then where all of it stands in a row. Equal items are found each. A document or an item without id is judged all the
+same, and its pairs have a null there. An empty table of documents or items gives no pairs. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -74,7 +73,7 @@ class Seeds:
 
     def __init__(self, ids: list, texts: list, seed: int, least: int):
         self.words, self.at = words_of(texts)
-        self.ids, self.n = np.array(ids, np.int64), np.diff(self.at)
+        self.ids, self.n = ids, np.diff(self.at)
         self.tables = []
         for k in sorted({min(seed, n) for n in self.n.tolist() if n >= max(1, least)}):
             g = grams(self.words, k)
@@ -120,7 +119,7 @@ def find(batches: Iterator[pa.RecordBatch], table, seed: int, coverage: float) -
                 tiles = tile(p, q, k)
                 covered = sum(t[2] for t in tiles)
                 if covered >= coverage * seeds.n[x]:
-                    out.append((docs[a + doc], int(seeds.ids[x]), int(seeds.n[x]), covered, len(tiles), max(t[2] for t in tiles)))
+                    out.append((docs[a + doc], seeds.ids[x], int(seeds.n[x]), covered, len(tiles), max(t[2] for t in tiles)))
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 6, schema=PAIRS)
 
 
@@ -132,7 +131,7 @@ def contaminated(docs: DataFrame, items: DataFrame, seed: int = SEED_WORDS, cove
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    items = items.where("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n_blocks = -(-total // block_bytes) * (2 if total > block_bytes else 1)
     found = []

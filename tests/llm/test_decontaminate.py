@@ -66,8 +66,8 @@ def test_edges(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     items = spark.createDataFrame([(7, item, 1), (8, None, 1), (9, "one two", 1), (None, item, 1), (10, item, 1)], "item_id long, text string, doc_id long")
     for size in (16 << 20, 40):
-        got = sorted((r.doc_id or 0, r.item_id) for r in contaminated(docs, items, block_bytes=size).collect())
-        assert got == [(0, 7), (0, 10), (3, 7), (3, 10), (4, 7), (4, 10), (6, 7), (6, 7), (6, 10), (6, 10)]
+        got = sorted((r.doc_id or 0, r.item_id or 0) for r in contaminated(docs, items, block_bytes=size).collect())
+        assert got == [(i, x) for i in (0, 3, 4) for x in (0, 7, 10)] + [(6, x) for x in (0, 0, 7, 7, 10, 10)]
     assert sorted(r.doc_id for r in decontaminated(docs, items).collect()) == [1, 2, 5]
     assert contaminated(docs.limit(0), items).count() == 0 and contaminated(docs, items.limit(0)).count() == 0
 
@@ -80,6 +80,13 @@ def test_rows_without_id_are_judged_by_themselves(spark):
     assert sorted(kept, key=str) == sorted([(None, "clean words without an id"), (None, None), (4, "clean words of a repeated id")], key=str)
 
 
+def test_items_without_id_are_looked_for(spark):
+    docs = spark.createDataFrame([(1, "see the quick brown fox jumps over the lazy dog here"), (2, "clean")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "the quick brown fox jumps over the lazy dog"), (None, None)], "item_id long, text string")
+    assert [(r.doc_id, r.item_id, r.covered_words) for r in contaminated(docs, items).collect()] == [(1, None, 9)]
+    assert [r.doc_id for r in decontaminated(docs, items).collect()] == [2]
+
+
 def test_short_items_where_they_are_asked_for(spark):
     docs = spark.createDataFrame([(1, "x one, TWO y"), (2, "two one"), (3, "alpha"), (4, "one two three four five six")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "one two"), (8, "alpha"), (9, "one two three four five six"), (10, "")], "item_id long, text string")
