@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.joins import hot_join
@@ -28,6 +29,30 @@ def canonical(docs: DataFrame) -> DataFrame:
     return docs.join(ids, "doc_id", "left_semi")
 
 
+def leaders(docs: DataFrame) -> DataFrame:
+    """(doc_id, outranked_by) of the first of equal documents of each source: the newest, then by path and id.
+
+    outranked_by has the (source_id, source_kind) of the leaders that come before it. A content's array has at most one
+    entry a source, however many copies there are.
+    """
+    best = F.min(F.struct((-F.unix_date(F.col("effective_date").cast("date"))).alias("age"), "relative_path", "doc_id"))
+    each = docs.groupBy("content_hash", "source_id", "source_kind").agg(best.alias("b")).select("content_hash", F.struct("b.age", "b.relative_path", "b.doc_id", "source_id", "source_kind").alias("x"))
+    ladder = each.groupBy("content_hash").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    place = ladder.select("xs", F.posexplode("xs").alias("k", "x"))
+    return place.select("x.doc_id", F.transform(F.slice("xs", F.lit(1), F.col("k")), lambda y: F.struct(y["source_id"].alias("source_id"), y["source_kind"].alias("source_kind"))).alias("outranked_by"))
+
+
+def first_in_scope(source_ids: Sequence[str], kinds: Sequence[str] = ()) -> Column:
+    """Whether a document with leaders()' column is in the scope of some sources, and of some kinds if any are given, and
+    the first of its content there: no equal document of the scope comes before it."""
+
+    def inside(source: Column, kind: Column) -> Column:
+        return source.isin(list(source_ids)) & kind.isin(list(kinds)) if kinds else source.isin(list(source_ids))
+
+    before = F.exists("outranked_by", lambda x: inside(x["source_id"], x["source_kind"]))
+    return inside(F.col("source_id"), F.col("source_kind")) & F.coalesce(~before, F.lit(False))
+
+
 def postings(chunks: DataFrame, *keep: str) -> DataFrame:
     """Distinct terms of every chunk."""
     return chunks.select("doc_id", "ordinal", *keep, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("chunk_text"), F.lit(WORD), 0))).alias("term"))
