@@ -59,24 +59,41 @@ def entries(rows: DataFrame, terms: Callable[[Column], Column] = T.folded_terms)
     return plain.unionByName(each)
 
 
-def build(rows: DataFrame, path: str, terms: Callable[[Column], Column] = T.folded_terms, buckets: int = BUCKETS, block_chunks: int = BLOCK_CHUNKS, total: int | None = None) -> Postings:
-    """Write the postings of rows (see entries()) below path. total is the sum of all chunks' sizes, where it isn't that of their terms."""
+def build(
+    rows: DataFrame, path: str, terms: Callable[[Column], Column] = T.folded_terms, buckets: int = BUCKETS, block_chunks: int = BLOCK_CHUNKS, gone: DataFrame | None = None,
+    counts: DataFrame | None = None, size: Callable[[], Column] | None = None,
+) -> Postings:
+    """Write the postings of rows (see entries()) below path.
+
+    gone are rows of other segments that these replace: their terms count less one, so that the sums over all segments
+    are right. counts (term, df, best, total, n, size) are given where segments are merged: the sums of theirs. size is a
+    chunk's where it isn't that of its terms.
+    """
     spark = rows.sparkSession
+    place = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int").alias("bucket")
     n = rows.count()
     n_blocks = max(1, -(-n // block_chunks))
-    e = entries(rows, terms).select(
-        F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int").alias("bucket"), "term", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int").alias("block"),
-        "mask", F.struct("doc_id", "ordinal", "mask", "size").alias("e"),
-    )
+    e = entries(rows, terms).select(place, "term", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int").alias("block"), "mask", F.struct("doc_id", "ordinal", "mask", "size").alias("e"))
     head = (F.col("mask").bitwiseAND(HEADS) != 0).cast("int")
     laid = e.groupBy("bucket", "term", "block").agg(F.collect_list("e").alias("entries"), F.count("*").alias("n"), F.max(1 + head).alias("best"), F.sum(F.bit_count("mask")).alias("total"))
     laid.repartition("bucket", F.pmod("block", F.lit(SPREAD))).sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
-    written = spark.read.schema(f"term string, block int, entries {laid.schema['entries'].dataType.simpleString()}, n long, best int, total long, bucket int").parquet(f"{path}/postings")
-    written.groupBy("bucket", "term").agg(F.sum("n").alias("df"), F.max("best").alias("best"), F.sum("total").alias("total")).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
+    own = spark.read.schema("term string, n long, best int, total long, bucket int").parquet(f"{path}/postings").select("bucket", "term", F.col("n").alias("df"), "best", "total")
+    measured = lambda r: r.agg(F.count("*"), F.sum(size() if size else F.lit(0))).first()
+    if counts is not None:
+        own = counts.select(place, "term", "df", "best", "total")
+        n, total = counts.agg(F.max("n"), F.max("size")).first()
+    else:
+        total = measured(rows)[1] or 0 if size else None
+        if gone is not None:
+            own = own.unionByName(entries(gone, terms).groupBy("term").agg((-F.count("*")).alias("df"), F.lit(1).alias("best"), (-F.sum(F.bit_count("mask"))).alias("total")).select(place, "*"))
+            n_gone, size_gone = measured(gone)
+            n, total = n - n_gone, None if total is None else total - (size_gone or 0)
+    own.groupBy("bucket", "term").agg(F.sum("df").alias("df"), F.max("best").alias("best"), F.sum("total").alias("total")).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
     if total is None:
         total = spark.read.schema("total long").parquet(f"{path}/terms").agg(F.sum("total")).first()[0] or 0
-    spark.createDataFrame([(n, total, n_blocks, buckets)], "chunks long, total long, blocks int, buckets int").coalesce(1).write.parquet(f"{path}/stats")
-    return Postings(spark, path)
+    filled = not spark.read.schema("block int").parquet(f"{path}/postings").isEmpty()
+    spark.createDataFrame([(n or 0, total or 0, n_blocks, buckets, filled)], "chunks long, total long, blocks int, buckets int, filled boolean").coalesce(1).write.parquet(f"{path}/stats")
+    return Postings(spark, [(None, path)])
 
 
 @dataclass
@@ -112,46 +129,49 @@ def idf(n: int, df: int) -> float:
 
 @dataclass
 class Postings:
-    """A written index."""
+    """Written indexes as one: (segment, path) of each. Entries of a segment count for documents of that segment alone."""
 
     spark: SparkSession
-    path: str
-    #: What the last question read: buckets, branches that chose documents, and blocks (None: all).
+    parts: list[tuple[str | None, str]]
+    #: What the last question read: buckets, branches that chose documents, and blocks by segment (None: all).
     read: dict = field(default_factory=dict)
     _counts: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        self.stats = self.spark.read.parquet(f"{self.path}/stats").first()
-        self._schema = self.spark.read.parquet(f"{self.path}/postings").schema if self.stats.total else None
-
-    def table(self, name: str, tokens: Iterable[str]) -> DataFrame:
-        """Rows of some terms: their buckets' files alone."""
-        wanted = sorted(set(tokens))
-        places = sorted({bucket_of(t, self.stats.buckets) for t in wanted})
-        self.read["buckets"] = places
-        if name == "postings":
-            rows = self.spark.read.schema(self._schema).parquet(f"{self.path}/postings")
-        else:
-            rows = self.spark.read.schema("term string, df long, best int, total long, bucket int").parquet(f"{self.path}/terms")
-        return rows.where(F.col("bucket").isin(places) & F.col("term").isin(wanted))
+        self._stats = [self.spark.read.parquet(f"{p}/stats").first() for _, p in self.parts]
+        self.chunks, self.total = sum(s.chunks for s in self._stats), sum(s.total for s in self._stats)
+        #: What tells documents apart.
+        self.keys = ["doc_id", "segment"] if any(label for label, _ in self.parts) else ["doc_id"]
+
+    def table(self, name: str, tokens: Iterable[str], blocks: list[list[int]] | None = None) -> DataFrame | None:
+        """Rows of some terms: their buckets' files alone, of the parts that have any, and blocks by part."""
+        wanted, found = sorted(set(tokens)), []
+        for k, ((label, path), stats) in enumerate(zip(self.parts, self._stats, strict=True)):
+            if name == "postings" and not stats.filled:
+                continue
+            places = sorted({bucket_of(t, stats.buckets) for t in wanted})
+            self.read["buckets"] = places
+            rows = self.spark.read.parquet(f"{path}/{name}").where(F.col("bucket").isin(places) & F.col("term").isin(wanted))
+            if blocks is not None:
+                rows = rows.where(F.col("block").isin(blocks[k]))
+            found.append(rows.withColumn("segment", F.lit(label)) if label else rows)
+        return reduce(DataFrame.unionByName, found) if found else None
 
     def frequencies(self, tokens: Iterable[str]) -> dict[str, int]:
         """Chunks of each term, kept as long as this object is."""
         tokens = list(tokens)
         new = [t for t in set(tokens) if t not in self._counts]
-        if new and self.stats.total:
-            self._counts |= dict.fromkeys(new, 0) | {r.term: r.df for r in self.table("terms", new).select("term", "df").collect()}
+        if new and self.total:
+            self._counts |= dict.fromkeys(new, 0) | {r.term: r.df for r in self.table("terms", new).groupBy("term").agg(F.sum("df").alias("df")).collect()}
         return {t: self._counts.get(t, 0) for t in tokens}
 
-    def matches(self, tokens: Sequence[str], blocks: list[int] | None = None, chosen: DataFrame | None = None) -> DataFrame:
-        """(doc_id, ordinal, size, m0, m1, ...): the mask of each token in each chunk that holds one, null where it doesn't."""
-        rows = self.table("postings", tokens)
-        if blocks is not None:
-            rows = rows.where(F.col("block").isin(blocks))
-        rows = rows.select("term", F.explode("entries").alias("e")).select("term", "e.*")
+    def matches(self, tokens: Sequence[str], blocks: list[list[int]] | None = None, chosen: DataFrame | None = None) -> DataFrame:
+        """(doc_id, segment, ordinal, size, m0, m1, ...): the mask of each token in each chunk that holds one, null where it doesn't."""
+        rows = self.table("postings", tokens, blocks)
+        rows = rows.select("term", *self.keys[1:], F.explode("entries").alias("e")).select("term", *self.keys[1:], "e.*")
         if chosen is not None:
-            rows = rows.join(F.broadcast(chosen), "doc_id", "left_semi")
-        return rows.groupBy("doc_id", "ordinal").agg(F.max("size").alias("size"), *[F.max(F.when(F.col("term") == t, F.col("mask"))).alias(f"m{i}") for i, t in enumerate(tokens)])
+            rows = rows.join(F.broadcast(chosen), self.keys, "left_semi")
+        return rows.groupBy(*self.keys, "ordinal").agg(F.max("size").alias("size"), *[F.max(F.when(F.col("term") == t, F.col("mask"))).alias(f"m{i}") for i, t in enumerate(tokens)])
 
     @staticmethod
     def holds(branch: Branch, tokens: Sequence[str], bits: int = 15) -> Column:
@@ -160,10 +180,11 @@ class Postings:
         has = lambda t: F.coalesce(F.col(f"m{place[t]}").bitwiseAND(bits) != 0, F.lit(False))
         return reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, map(has, g)) for g in branch.groups])
 
-    def weighted(self, plan: QueryPlan) -> tuple[list[Branch], list[float]]:
+    def weighted(self, plan: QueryPlan, live: DataFrame | None = None) -> tuple[list[Branch], list[float]]:
         """(branches with weights, weight of each concept): inverse document frequencies from the table of terms.
 
-        Groups of several terms are counted from their postings, all in one row.
+        Groups of several terms are counted from their postings, all in one row; live (doc_id, segment) are the documents
+        whose entries count, where there are segments.
         """
         each = branches(plan)
         flat = [b for pair in each for b in pair]
@@ -171,12 +192,12 @@ class Postings:
         many = [b for b in flat if len(b.groups) > 1 or len(b.groups[0]) > 1]
         key = lambda b: ("branch", tuple(map(tuple, b.groups)))
         new = [b for b in many if key(b) not in self._counts]
-        if new and self.stats.total:
+        if new and self.total:
             tokens = distinct(t for b in new for t in b.tokens)
-            row = self.matches(tokens).agg(*[F.sum(self.holds(b, tokens).cast("long")).alias(f"b{i}") for i, b in enumerate(new)]).first()
+            row = (self.matches(tokens) if live is None else self.matches(tokens).join(live.select(self.keys), self.keys, "left_semi")).agg(*[F.sum(self.holds(b, tokens).cast("long")).alias(f"b{i}") for i, b in enumerate(new)]).first()
             self._counts |= {key(b): row[i] or 0 for i, b in enumerate(new)}
         for b in flat:
-            b.weight = b.factor * idf(self.stats.chunks, self._counts.get(key(b), 0) if b in many else df[b.groups[0][0]])
+            b.weight = b.factor * idf(self.chunks, self._counts.get(key(b), 0) if b in many else df[b.groups[0][0]])
         first = [next((b.weight for b in pair if b.weight > 0), 0.0) for pair in each]
         least = min((w for w in first if w > 0), default=0.0)
         return [b for b in flat if b.weight > 0], [w or least for w in first]
@@ -195,53 +216,53 @@ class Postings:
         others together can give, no document without them can come in. Then only blocks of documents that can still
         reach that score are read for the other terms.
         """
-        if not found:
+        if not found or not self.total:
             return self.none(docs)
         found = sorted(found, key=lambda b: -b.weight)
         tokens = distinct(t for b in found for t in b.tokens)
         order = [F.desc("doc_score"), F.desc("effective_date"), "relative_path", "doc_id"]
         chosen = blocks = None
+        self.read["choosing"] = len(found)
         for k in range(1, len(found)):
             own, rest = distinct(t for b in found[:k] for t in b.tokens), 2 * sum(b.weight for b in found[k:])
             if 2 * sum(b.weight for b in found[:k]) <= rest or sum(self.frequencies(own).values()) < limit:
                 continue
-            part = self.matches(own).withColumn("score", self.score(found[:k], own)).where("score > 0").groupBy("doc_id").agg(F.max("score").alias("doc_score")).join(docs, "doc_id", "left_semi")
+            part = self.matches(own).withColumn("score", self.score(found[:k], own)).where("score > 0").groupBy(self.keys).agg(F.max("score").alias("doc_score")).join(docs.select(self.keys), self.keys, "left_semi")
             top = part.orderBy(F.desc("doc_score")).limit(limit).agg(F.count("*").alias("n"), F.min("doc_score").alias("least")).first()
             if top.n == limit and top.least > rest + 1e-6:
-                can = part.where(F.col("doc_score") >= top.least - rest - 1e-6).select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(self.stats.blocks)).cast("int").alias("block"))
-                if can.count() <= MOST_CHOSEN:
-                    chosen, blocks = can.select("doc_id"), sorted(r.block for r in can.select("block").distinct().collect())
+                can = part.where(F.col("doc_score") >= top.least - rest - 1e-6).select(*self.keys, F.xxhash64("doc_id").alias("h")).limit(MOST_CHOSEN + 1)
+                hashes = [r.h for r in can.select("h").collect()]
+                if len(hashes) <= MOST_CHOSEN:
+                    chosen, blocks = can.drop("h"), [sorted({h % s.blocks for h in hashes}) for s in self._stats]
                 self.read["choosing"] = k
                 break
-        else:
-            self.read["choosing"] = len(found)
         self.read["blocks"] = blocks
-        scored = self.matches(tokens, blocks, chosen).select("doc_id", "ordinal", self.score(found, tokens).alias("score")).where("score > 0").join(docs, "doc_id")
+        scored = self.matches(tokens, blocks, chosen).select(*self.keys, "ordinal", self.score(found, tokens).alias("score")).where("score > 0").join(docs, self.keys)
         best = scored.groupBy("doc_id", "relative_path", "effective_date").agg(F.max("score").alias("doc_score")).orderBy(*order).limit(limit)
         kept = scored.select("doc_id", "ordinal", "score").join(F.broadcast(best), "doc_id")
         kept = kept.withColumn("_r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "ordinal"))).where(F.col("_r") <= per_document)
-        return kept.orderBy(*order, F.desc("score"), "ordinal").limit(limit).select("doc_id", "ordinal", (-F.col("score")).alias("rank"))
+        return kept.orderBy(*order, F.desc("score"), "ordinal").limit(limit).select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), (-F.col("score")).alias("rank"))
 
     def none(self, docs: DataFrame) -> DataFrame:
         return docs.limit(0).select("doc_id", F.lit(0).cast("long").alias("ordinal"), F.lit(0.0).alias("rank"))
 
     def _saturated(self, weight: float, hits: Column) -> Column:
         """A term's share of a lexical rank, from its hits weighted by field; size is the chunk's."""
-        average = self.stats.total / max(1, self.stats.chunks)
+        average = self.total / max(1, self.chunks)
         return F.when(hits > 0, F.lit(weight) * hits * (K1 + 1) / (hits + K1 * (1 - B + B * F.col("size") / average))).otherwise(0.0)
 
     def _weight(self, df: int) -> float:
-        x = (self.stats.chunks - df + 0.5) / (df + 0.5)
+        x = (self.chunks - df + 0.5) / (df + 0.5)
         return max(LEAST_IDF, math.log(x)) if x > 0 else LEAST_IDF
 
     def _first(self, scored: DataFrame, docs: DataFrame, limit: int) -> DataFrame:
-        best = scored.join(docs, "doc_id").orderBy(F.desc("score"), F.desc("effective_date"), "relative_path", "doc_id", "ordinal").limit(limit)
-        return best.select("doc_id", "ordinal", (-F.col("score")).alias("rank"))
+        best = scored.join(docs, self.keys).orderBy(F.desc("score"), F.desc("effective_date"), "relative_path", "doc_id", "ordinal").limit(limit)
+        return best.select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), (-F.col("score")).alias("rank"))
 
     def lexical_candidates(self, terms: Iterable[str], docs: DataFrame, limit: int) -> DataFrame:
         """(doc_id, ordinal, rank) of chunks that hold any of the terms, by BM25 over fields: title 8, heading 6, path 5, text 1."""
         groups = [g for g in map(tokens_of, terms) if g]
-        if not groups or not self.stats.total:
+        if not groups or not self.total:
             return self.none(docs)
         tokens = distinct(t for g in groups for t in g)
         df, m = self.frequencies(tokens), self.matches(tokens).where(self.holds(Branch(groups), tokens))
@@ -253,22 +274,25 @@ class Postings:
 class Trigrams(Postings):
     """Postings of three characters over titles, headings and paths, with these fields beside them to confirm on."""
 
-    def candidates(self, terms: Iterable[str], docs: DataFrame, limit: int) -> DataFrame:
+    def candidates(self, terms: Iterable[str], docs: DataFrame, limit: int, live: DataFrame | None = None) -> DataFrame:
         """(doc_id, ordinal, rank) of chunks with any term of three characters or more within one field, by BM25: 8, 6, 5."""
         words = distinct(t for t in terms if len(t) > 2)[:MOST_TERMS]
-        if not words or not self.stats.total:
+        if not words or not self.total:
             return self.none(docs)
         parts = {w: distinct(w[i : i + 3] for i in range(len(w) - 2)) for w in words}
         tokens = distinct(t for p in parts.values() for t in p)
         place = {t: i for i, t in enumerate(tokens)}
         in_field = lambda w, bit: reduce(lambda a, b: a & b, [F.coalesce(F.col(f"m{place[t]}").bitwiseAND(bit) != 0, F.lit(False)) for t in parts[w]])
         may = reduce(lambda a, b: a | b, [in_field(w, bit) for w in words for bit in (1, 2, 4)])
-        heads = self.spark.read.parquet(f"{self.path}/heads").withColumn("size", heads_size())
-        rows = self.matches(tokens).where(may).select("doc_id", "ordinal").join(heads, ["doc_id", "ordinal"])
+        heads = [self.spark.read.parquet(f"{p}/heads") for _, p in self.parts]
+        heads = reduce(DataFrame.unionByName, [h.withColumn("segment", F.lit(label)) if label else h for h, (label, _) in zip(heads, self.parts, strict=True)])
+        rows = self.matches(tokens).where(may).select(*self.keys, "ordinal").join(heads.withColumn("size", heads_size()), [*self.keys, "ordinal"])
+        if live is not None:
+            rows = rows.join(live.select(self.keys), self.keys, "left_semi")
         # a place for each occurrence, overlapping ones too
         count = lambda w, c: F.regexp_count(F.coalesce(c, F.lit("")), F.lit(f"(?={re.escape(w)})"))
         hits = lambda w: reduce(lambda a, b: a + b, [count(w, F.col(c)) * WEIGHTS[bit] for c, bit in FIELDS.items() if bit & HEADS])
-        rows = rows.select("doc_id", "ordinal", "size", *[hits(w).alias(f"h{i}") for i, w in enumerate(words)])
+        rows = rows.select(*self.keys, "ordinal", "size", *[hits(w).alias(f"h{i}") for i, w in enumerate(words)])
         row = rows.agg(*[F.sum((F.col(f"h{i}") > 0).cast("long")).alias(f"n{i}") for i in range(len(words))]).first()
         score = reduce(lambda a, b: a + b, [self._saturated(self._weight(row[i] or 0), F.col(f"h{i}")) for i in range(len(words))])
         return self._first(rows.withColumn("score", F.round(score, 9)).where("score > 0"), docs, limit)
@@ -279,14 +303,14 @@ def heads_size() -> Column:
     return reduce(lambda a, b: a + b, [F.greatest(F.lit(0), F.length(F.coalesce(F.col(c), F.lit(""))) - 2) for c, bit in FIELDS.items() if bit & HEADS])
 
 
-def build_trigrams(rows: DataFrame, path: str, **how) -> Trigrams:
+def build_trigrams(rows: DataFrame, path: str, gone: DataFrame | None = None, **how) -> Trigrams:
     """Write the trigrams of the rows' heads."""
     spark = rows.sparkSession
     heads = [c for c, bit in FIELDS.items() if bit & HEADS]
-    rows.where(F.coalesce(*heads).isNotNull()).select("doc_id", "ordinal", *heads).write.parquet(f"{path}/heads")
-    kept = spark.read.parquet(f"{path}/heads")
-    build(kept.withColumn("body", F.lit(None).cast("string")), path, trigrams, total=kept.agg(F.sum(heads_size())).first()[0] or 0, **how)
-    return Trigrams(spark, path)
+    headed = lambda r: r.where(F.coalesce(*heads).isNotNull()).select("doc_id", "ordinal", *heads, F.lit(None).cast("string").alias("body"))
+    headed(rows).drop("body").write.parquet(f"{path}/heads")
+    build(headed(spark.read.parquet(f"{path}/heads")), path, trigrams, gone=None if gone is None else headed(gone), size=heads_size, **how)
+    return Trigrams(spark, [(None, path)])
 
 
 def merged(exact: DataFrame | None, ranked: list[DataFrame], docs: DataFrame, limit: int | None = None) -> DataFrame:
