@@ -34,7 +34,7 @@ from quarry.functions.dates import resolve
 from quarry.operators.candidates import canonical_ids, leaders
 from quarry.operators import serving
 from quarry.operators.maintenance import mark_missing
-from quarry.session import ship, stored
+from quarry.session import scratch, ship, stored
 from quarry.sources.files import discover_all
 from quarry.sources.formats import BY_CONTENT, Unreadable, read
 
@@ -415,7 +415,8 @@ class Index:
         keeper = threading.Thread(target=keep, daemon=True)
         keeper.start()
         try:
-            return self._run(sources, today, full)
+            with scratch(self.spark):
+                return self._run(sources, today, full)
         finally:
             over.set()
             keeper.join()

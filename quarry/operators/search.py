@@ -233,7 +233,7 @@ DOCUMENT = ("doc_id", "title", "relative_path", "source_kind", "family_key", "ef
 
 def search(
     chunks: DataFrame, plan: QueryPlan, limit: int = 20, sort: str = "newest", latest_per_family: bool = False, excerpts: int = 3,
-    filters: Filters = Filters(), semantic: DataFrame | None = None, targeted: bool = False, reruns: DataFrame | None = None,
+    filters: Filters = Filters(), semantic: DataFrame | None = None, targeted: bool = False, reruns: DataFrame | None = None, known: bool = False,
 ) -> DataFrame:
     """The best documents with their best chunks: doc_id, relevance, and the columns of documents, ordinals in order of score.
 
@@ -244,18 +244,19 @@ def search(
 
     filters narrow before scores are compared. semantic is (doc_id, ordinal, similarity) for the rows that have one. With
     targeted, the documents are chosen already: no floor, and chunks that cover more of the question come sooner. reruns
-    (doc_id) count as named too.
+    (doc_id) count as named too. known says that the plan's weights are those of the corpus, as where chunks are candidates
+    of an index; their rank, if they have one, counts too.
     """
     if not plan.concepts:
         return chunks.limit(0).select("doc_id", F.lit(0.0).alias("relevance"), *DOCUMENT[1:], F.array().cast("array<long>").alias("ordinals"))
-    plan = weighted(chunks, plan)
+    plan = plan if known else weighted(chunks, plan)
     chunks = filters.of(chunks)
     words = [w for c in plan.concepts for w in (c.primary, *c.alternates, *((c.named.entity,) if c.named else ()))]
     anchored = [holds(a) for a in plan.anchors if a in plan.document_anchors]
     hit = chunks if targeted else chunks.where(_any([*(holds(w) for w in dict.fromkeys(words)), *anchored]))
     if semantic is not None:
         hit = hit.join(semantic.select("doc_id", "ordinal", "similarity"), ["doc_id", "ordinal"], "left")
-    value = F.round(score(plan, semantic=F.coalesce("similarity", F.lit(0.0)) if semantic is not None else None), 9)
+    value = F.round(score(plan, F.col("rank") if "rank" in chunks.columns else None, F.coalesce("similarity", F.lit(0.0)) if semantic is not None else None), 9)
     # what a result must hold: a word of the first concept or a document anchor; one of these anchors; every other anchor
     needles = {f"_p{i}": w for i, w in enumerate(plan.primary)} | {f"_d{i}": a for i, a in enumerate(plan.document_anchors)} | {f"_a{i}": a for i, a in enumerate(a for a in plan.anchors if a not in plan.document_anchors)}
     own = breadth(plan) if targeted else F.lit(0.0)
@@ -322,7 +323,7 @@ def identity_gate(docs: DataFrame, plan: QueryPlan) -> DataFrame:
 
 def retrieve(
     chunks: DataFrame, plan: QueryPlan, documents: int = 8, per_document: int = 4, characters: int = 16_000, sort: str = "newest",
-    chosen: tuple = (), filters: Filters = Filters(), reruns: DataFrame | None = None,
+    chosen: tuple = (), filters: Filters = Filters(), reruns: DataFrame | None = None, known: bool = False, semantic: DataFrame | None = None,
 ) -> DataFrame:
     """Evidence of both kinds of source: (position, doc_id, ordinal, size, used), until the characters are spent.
 
@@ -335,7 +336,7 @@ def retrieve(
     documents, per_document, characters = min(50, max(1, documents)), min(10, max(1, per_document)), min(60_000, max(2_000, characters))
     first, second = ("table", "design") if plan.tables else ("design", "table")
     pool, chosen = max(documents * 3, 12 if plan.named else 0), tuple(dict.fromkeys(chosen))[:documents]
-    of = lambda k: search(chunks.where(F.col("source_kind") == k), plan, pool, sort, excerpts=per_document, filters=replace(filters, documents=chosen or filters.documents), targeted=bool(chosen), reruns=reruns)
+    of = lambda k: search(chunks.where(F.col("source_kind") == k), plan, pool, sort, excerpts=per_document, filters=replace(filters, documents=chosen or filters.documents), semantic=semantic, targeted=bool(chosen), reruns=reruns, known=known)
     both = of(first).unionByName(of(second))
     title, path = F.col("title"), F.col("relative_path")
     names = F.concat_ws("\n", title, path)

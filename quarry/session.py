@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,9 +50,27 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_written = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What stored() writes inside is deleted at the end: for answers and runs that leave with plain values or their own tables."""
+    outer = getattr(_written, "paths", None)
+    _written.paths = []
+    try:
+        yield
+    finally:
+        for path in _written.paths:
+            remove_path(spark, path)
+        _written.paths = outer
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read from there: lineage ends here and survives lost executors."""
     path = shared_path(df.sparkSession, name)
+    if getattr(_written, "paths", None) is not None:
+        _written.paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
