@@ -34,7 +34,7 @@ from quarry.functions.dates import resolve
 from quarry.operators.candidates import canonical_ids, leaders
 from quarry.operators import serving
 from quarry.operators.maintenance import mark_missing
-from quarry.session import scratch, ship, stored
+from quarry.session import read_small, scratch, ship, stored, write_small
 from quarry.sources.files import discover_all
 from quarry.sources.formats import BY_CONTENT, Unreadable, read
 
@@ -237,7 +237,7 @@ class Snapshot:
     def postings(self) -> DataFrame:
         """POSTINGS: a row for each chunk, field and term, from the stored entries."""
         index = self.serving("terms")
-        rows = [self.spark.read.parquet(f"{p}/postings").withColumn("segment", F.lit(s)) for (s, p), stats in zip(index.parts, index._stats, strict=True) if stats.filled]
+        rows = [self.spark.read.parquet(f"{p}/postings").withColumn("segment", F.lit(s)) for (s, p), stats in zip(index.parts, index._stats, strict=True) if stats["filled"]]
         if not rows:
             return self.spark.createDataFrame([], POSTINGS)
         each = reduce(DataFrame.unionByName, [r.select("term", "segment", F.explode("entries").alias("e")) for r in rows]).select("term", "segment", "e.doc_id", "e.ordinal", "e.mask")
@@ -283,29 +283,10 @@ class Index:
         return sorted(str(x.getPath().getName()) for x in fs.listStatus(p)) if fs.exists(p) else []
 
     def _load(self, name: str) -> dict | None:
-        """A small file's value; None where it isn't there or isn't whole."""
-        fs, p = self._path(name)
-        try:
-            stream = fs.open(p)
-            try:
-                return json.loads(bytes(stream.readAllBytes()).decode())
-            finally:
-                stream.close()
-        except Exception:  # noqa: BLE001 - the store's own errors, and what isn't JSON yet
-            return None
+        return read_small(self.spark, f"{self.root}/{name}")
 
     def _create(self, name: str, value: dict, new: bool = True) -> bool:
-        """Write a small file; with new only where there is none yet, which one of many writers wins."""
-        fs, p = self._path(name)
-        try:
-            out = fs.create(p, not new)
-        except Exception:  # noqa: BLE001 - the store's own error: the file exists
-            if new and fs.exists(p):
-                return False
-            raise
-        out.write(bytearray(json.dumps(value).encode()))
-        out.close()
-        return True
+        return write_small(self.spark, f"{self.root}/{name}", value, new)
 
     # state
 
@@ -442,10 +423,10 @@ class Index:
         rows = index_rows(self.spark.read.schema(CHUNKS).parquet(f"{top}/chunks"))
         for kind, write in (("terms", serving.build), ("trigrams", serving.build_trigrams)):
             parts = [f"{self.root}/segments/{s}/{kind}" for s in rest]
-            stats = [self.spark.read.parquet(f"{p}/stats").first() for p in parts]
+            stats = [read_small(self.spark, f"{p}/stats.json") for p in parts]
             terms = reduce(DataFrame.unionByName, [self.spark.read.schema("term string, df long, best int, total long").parquet(f"{p}/terms") for p in parts])
             counts = terms.groupBy("term").agg(F.sum("df").alias("df"), F.max("best").alias("best"), F.sum("total").alias("total"))
-            write(rows, f"{top}/{kind}", counts=counts.withColumn("n", F.lit(sum(s.chunks for s in stats))).withColumn("size", F.lit(sum(s.total for s in stats))))
+            write(rows, f"{top}/{kind}", counts=counts.withColumn("n", F.lit(sum(s["chunks"] for s in stats))).withColumn("size", F.lit(sum(s["total"] for s in stats))))
         return docs.withColumn("segment", F.when(F.col("segment").isin(rest), F.lit(label)).otherwise(F.col("segment"))), [first, label]
 
     def _run(self, sources: list[dict], today: dt.date, full: bool) -> dict:

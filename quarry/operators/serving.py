@@ -1,8 +1,8 @@
 """Candidates from stored postings: terms by bucket, entries by block of documents, frequencies beside them.
 
-Below an index's path lie three tables. postings has a row for each term and block, with the entries of its chunks; it is
+Below an index's path lie two tables and a small file. postings has a row for each term and block, with the entries of its chunks; it is
 partitioned by the term's bucket and sorted by term and block, so that a question reads the files of its terms' buckets
-and of these the blocks it needs. terms has each term's frequency by bucket, stats one row. A block holds the documents
+and of these the blocks it needs. terms has each term's frequency by bucket, the file its sums. A block holds the documents
 of one hash value; there are as many as BLOCK_CHUNKS asks for, so that no row of a frequent term grows with the corpus.
 
 An entry's mask tells which fields of the chunk hold the term. Titles and paths belong to a document's first chunk alone,
@@ -23,11 +23,12 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.functions.query import QueryPlan, distinct, required_tokens
+from quarry.session import read_small, write_small
 
 #: Fields by bit; those of a chunk's head; what each weighs in lexical ranks; of trigrams only heads are indexed.
 FIELDS = {"title": 1, "heading": 2, "path": 4, "body": 8}
 HEADS, WEIGHTS = 7, {1: 8.0, 2: 6.0, 4: 5.0, 8: 1.0}
-BUCKETS, BLOCK_CHUNKS, SPREAD = 64, 16_384, 16
+MOST_BUCKETS, BUCKET_CHUNKS, BLOCK_CHUNKS, SPREAD = 1_024, 8_192, 16_384, 16
 #: Saturation and length of lexical ranks, the least weight of a term, terms of a trigram question.
 K1, B, LEAST_IDF, MOST_TERMS = 1.2, 0.75, 1e-6, 24
 #: Documents whose blocks are read alone; beyond, all blocks of the terms are.
@@ -60,7 +61,7 @@ def entries(rows: DataFrame, terms: Callable[[Column], Column] = T.folded_terms)
 
 
 def build(
-    rows: DataFrame, path: str, terms: Callable[[Column], Column] = T.folded_terms, buckets: int = BUCKETS, block_chunks: int = BLOCK_CHUNKS, gone: DataFrame | None = None,
+    rows: DataFrame, path: str, terms: Callable[[Column], Column] = T.folded_terms, buckets: int | None = None, block_chunks: int = BLOCK_CHUNKS, gone: DataFrame | None = None,
     counts: DataFrame | None = None, size: Callable[[], Column] | None = None,
 ) -> Postings:
     """Write the postings of rows (see entries()) below path.
@@ -70,8 +71,9 @@ def build(
     chunk's where it isn't that of its terms.
     """
     spark = rows.sparkSession
-    place = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int").alias("bucket")
     n = rows.count()
+    buckets = buckets or min(MOST_BUCKETS, max(1, n // BUCKET_CHUNKS))
+    place = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int").alias("bucket")
     n_blocks = max(1, -(-n // block_chunks))
     e = entries(rows, terms).select(place, "term", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int").alias("block"), "mask", F.struct("doc_id", "ordinal", "mask", "size").alias("e"))
     head = (F.col("mask").bitwiseAND(HEADS) != 0).cast("int")
@@ -92,7 +94,7 @@ def build(
     if total is None:
         total = spark.read.schema("total long").parquet(f"{path}/terms").agg(F.sum("total")).first()[0] or 0
     filled = not spark.read.schema("block int").parquet(f"{path}/postings").isEmpty()
-    spark.createDataFrame([(n or 0, total or 0, n_blocks, buckets, filled)], "chunks long, total long, blocks int, buckets int, filled boolean").coalesce(1).write.parquet(f"{path}/stats")
+    write_small(spark, f"{path}/stats.json", {"chunks": n or 0, "total": total or 0, "blocks": n_blocks, "buckets": buckets, "filled": filled})
     return Postings(spark, [(None, path)])
 
 
@@ -138,8 +140,10 @@ class Postings:
     _counts: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        self._stats = [self.spark.read.parquet(f"{p}/stats").first() for _, p in self.parts]
-        self.chunks, self.total = sum(s.chunks for s in self._stats), sum(s.total for s in self._stats)
+        self._stats = [read_small(self.spark, f"{p}/stats.json") for _, p in self.parts]
+        if None in self._stats:
+            raise FileNotFoundError(f"FileNotFound: statistics of {self.parts}")
+        self.chunks, self.total = sum(s["chunks"] for s in self._stats), sum(s["total"] for s in self._stats)
         #: What tells documents apart.
         self.keys = ["doc_id", "segment"] if any(label for label, _ in self.parts) else ["doc_id"]
 
@@ -147,9 +151,9 @@ class Postings:
         """Rows of some terms: their buckets' files alone, of the parts that have any, and blocks by part."""
         wanted, found = sorted(set(tokens)), []
         for k, ((label, path), stats) in enumerate(zip(self.parts, self._stats, strict=True)):
-            if name == "postings" and not stats.filled:
+            if name == "postings" and not stats["filled"]:
                 continue
-            places = sorted({bucket_of(t, stats.buckets) for t in wanted})
+            places = sorted({bucket_of(t, stats["buckets"]) for t in wanted})
             self.read["buckets"] = places
             rows = self.spark.read.parquet(f"{path}/{name}").where(F.col("bucket").isin(places) & F.col("term").isin(wanted))
             if blocks is not None:
@@ -233,7 +237,7 @@ class Postings:
                 can = part.where(F.col("doc_score") >= top.least - rest - 1e-6).select(*self.keys, F.xxhash64("doc_id").alias("h")).limit(MOST_CHOSEN + 1)
                 hashes = [r.h for r in can.select("h").collect()]
                 if len(hashes) <= MOST_CHOSEN:
-                    chosen, blocks = can.drop("h"), [sorted({h % s.blocks for h in hashes}) for s in self._stats]
+                    chosen, blocks = can.drop("h"), [sorted({h % s["blocks"] for h in hashes}) for s in self._stats]
                 self.read["choosing"] = k
                 break
         self.read["blocks"] = blocks

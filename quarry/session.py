@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import threading
@@ -75,6 +76,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def write_small(spark: SparkSession, path: str, value: dict, new: bool = False) -> bool:
+    """Write a file of a few bytes; with new only where there is none yet, which one of many writers wins."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        out = fs.create(p, not new)
+    except Exception:  # noqa: BLE001 - the store's own error: the file exists
+        if new and fs.exists(p):
+            return False
+        raise
+    out.write(bytearray(json.dumps(value).encode()))
+    out.close()
+    return True
+
+
+def read_small(spark: SparkSession, path: str) -> dict | None:
+    """A small file's value; None where it isn't there or isn't whole."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+    except Exception:  # noqa: BLE001 - the store's own errors, and what isn't JSON yet
+        return None
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a written table of ours."""
     jvm = spark.sparkContext._jvm
