@@ -174,24 +174,33 @@ DOCUMENTS = pa.schema([
 DOCUMENTS_DDL = "p long, k long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, counts array<int>"
 
 
-def numbered(mark: str) -> np.ndarray:
-    return np.array([f"{i}{mark}" for i in range(SIDE)], object)
+def cells() -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, their number) of each id with a comma behind it, then of each with a bar, then with a semicolon; zeros fill up."""
+    rows = [f"{i}{mark}".encode() for mark in ",|;" for i in range(SIDE)]
+    return np.array(rows, "S6").view(np.uint8).reshape(-1, 6), np.fromiter(map(len, rows), np.int64, len(rows))
 
 
-def digests(p: np.ndarray, k: np.ndarray, a: np.ndarray, b: np.ndarray, ends: np.ndarray, names: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
-    """A row of DOCUMENTS for each document of whole documents' links in the order of their ends; ends: 1 where a ends, 2 where b, 3 where both."""
-    first = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1]) | (k[1:] != k[:-1]))))
-    cuts = ends == 3
-
-    def groups(ids: np.ndarray, of: int) -> list[str]:
-        rows = (ends & of) > 0
-        inside, last = names
-        return "".join(np.where(cuts[rows], last[ids[rows]], inside[ids[rows]]).tolist()).split(";")
+def digests(p: np.ndarray, k: np.ndarray, a: np.ndarray, b: np.ndarray, ends: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    """A row of DOCUMENTS for each document of whole documents' links in the order of their ends; ends: 1 where a ends, 2 where b, 3 where both.
 
-    sides = list(map("|".join, zip(groups(a, 1), groups(b, 2), strict=True)))
-    sums = [np.add.reduceat(x.astype(np.int64), first) for x in ((ends & 1) > 0, (ends & 2) > 0, cuts, np.ones(len(p)))]
-    till = np.cumsum(sums[2]).tolist()
-    shas = [hashlib.sha256(";".join(sides[i:j]).encode()).hexdigest() for i, j in zip([0, *till], till, strict=False)]
+    Groups are written token by token: an id of the first side stands behind all of both sides' groups before its own,
+    one of the second side behind its group's first side too.
+    """
+    first = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1]) | (k[1:] != k[:-1]))))
+    cut = ends == 3
+    group = np.cumsum(cut) - cut
+    at_a, at_b = np.flatnonzero(ends & 1), np.flatnonzero(ends & 2)
+    n = int(cut.sum())
+    till_a, till_b = (np.cumsum(np.bincount(group[at], minlength=n)) for at in (at_a, at_b))
+    before_b = np.concatenate(([0], till_b[:-1]))
+    ids = np.empty(len(at_a) + len(at_b), np.int64)
+    ids[np.arange(len(at_a)) + before_b[group[at_a]]] = a[at_a] + SIDE * cut[at_a]
+    ids[np.arange(len(at_b)) + till_a[group[at_b]]] = b[at_b] + 2 * SIDE * cut[at_b]
+    marks, lengths = table
+    text = memoryview(marks[ids].tobytes().translate(None, b"\0"))
+    sums = [np.add.reduceat(x.astype(np.int64), first) for x in (ends & 1, (ends & 2) >> 1, cut, np.ones(len(p), np.int64))]
+    till = np.concatenate(([0], np.cumsum(lengths[ids])))[np.cumsum(np.concatenate(([0], sums[0] + sums[1])))].tolist()
+    shas = [hashlib.sha256(text[i : j - 1]).hexdigest() for i, j in zip(till, till[1:], strict=False)]
     owner = np.repeat(np.arange(len(first), dtype=np.uint64), sums[3])
     pairs, counts = np.unique((owner << np.uint64(32)) | (a.astype(np.uint64) << np.uint64(16)) | b.astype(np.uint64), return_counts=True)
     offsets = pa.array(np.searchsorted(pairs, np.arange(len(first) + 1, dtype=np.uint64) << np.uint64(32)), pa.int32())
@@ -201,7 +210,7 @@ def digests(p: np.ndarray, k: np.ndarray, a: np.ndarray, b: np.ndarray, ends: np
 
 def document_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows (p, k, a, b, ends) to DOCUMENTS; the last document's rows wait for what follows."""
-    names, kept = (numbered(","), numbered(";")), []
+    table, kept = cells(), []
     for batch in batches:
         cols = [c.to_numpy() for c in batch.columns]
         new = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1
@@ -209,12 +218,12 @@ def document_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             new = np.concatenate(([0], new))
         if len(new):
             done = [*kept, [c[: new[-1]] for c in cols]]
-            yield digests(*(np.concatenate(x)[::-1] for x in zip(*done, strict=True)), names)
+            yield digests(*(np.concatenate(x)[::-1] for x in zip(*done, strict=True)), table)
             kept = []
             cols = [c[new[-1] :] for c in cols]
         kept.append(cols)
     if kept:
-        yield digests(*(np.concatenate(x)[::-1] for x in zip(*kept, strict=True)), names)
+        yield digests(*(np.concatenate(x)[::-1] for x in zip(*kept, strict=True)), table)
 
 
 def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:

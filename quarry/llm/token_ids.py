@@ -43,15 +43,16 @@ NUL = b"\0"
 
 
 class Memory(dict):
-    """Ids of byte strings in two generations: what is met again moves on, the rest goes."""
+    """Ids of strings in two generations of most entries each: what is met again moves on, the rest goes."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int = MOST_WORDS) -> None:
         super().__init__()
+        self.most = most
         self.older: dict[bytes, bytes] = {}
 
     def missing(self, wanted: set[bytes]) -> list[bytes]:
         """Those of wanted that neither generation has."""
-        if len(self) > MOST_WORDS:
+        if len(self) > self.most:
             self.older = dict(self)
             self.clear()
         new = wanted.difference(self)
