@@ -34,7 +34,9 @@ from quarry.session import ship, stored
 
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text a partition has, as long as that makes no more than MOST_PARTS; pairs whose counts are broadcast; largest share of hot pairs.
-PART_BYTES, MOST_PARTS, MOST_PAIRS, HOT_SHARE = 4 << 20, 50_000, 2_000_000, 200
+PART_BYTES, MOST_PARTS, MOST_PAIRS, HOT_SHARE = 1 << 20, 50_000, 2_000_000, 200
+#: Words whose ids are kept in each of two generations.
+MOST_WORDS = 120_000
 #: Ids of one side are below this; an id of the second side has it added.
 SIDE = 1 << 16
 #: White space on both sides of a space: a token of the byte level may reach across it.
@@ -74,7 +76,7 @@ class Tokenizers:
         if max(size, len(self.bytes_b)) > SIDE:
             raise ValueError("vocabularies of more than 65,536 entries need wider ids")
         self.by_word = not any(re.search("[^▁]▁", piece(i)) for i in range(len(self.bytes_b)))
-        self.known = Memory()
+        self.known = Memory(MOST_WORDS)
 
     def whole(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
         """Ids of both sides of a space and each text, as 16-bit integers; None where the bytes differ."""
