@@ -20,7 +20,7 @@ _JOINED = re.compile(r"(?<!\d)(20\d{2})(0[1-9]|1[0-2])([0-2]\d|3[01])(?!\d)", re
 _SHORT = re.compile(r"(?<!\d)(0?[1-9]|1[0-2])/(0?[1-9]|[12]\d|3[01])/(\d{2})(?!\d)", re.A)
 _SERIAL = re.compile(r"(?<!\d)(\d{5})(?!\d)", re.A)
 # What marks dates of versions in lines, tables and sheets.
-_DATE_HEADER = re.compile(r"(版本|修订|修改|更新|变更)\s*(日期|时间)|(?<!\w)(version|revision)\s*(date|time)(?!\w)", re.I | re.A)
+_DATE_HEADER = re.compile(r"(版本|修订|修改|更新|变更)\s*(日期|时间)|\b(version|revision)\s*(date|time)\b", re.I | re.A)
 _FIELD_DATE = re.compile(r"(版本|version)\]?\s*[:：=]\s*20\d{2}", re.I | re.A)
 _ACTION = re.compile(r"初版|首版|修改|更新|复用|迭代|变更|revision|changelog", re.I)
 _LEADING = re.compile(r"^\s*([#>*-]+\s*)?(版本|version)\]?\s*[:：=]?\s*(20\d{6}|20\d{2}[-/.年_](0?[1-9]|1[0-2])([-/.月_](0?[1-9]|[12]\d|3[01])日?)?)(\D|$)", re.I | re.A)

@@ -42,7 +42,7 @@ GENERIC_NAMES = {"活动", "玩法", "配置", "配表", "表格", "任务", "
 TABLE_INTENT = regex.compile("(?i)(配表|配置表|哪些表|表格|字段|参数|前端模块|后台模块)")
 LATEST_INTENT = regex.compile(r"(?i)(最新|最近|(?<![a-z0-9_])latest(?![a-z0-9_]))")
 NAMED = regex.compile(r"([\p{Han}·•・:_-]{2,24})[\s·•・:_-]*(\d{2,})")
-NAMED_KEYWORD = regex.compile(r"^(\p{Han}{2,})(\d{2,})$")
+NAMED_KEYWORD = regex.compile(r"^(\p{Han}{2,24})(\d{2,})$")
 CLAUSES = regex.compile(r"[\s,，。！？、;；:：]+")
 
 CJK = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]"

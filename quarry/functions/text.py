@@ -24,12 +24,13 @@ SECTION_RULES = (
     ("config", "配置|配表|字段|参数|数值|id(?![a-z0-9_])|枚举|掉落|activity|module|dropunit"),
     ("overview", "概述|背景|目标|需求说明|简介|总览|summary|overview"),
 )
-# What a family key drops, in this order, and the generic endings.
+# What a family key drops, in this order, and the generic endings. The borders of the third are those of ASCII
+# words, which the JVM's \b are not: it counts Han characters as parts of words.
 FAMILY_DROPS = (
-    r"【[ ]*(复用|通用|历史|旧版|最终版?)[ ]*】",
-    r"[（(][ ]*(复用|通用|历史|旧版|最终版?)[ ]*[)）]",
-    r"(?<![a-z0-9_])(v|ver|version)[ ]*[0-9]+(\.[0-9]+){0,3}(?![a-z0-9_])",
-    r"20[0-9]{2}[-_.年/]?[0-9]{1,2}([-_.月/]?[0-9]{1,2}日?)?",
+    r"【\s*(复用|通用|历史|旧版|最终版?)\s*】",
+    r"[（(]\s*(复用|通用|历史|旧版|最终版?)\s*[)）]",
+    r"(?<![a-z0-9_])(v|ver|version)\s*\d+(\.\d+){0,3}(?![a-z0-9_])",
+    r"20\d{2}[-_.年/]?\d{1,2}([-_.月/]?\d{1,2}日?)?",
     r"[_\-—]+",
 )
 FAMILY_ENDINGS = r"(策划案|需求文档|配置表|活动方案|说明文档)$"
@@ -90,8 +91,8 @@ def find_dates(text: Column, today: Column | None = None) -> Column:
 
     With today, only dates to a year and a day after it count.
     """
-    apart = r"(?<![0-9])20[0-9]{2}[-/.年_](?:0?[1-9]|1[0-2])(?:[-/.月_](?:0?[1-9]|[12][0-9]|3[01])日?)?(?![0-9])"
-    joined = r"(?<![0-9])20[0-9]{2}(?:0[1-9]|1[0-2])(?:[0-2][0-9]|3[01])(?![0-9])"
+    apart = r"(?<!\d)20\d{2}[-/.年_](?:0?[1-9]|1[0-2])(?:[-/.月_](?:0?[1-9]|[12]\d|3[01])日?)?(?!\d)"
+    joined = r"(?<!\d)20\d{2}(?:0[1-9]|1[0-2])(?:[0-2]\d|3[01])(?!\d)"
 
     def parsed(m: Column) -> Column:
         p = F.split(F.rtrim(F.regexp_replace(m, "[-/.年月日_]", " ")), " ")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,21 +13,28 @@ from quarry.functions import reruns as R
 from quarry.functions.query import Named, QueryPlan
 from quarry.operators.ranking import newest, preceding
 from quarry.operators.search import named_score, standalone
-from quarry.session import ship
+from quarry.session import ship, stored
 
-#: Names of activities that one question brings to the driver, and chunks before one that may head references.
-MOST_NAMES, BEFORE = 1_000, 3
+#: Names of an activity that are judged at once, and chunks before one that may head references.
+NAMES, BEFORE = 1_000, 3
 
 
-def known_names(docs: DataFrame, group: Named) -> list[tuple[str, str, str]]:
+def known_names(docs: DataFrame, group: Named) -> Iterator[list[tuple[str, str, str]]]:
     """(full name, name without number, title) of the activities that documents (title, relative_path, effective_date) are
-    named as: titles before paths, then the newest, the shorter title, its order."""
-    spans = F.udf(lambda v: sorted(set(R.spans(v or "", group))), "array<string>")  # a few words a title
+    named as: titles before paths, then the newest, the shorter title, its order. About NAMES of them at a time."""
+
+    def spans(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: sorted(set(R.spans(x or "", group))))
+
     named = docs.where((named_score(F.col("title"), group) > 0) | (named_score(F.col("relative_path"), group) > 0))
-    each = [named.select(F.lit(k).alias("by"), "title", "effective_date", F.explode(spans(c)).alias("name")) for k, c in enumerate(("title", "relative_path"))]
+    both = F.array(*[F.struct(F.lit(k).alias("by"), F.col(c).alias("value")) for k, c in enumerate(("title", "relative_path"))])
+    each = named.select("title", "effective_date", F.explode(both).alias("v")).select("v.by", "title", "effective_date", F.explode(F.pandas_udf(spans, "array<string>")("v.value")).alias("name"))
     best = F.min(F.struct("by", newest("effective_date").alias("age"), F.length("title").alias("size"), "title"))
-    rows = each[0].unionByName(each[1]).groupBy("name").agg(best.alias("b")).orderBy("b.by", "b.age", "name").limit(MOST_NAMES).collect()
-    return sorted((r.name, r.name.removesuffix(group.number), r.b.title) for r in rows)
+    rows = stored(each.groupBy("name").agg(best.alias("b")), "activity-names")
+    n = -(-rows.count() // NAMES)
+    for k in range(n):
+        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("name"), F.lit(n)) == k)
+        yield sorted((r.name, r.name.removesuffix(group.number), r.b.title) for r in part.collect())
 
 
 def judge(pairs: list[tuple[str, str]], owners: dict[str, str]):
@@ -51,16 +61,18 @@ def declared_reruns(chunks: DataFrame, plan: QueryPlan) -> DataFrame:
     found = None
     docs = chunks.select("doc_id", "title", "relative_path", "effective_date").distinct()
     for group in plan.named:
-        names = known_names(docs, group)
-        if not names:
-            continue
-        pairs, owners = [(n, bare) for n, bare, _ in names], {n: t for n, _, t in names}
         own = (named_score(F.col("title"), group) > 0) | (named_score(F.col("relative_path"), group) > 0)
         maybe = chunks.where(~own & F.regexp_replace("title", r"[^\p{L}\p{N}]", "").contains(group.entity))
         maybe = preceding(maybe.select("doc_id", "ordinal", "title", "heading", "effective_date", "chunk_text"), "doc_id", "ordinal", "heading", "chunk_text", BEFORE)
 
-        verdict = F.pandas_udf(judge(pairs, owners), "struct<name:string,owner:string,words:string>")("title", "heading", "chunk_text", "before")
-        each = maybe.select("doc_id", "title", "effective_date", "ordinal", verdict.alias("v")).where("v.name IS NOT NULL")
+        parts = []
+        for names in known_names(docs, group):
+            judged = judge([(n, bare) for n, bare, _ in names], {n: t for n, _, t in names})
+            verdict = F.pandas_udf(judged, "struct<name:string,owner:string,words:string>")("title", "heading", "chunk_text", "before")
+            parts.append(maybe.select("doc_id", "title", "effective_date", "ordinal", verdict.alias("v")).where("v.name IS NOT NULL"))
+        if not parts:
+            continue
+        each = reduce(DataFrame.unionByName, parts)
         # of a document's chunks the first that declares, else the first that names
         best = F.min(F.struct(F.col("v.words").isNull().alias("none"), "ordinal", "v.name", "v.owner", "v.words"))
         each = each.groupBy("doc_id", "title", "effective_date").agg(best.alias("b")).select("doc_id", "title", "effective_date", "b.name", "b.owner", "b.words")
@@ -71,7 +83,7 @@ def declared_reruns(chunks: DataFrame, plan: QueryPlan) -> DataFrame:
 def notes(reruns: DataFrame) -> list[str]:
     """A note on the newest declared rerun of each activity."""
     best = F.min(F.struct(newest("effective_date").alias("age"), F.length("title").alias("size"), "title", "owner", "words"))
-    rows = reruns.where("words IS NOT NULL").groupBy("name").agg(best.alias("b")).orderBy("name").limit(MOST_NAMES).collect()
+    rows = reruns.where("words IS NOT NULL").groupBy("name").agg(best.alias("b")).orderBy("name").collect()
     return [f"《{r.b.title}》: no number in its title, but “{r.b.words}” in its text; it may be a rerun of the activity of 《{r.b.owner}》" for r in rows]
 
 

@@ -226,13 +226,13 @@ def breadth(plan: QueryPlan) -> Column:
     return reduce(lambda a, b: a + b, parts) - F.greatest(F.lit(0.0), F.lit(0.0), *parts)
 
 
-# How far ahead a chunk's score secures its place, and what breadth counts beside it.
-LOCKED, BREADTH = 0.03, 0.3
+# The collation of paths and ids; how far ahead a chunk's score secures its place, and what breadth counts beside it.
+COLLATION, LOCKED, BREADTH = "zh", 0.03, 0.3
 DOCUMENT = ("doc_id", "title", "relative_path", "source_kind", "family_key", "effective_date")
 
 
 def search(
-    chunks: DataFrame, plan: QueryPlan, limit: int = 20, sort: str = "newest", latest_per_family: bool = False, excerpts: int = 3,
+    chunks: DataFrame, plan: QueryPlan, limit: int | None = 20, sort: str = "newest", latest_per_family: bool = False, excerpts: int = 3,
     filters: Filters = Filters(), semantic: DataFrame | None = None, targeted: bool = False, reruns: DataFrame | None = None, known: bool = False,
 ) -> DataFrame:
     """The best documents with their best chunks: doc_id, relevance, and the columns of documents, ordinals in order of score.
@@ -240,7 +240,8 @@ def search(
     Every chunk that holds a term is scored; chunks of a document meet in partial aggregates, and texts don't travel.
     Documents below their kind's floor go, but for those that an anchor requires, that are named as the activity, or that
     have the role asked for. sort is newest, relevance or hybrid: the first limit documents in that order are taken, the
-    required ones before all others. Ties go by path and doc_id. A question without concepts finds nothing.
+    required ones before all others; without a limit all are, in no order. Ties go by path and doc_id, in the order of
+    Chinese. A question without concepts finds nothing.
 
     filters narrow before scores are compared. semantic is (doc_id, ordinal, similarity) for the rows that have one. With
     targeted, the documents are chosen already: no floor, and chunks that cover more of the question come sooner. reruns
@@ -297,11 +298,11 @@ def search(
         docs = quality_floor(docs, "source_kind", "relevance", F.col("required") | F.col("named") | (F.col("role") >= 0.9))
     docs = with_hybrid(docs, "relevance", "effective_date", "mixed")
     keys = {"newest": [newest("effective_date"), -F.col("role"), -F.col("relevance")], "relevance": [-F.col("relevance"), newest("effective_date")], "hybrid": [-F.round("mixed", 9)]}[sort]
-    keys = [*keys, F.col("relative_path"), F.col("doc_id")]
+    keys = [*keys, F.collate("relative_path", COLLATION), *([F.collate("doc_id", COLLATION)] if docs.schema["doc_id"].dataType.typeName() == "string" else []), F.col("relative_path"), F.col("doc_id")]
     if latest_per_family:
         docs = first_per(docs, "family_key", *[k.alias(f"_k{i}") for i, k in enumerate(keys)])
-    chosen = docs.orderBy(F.desc("required"), *keys).limit(limit)
-    return chosen.orderBy(*keys).select("doc_id", "relevance", *DOCUMENT[1:], "ordinals")
+    chosen = docs if limit is None else docs.orderBy(F.desc("required"), *keys).limit(limit).orderBy(*keys)
+    return chosen.select("doc_id", "relevance", *DOCUMENT[1:], "ordinals")
 
 
 def identity_gate(docs: DataFrame, plan: QueryPlan) -> DataFrame:

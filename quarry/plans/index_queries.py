@@ -10,6 +10,7 @@ from quarry.functions.chunking import chunk_udf
 from quarry.operators import maintenance as M
 from quarry.operators import ranking as R
 from quarry.operators.candidates import canonical_ids, idf, postings
+from quarry.operators.vectors import nearest
 from quarry.plans.corpus import CHUNKS_SQL, CORPUS_SQL, corpus, line_chunks, table
 
 WITH = f"WITH {CORPUS_SQL}"
@@ -165,10 +166,7 @@ def incremental_upsert(s, d):
 def semantic_neighbours(s, d):
     """Every row whose id is divisible by 20 against all rows: the nearest 80 of each."""
     e = table(s, d, "embeddings")
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    pairs = e.crossJoin(q).select("query_id", "vec_id", F.round(T.cosine(F.col("embedding"), F.col("q")), 5).alias("similarity"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 80")
+    return nearest(e, e.where("vec_id % 20 = 0"), 80)
 
 
 def chunk_lengths(s, d):

@@ -76,7 +76,7 @@ def retrieve_bundle(s, d):
 
 def targeted_chunks(s, d):
     """Of every document the two chunks that cover most of a question."""
-    found = S.search(index(s, d), understand("und the"), 1_000_000, "newest", excerpts=2, targeted=True)
+    found = S.search(index(s, d), understand("und the"), None, "newest", excerpts=2, targeted=True)
     return found.select("doc_id", F.array_join(F.col("ordinals").cast("array<string>"), ",").alias("ordinals"))
 
 

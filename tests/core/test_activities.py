@@ -18,7 +18,7 @@ def corpus(spark):
 def test_reruns_are_found_and_told(spark):
     chunks, plan = corpus(spark), Q.understand("复用北港777")
     docs = chunks.select("doc_id", "title", "relative_path", "effective_date").distinct()
-    assert A.known_names(docs, plan.named[0]) == [("北港看灯人777", "北港看灯人", TITLES[1])]
+    assert next(A.known_names(docs, plan.named[0])) == [("北港看灯人777", "北港看灯人", TITLES[1])]
     got = {r.doc_id: r for r in A.declared_reruns(chunks, plan).collect()}
     assert set(got) == {2, 5} and got[2].words and got[2].owner == TITLES[1] and got[5].words is None
     assert len(A.notes(A.declared_reruns(chunks, plan))) == 1 and TITLES[2] in A.notes(A.declared_reruns(chunks, plan))[0]

@@ -54,3 +54,9 @@ def test_search_prefers_rare_words_and_retrieve_keeps_to_its_budget(spark):
     bundle = S.retrieve(chunks, plan, documents=4, per_document=2, characters=2000).orderBy("used").collect()
     assert bundle[-1].used <= 2000 and len({r.doc_id for r in bundle}) <= 4 and {r.doc_id for r in bundle} & {90, 91, 92, 93}
     assert S.search(chunks, Q.understand(""), 5).count() == 0 and S.search(chunks.limit(0), plan, 5).count() == 0
+
+
+def test_ties_go_by_the_order_of_chinese(spark):
+    rows = [chunk(i, "word", path=p) for i, p in enumerate(("重.md", "安.md", "b.md", "中.md", "A.md", "北.md"))]
+    found = S.search(spark.createDataFrame(rows, COLUMNS), Q.understand("word"), 10, "relevance")
+    assert [r.relative_path for r in found.collect()] == ["安.md", "北.md", "中.md", "重.md", "A.md", "b.md"]
