@@ -36,7 +36,7 @@ BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text a partition has, as long as that makes no more than MOST_PARTS; pairs whose counts are broadcast; largest share of hot pairs.
 PART_BYTES, MOST_PARTS, MOST_PAIRS, HOT_SHARE = 1 << 20, 50_000, 2_000_000, 200
 #: Words whose ids are kept in each of two generations.
-MOST_WORDS = 120_000
+MOST_WORDS = 200_000
 #: Ids of one side are below this; an id of the second side has it added.
 SIDE = 1 << 16
 #: White space on both sides of a space: a token of the byte level may reach across it.
@@ -73,6 +73,7 @@ class Tokenizers:
             self.bytes_a[i] = bytes(values[c] for c in name) if all(c in values for c in name) else name.encode()
         piece = self.b.id_to_piece
         self.bytes_b = [bytes([int(piece(i)[3:5], 16)]) if self.b.is_byte(i) else piece(i).replace("▁", " ").encode() for i in range(self.b.get_piece_size())]
+        self.lengths_a, self.lengths_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b))
         if max(size, len(self.bytes_b)) > SIDE:
             raise ValueError("vocabularies of more than 65,536 entries need wider ids")
         self.by_word = not any(re.search("[^▁]▁", piece(i)) for i in range(len(self.bytes_b)))
@@ -87,13 +88,35 @@ class Tokenizers:
             out.append((np.array(a.ids, np.uint16).tobytes(), np.array(b, np.uint16).tobytes()) if same and t else None)
         return out
 
+    def learn(self, new: list[str]) -> None:
+        """Keep the ids of new words: many are encoded in one text and parted where the bytes of a word end."""
+        odd = [w for w in new if w[0].isspace() or w[-1].isspace() or len(w) > 200]
+        plain = list(set(new).difference(odd)) if odd else new
+        for a in range(0, len(plain), 256):
+            words = plain[a : a + 256]
+            text = " ".join(words)
+            want, ends = b" " + text.encode(), np.cumsum([len(w.encode()) + 1 for w in words])
+            sides = []
+            for ids, names, lengths in ((self.a.encode(" " + text, add_special_tokens=False).ids, self.bytes_a, self.lengths_a), (self.b.encode(text, num_threads=1), self.bytes_b, self.lengths_b)):
+                ids = np.array(ids, np.uint16)
+                till = np.cumsum(lengths[ids])
+                cut = np.searchsorted(till, ends)
+                if b"".join([names[i] for i in ids]) == want and (till[cut] == ends).all():
+                    data, cut = ids.tobytes(), [0, *((cut + 1) * 2).tolist()]
+                    sides.append([data[i:j] for i, j in zip(cut, cut[1:], strict=False)])
+            if len(sides) == 2:
+                self.known.update(zip(words, zip(*sides, strict=True), strict=True))
+            else:
+                odd += words
+        for a in range(0, len(odd), 256):
+            self.known.update(zip(odd[a : a + 256], self.whole(odd[a : a + 256]), strict=True))
+
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
         """whole() of texts, by words where that gives the same."""
         words = [None if not self.by_word or ACROSS.search(t) else t.split(" ") for t in texts]
         # a space at an edge or beside another has no place among the second side's pieces unless the library gives it one
         words = [None if w is None or "" in w else w for w in words]
-        new = self.known.missing(set(chain.from_iterable(w for w in words if w)))
-        self.known.update(zip(new, self.whole(new), strict=True))
+        self.learn(self.known.missing(set(chain.from_iterable(w for w in words if w))))
         out: list[tuple[bytes, bytes] | None] = []
         for t, w in zip(texts, words, strict=True):
             if w is None:
