@@ -17,6 +17,7 @@ token, as the library has them by default. An empty table gives an empty result.
 from __future__ import annotations
 
 import json
+import re
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -251,9 +252,33 @@ def transducer(path: str) -> tuple[Transducer, np.ndarray]:
     return _kept[path]
 
 
+#: Characters above which a text is cut, and where.
+LONG = 1 << 20
+BORDER = re.compile(r" (?=[A-Za-z0-9])|(?<=\S\n)(?=[A-Za-z])")
+
+
+def pieces(text: str, size: int = LONG) -> Iterator[str]:
+    """A long text in pieces of about size characters, cut where a pre-token begins whatever is around it.
+
+    That is before a space and an ASCII letter or digit, or between a line's single end and a letter. Where there is no
+    such place the piece goes on.
+    """
+    a = 0
+    while len(text) - a > size and (m := BORDER.search(text, a + size)):
+        yield text[a : m.start()]
+        a = m.start()
+    yield text[a:]
+
+
 def count_tokens(texts: list[str], path: str) -> list[int]:
-    """Number of tokens of each text, special strings as one each."""
+    """Number of tokens of each text, special strings as one each. Long texts are worked on piece by piece."""
     fst, cls = transducer(path)
+    if any(len(t) > LONG for t in texts):
+        return [sum(count_tokens([x], path)[0] for x in pieces(t)) if len(t) > LONG and BORDER.search(t, LONG) else counted([t], fst, cls)[0] for t in texts]
+    return counted(texts, fst, cls)
+
+
+def counted(texts: list[str], fst: Transducer, cls: np.ndarray) -> list[int]:
     parts: list[str] = []
     owner: list[int] = []
     counts = [0] * len(texts)
