@@ -211,6 +211,67 @@ def read_rows(files: DataFrame) -> DataFrame:
     return rows.join(sizes, ["part", "seq"]).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
+# --- questions to the files: a shard answers from its planes, no shard is decoded
+
+
+def header_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, seq, doc_id, from, n_tokens) of the documents of each file."""
+    for batch in batches:
+        for part, seq, file in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            w = WaveletMatrix.read(file)
+            n = len(w.doc_ids)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, part)), pa.array(np.full(n, seq)), pa.array(w.doc_ids, mask=w.doc_ids == NO_ID), pa.array(np.cumsum(w.lengths) - w.lengths), pa.array(w.lengths)], names=["part", "seq", "doc_id", "first", "n_tokens"]
+            )
+
+
+def find_batches(batches: Iterator[pa.RecordBatch], tokens: list[int], places: bool) -> Iterator[pa.RecordBatch]:
+    """(token, doc_id, at) of each occurrence, or (token, null, how many) of each file."""
+    for batch in batches:
+        for file in batch.column(2).to_pylist():
+            w = WaveletMatrix.read(file)
+            till = np.cumsum(w.lengths)
+            for t in tokens:
+                n = w.count(t)
+                if not places:
+                    yield pa.RecordBatch.from_arrays([pa.array([t], pa.int64()), pa.array([None], pa.int64()), pa.array([n], pa.int64())], names=["token", "doc_id", "at"])
+                for a in range(0, n if places else 0, 10_000):
+                    found = np.array([w.find(t, k) for k in range(a, min(n, a + 10_000))], np.int64)
+                    own = np.searchsorted(till, found, side="right")
+                    ids = w.doc_ids[own]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), t)), pa.array(ids, mask=ids == NO_ID), pa.array(found - (till - w.lengths)[own])], names=["token", "doc_id", "at"])
+
+
+def occurrences(files: DataFrame, tokens: list[int]) -> DataFrame:
+    """(token, doc_id, at): every place of some tokens, from the files' planes."""
+    return files.select("part", "seq", "file").mapInArrow(partial(find_batches, tokens=list(tokens), places=True), "token long, doc_id long, at long")
+
+
+def frequencies(files: DataFrame, tokens: list[int]) -> DataFrame:
+    """(token, n): how often some tokens occur, two ranks a plane and file."""
+    each = files.select("part", "seq", "file").mapInArrow(partial(find_batches, tokens=list(tokens), places=False), "token long, doc_id long, at long")
+    return each.groupBy("token").agg(F.sum("at").alias("n"))
+
+
+def tokens_at(files: DataFrame, places: DataFrame) -> DataFrame:
+    """places (doc_id, at) with the token there; those beyond a document's end, or of no document, are left out.
+
+    Places are joined with the files' headers, then go to the file that holds them. Rows of one doc_id each answer.
+    """
+    rows = files.select("part", "seq", "file").mapInArrow(header_batches, "part long, seq long, doc_id long, first long, n_tokens long")
+    wanted = places.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("at").cast("long").alias("at")).join(rows, "doc_id").where("at >= 0 AND at < n_tokens")
+
+    def answer(left, right):
+        if not left.num_rows or not right.num_rows:
+            return pa.table({c: pa.array([], pa.int64()) for c in ("doc_id", "at", "token")})
+        w = WaveletMatrix.read(left.column("file")[0].as_py())
+        at = [f + x for f, x in zip(right.column("first").to_pylist(), right.column("at").to_pylist(), strict=True)]
+        return pa.table({"doc_id": right.column("doc_id"), "at": right.column("at"), "token": pa.array([w.access(i) for i in at], pa.int64())})
+
+    own = files.select("part", "seq", "file").groupBy("part", "seq")
+    return own.cogroup(wanted.select("part", "seq", "doc_id", "first", "at").groupBy("part", "seq")).applyInArrow(answer, "doc_id long, at long, token long")
+
+
 def op2_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

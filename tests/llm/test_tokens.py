@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from quarry.llm import token_fst
+from quarry.llm import token_fst, token_ids
 from quarry.llm.token_fst import count_tokens, op8_token_counts, token_counts
 from quarry.llm.token_ids import Encoder, encoder, op2_wavelet_tokens, read_rows, write_files
 from quarry.llm.wavelet import WaveletMatrix
@@ -100,6 +100,42 @@ def test_edges(spark):
     assert token_counts(df.limit(0), byte_path).count() == 0
 
 
+def test_files_answer_from_their_planes(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = [(i, "the cat " * (i % 4) + f"word{i} the") for i in range(30)] + [(40, None), (None, "the end")]
+    files = write_files(spark.createDataFrame(docs, "doc_id long, text string").repartition(2), path, shard_tokens=25).cache()
+    lib = Tokenizer.from_file(path)
+    ids = {i: [*lib.encode(t or "", add_special_tokens=False).ids, 1] for i, t in docs}
+    the, cat = lib.token_to_id("the</w>"), lib.token_to_id("cat</w>")
+    asked = [the, cat, 1, 48_000, 1 << 20]
+    want = {t: sum(x.count(t) for x in ids.values()) for t in asked}
+    assert {r.token: r.n for r in token_ids.frequencies(files, asked).collect()} == want and want[the] > 50
+    assert sorted((r.token, r.doc_id or -1, r.at) for r in token_ids.occurrences(files, asked).collect()) == sorted((t, i or -1, k) for i, x in ids.items() for k, t in enumerate(x) if t in asked)
+    places = [(i, k) for i in (0, 7, 29, 40, 99) for k in range(-1, 9)]
+    got = token_ids.tokens_at(files, spark.createDataFrame(places, "doc_id int, at int")).collect()
+    assert sorted(map(tuple, got)) == sorted((i, k, ids[i][k]) for i, k in places if i in ids and 0 <= k < len(ids[i]))
+
+
+def test_long_texts_go_piece_by_piece(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    monkeypatch.setattr(token_fst, "LONG", 40)
+    monkeypatch.setattr(token_fst.pieces, "__defaults__", (40,))
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice(PIECES) for _ in range(rnd.randrange(200))) for _ in range(300)] + ["x" * 500, "日" * 200, "a\nb" * 90, " \n a" * 50]
+    assert all("".join(token_fst.pieces(t)) == t for t in texts)
+    assert count_tokens(texts, path) == [len(e.ids) for e in lib.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_a_very_long_text_needs_little_memory():
+    import subprocess
+    import sys
+
+    code = "import resource, public_tokenizers as P; from quarry.llm.token_fst import count_tokens; p = P.path('byte_bpe_50k.json'); n = count_tokens(['word and more, ' * 10], p)[0]; m = count_tokens(['word and more, ' * 2_000_000], p)[0]; print(n, m, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1000)"
+    n, m, mb = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, check=True, text=True).stdout.split())
+    assert m == (n - 1) // 10 * 2_000_000 + 1 and mb < 700
+
+
 def test_count_query(spark):
     lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
