@@ -193,12 +193,15 @@ class Engine:
 
     # index
 
-    def update(self, source_ids: tuple[str, ...] | None = None, full: bool = False) -> dict:
-        """Index all sources, or some; an unknown or disabled one is an error. Sources that have moved start anew."""
+    def update(self, source_ids: tuple[str, ...] | None = None, full: bool = False, paths: dict[str, list[str]] | None = None) -> dict:
+        """Index all sources, or some; an unknown or disabled one is an error. Sources that have moved start anew.
+
+        With paths, of these sources only the files that are named are looked at.
+        """
         known = {s.id for s in self.config.sources if s.enabled}
         if source_ids is not None and set(source_ids) - known:
             raise BadRequest(f"no such source in use: {sorted(set(source_ids) - known)}")
-        chosen = [asdict(s) for s in self.config.sources if s.id in (known if source_ids is None else source_ids)]
+        chosen = [asdict(s) | ({"paths": paths[s.id]} if paths and s.id in paths else {}) for s in self.config.sources if s.id in (known if source_ids is None else source_ids)]
         return self.index.run(chosen, self.today(), full)
 
     def reconfigure(self, config: Config) -> dict[str, str]:

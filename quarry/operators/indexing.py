@@ -35,7 +35,7 @@ from quarry.operators.candidates import canonical_ids, leaders
 from quarry.operators import serving
 from quarry.operators.maintenance import mark_missing
 from quarry.session import read_small, scratch, ship, stored, write_small
-from quarry.sources.files import discover_all
+from quarry.sources.files import discover_all, literal_path
 from quarry.sources.formats import BY_CONTENT, Unreadable, read
 
 #: Beside a chunk's text its folded form and heading, and what is indexed of its document's title and path and of its heading:
@@ -148,7 +148,7 @@ def changed_only(files: DataFrame, known: DataFrame, today: dt.date, full: bool
         read_ = files.join(new.select("path"), "path", "left_semi")
     else:
         # one read gives length, time and content of the same bytes
-        content = spark.read.format("binaryFile").load([p.replace("{", "\\{").replace("[", "\\[") for p in paths]).select("path", F.col("modificationTime").alias("modified"), "length", "content")
+        content = spark.read.format("binaryFile").load([literal_path(p) for p in paths]).select("path", F.col("modificationTime").alias("modified"), "length", "content")
         read_ = new.drop("modified", "length").join(content, "path").select(files.columns)
     return kept.unionByName(processed(read_, known, today))
 
@@ -439,7 +439,8 @@ class Index:
         counts = Observation()
         touched = results.where("outcome <> 'unchanged'")
         docs = outcomes(old, results, run_id)
-        listed = [s["id"] for s in sources if s.get("enabled", True) and s["id"] not in {p["source_id"] for p in problems}]
+        # only a whole listing tells what is gone
+        listed = [s["id"] for s in sources if s.get("enabled", True) and s.get("paths") is None and s["id"] not in {p["source_id"] for p in problems}]
         scanned = self.spark.createDataFrame([(x,) for x in listed], "source_id string")
         gone = mark_missing(docs.select("doc_id", "source_id"), results, scanned, "doc_id", "source_id").where("deleted").select("doc_id")
         docs = docs.join(gone.withColumn("_gone", F.lit(True)), "doc_id", "left").withColumn("_was", F.coalesce("deleted", F.lit(False))).withColumn("deleted", F.coalesce("_gone", "deleted")).drop("_gone")
@@ -449,7 +450,7 @@ class Index:
         n = results.agg(*[F.sum((F.col("outcome") == o).cast("long")).alias(o) for o in ("draft", "unchanged", "issue")], F.sum("size").alias("size")).first().asDict()
         n = {k: v or 0 for k, v in n.items()}
         run = {
-            "run_id": run_id, "started": dt.datetime.fromtimestamp(began, dt.UTC).replace(tzinfo=None), "seconds": time.time() - began, "phase": "failed" if n["issue"] and not n["draft"] + n["unchanged"] or (problems and not listed) else "complete",
+            "run_id": run_id, "started": dt.datetime.fromtimestamp(began, dt.UTC).replace(tzinfo=None), "seconds": time.time() - began, "phase": "failed" if n["issue"] and not n["draft"] + n["unchanged"] or (problems and len(problems) == len(sources)) else "complete",
             "discovered": n["draft"] + n["unchanged"] + n["issue"], "indexed": n["draft"], "unchanged": n["unchanged"], "failed": n["issue"], "deleted": counts.get["deleted"] or 0, "bytes": n["size"],
         }
         issues = touched.where("outcome = 'issue'").select(F.lit(run_id).alias("run_id"), "source_id", "path", "code", "message")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarry.plans import evidence_queries, index_queries, retrieval_queries, search_queries, serving_queries
+from quarry.plans import evidence_queries, index_queries, retrieval_queries, search_queries, serving_queries, sql_queries
 
-MODULES = (search_queries, index_queries, retrieval_queries, evidence_queries, serving_queries)
+MODULES = (search_queries, index_queries, retrieval_queries, evidence_queries, serving_queries, sql_queries)
 
 
 def queries() -> dict:

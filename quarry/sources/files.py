@@ -48,14 +48,14 @@ def any_pattern(globs: Iterable[str]) -> str:
     return "|".join(glob_pattern(g) for g in globs if g.strip())
 
 
-def discover(spark: SparkSession, root: str, extensions: list[str], max_bytes: int = 128 << 20, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """(path, relative_path, extension, modified, length, content) of the files to index below root, by path.
+def discover(spark: SparkSession, root: str, extensions: list[str], max_bytes: int = 128 << 20, exclude: tuple[str, ...] = (), paths: list[str] | None = None) -> DataFrame:
+    """(path, relative_path, extension, modified, length, content) of the files to index below root, by path; of paths alone, if given.
 
     Left out are temporary files, secrets, folders of tools, other extensions, larger files, and paths with a folder or
     file whose name an exclude glob matches. Filters on length and time reach the scan, and content is read for what is
     left only. A task reads a file once, so that its hash and its text are of the same bytes.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where(F.col("length") <= max_bytes)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root if paths is None else [literal_path(p) for p in paths]).where(F.col("length") <= max_bytes)
     base = root.rstrip("/").split(":", 1)[-1].lstrip("/") + "/"
     files = files.withColumn("relative_path", F.substring_index("path", base, -1))
     low = F.lower("relative_path")
@@ -69,16 +69,21 @@ def discover(spark: SparkSession, root: str, extensions: list[str], max_bytes: i
     return files.where(kept).select("path", "relative_path", "extension", F.col("modificationTime").alias("modified"), "length", "content")
 
 
+def literal_path(path: str) -> str:
+    """A path without the meaning that its characters have in patterns of paths."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def discover_all(spark: SparkSession, sources: list[dict]) -> tuple[DataFrame | None, list[dict]]:
     """(files of every enabled source with source_id and source_kind, issues): a source that can't be listed is an issue
-    and holds up no other. A source has id, kind, root, extensions and perhaps max_bytes and exclude.
+    and holds up no other. A source has id, kind, root, extensions and perhaps max_bytes, exclude and paths.
     """
     found, issues = [], []
     for s in sources:
         if not s.get("enabled", True):
             continue
         try:
-            files = discover(spark, s["root"], s["extensions"], s.get("max_bytes", 128 << 20), tuple(s.get("exclude", ())))
+            files = discover(spark, s["root"], s["extensions"], s.get("max_bytes", 128 << 20), tuple(s.get("exclude", ())), s.get("paths"))
             found.append(files.select(F.lit(s["id"]).alias("source_id"), F.lit(s["kind"]).alias("source_kind"), "*"))
         except AnalysisException as e:
             issues.append({"source_id": s["id"], "path": s["root"], "code": "source_unavailable", "message": str(e).split("\n")[0]})
