@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.graph import components
-from quarry.llm.words import blocks, mix, shingle_sets
+from quarry.llm.words import blocks, mix, release, shingle_sets
 from quarry.operators.joins import hot_join
 from quarry.session import ship, stored
 
@@ -67,6 +67,7 @@ SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", p
 
 
 def sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         ids, texts = batch.column(0), [(t or "").encode() for t in batch.column(1).to_pylist()]
         for a, b in blocks(texts):
@@ -130,15 +131,18 @@ def possible(left: pa.Table, right: pa.Table, percent: int, nearest: bool) -> pa
     bits = [np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint64).reshape(t.num_rows, BITS // 64) for t in (left, right)]
     cid, n, comp = (np.array(y[k], np.int64) for k in ("cid", "n", "comp"))
     run = right.column("i")[0].as_py() << 32 | right.column("j")[0].as_py() if right.num_rows else 0
-    out: list[tuple] = []
+    out: list[tuple[np.ndarray, ...]] = []
     for i, (a, na, ca) in enumerate(zip(x["cid"], x["n"], x["comp"], strict=True)):
         differ = np.bitwise_count(bits[0][i] ^ bits[1]).sum(axis=1, dtype=np.int64)
         ok = np.flatnonzero(((100 + percent) * differ <= (100 - percent) * (na + n)) & (comp != ca))
         if nearest and len(ok):
             ok = ok[np.argsort(differ[ok], kind="stable")]
             ok = ok[np.unique(comp[ok], return_index=True)[1]]
-        out += [(a, na, int(cid[k]), int(n[k]), run) if a < cid[k] else (int(cid[k]), int(n[k]), a, na, run) for k in ok.tolist()]
-    return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 5, schema=REST)
+        if len(ok):
+            other, size, first = cid[ok], n[ok], a < cid[ok]
+            out.append((np.where(first, a, other), np.where(first, na, size), np.where(first, other, a), np.where(first, size, na)))
+    cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 4
+    return pa.Table.from_arrays([*map(pa.array, cols), pa.array(np.full(len(cols[0]), run))], schema=REST)
 
 
 def remaining(members: DataFrame, roots: DataFrame, bits: DataFrame, percent: int, nearest: bool, hot: int) -> DataFrame:
