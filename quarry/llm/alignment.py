@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.token_ids import Memory
+from quarry.llm.words import cache, release
 from quarry.operators.joins import hot_join
 from quarry.session import ship, stored
 
@@ -127,7 +128,7 @@ class Tokenizers:
         return out
 
 
-_kept: dict[tuple[str, str], Tokenizers] = {}
+_kept: dict[tuple[str, str], Tokenizers] = cache()
 
 
 def tokenizers(path_a: str, path_b: str) -> Tokenizers:
@@ -235,6 +236,7 @@ def digests(p: np.ndarray, k: np.ndarray, a: np.ndarray, b: np.ndarray, ends: np
 
 def document_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows (p, k, a, b, ends) to DOCUMENTS; the last document's rows wait for what follows."""
+    release()
     table, kept = cells(), []
     for batch in batches:
         cols = [c.to_numpy() for c in batch.columns]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.words import PUNCT, blocks, grams, hashed
+from quarry.llm.words import PUNCT, blocks, grams, hashed, release
 from quarry.session import ship
 
 SEED_WORDS, COVERAGE = 5, 0.5
@@ -109,6 +109,7 @@ def shared(h: np.ndarray, at: np.ndarray, seeds: Seeds) -> Iterator[tuple[int, i
 
 
 def find(batches: Iterator[pa.RecordBatch], table, seed: int, coverage: float) -> Iterator[pa.RecordBatch]:
+    release()
     seeds: Seeds = table.value
     for batch in batches:
         docs = batch.column(0).to_pylist()

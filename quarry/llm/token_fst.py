@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.words import blocks
+from quarry.llm.words import blocks, cache
 from quarry.session import ship
 
 TOKENIZER, LIMIT = "byte_bpe_50k.json", 1024
@@ -241,7 +241,7 @@ class Transducer:
         return out
 
 
-_kept: dict = {}
+_kept: dict = cache()
 
 
 def transducer(path: str) -> tuple[Transducer, np.ndarray]:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.native import prefix_sums
 from quarry.llm.wavelet import WaveletMatrix
-from quarry.llm.words import blocks
+from quarry.llm.words import blocks, cache
 from quarry.session import ship, stored
 
 TOKENIZER, END_ID, SHARD_TOKENS = "word_bpe_49k.json", 1, 1 << 20
@@ -140,7 +140,7 @@ class Encoder:
         return b if SPECIAL in b or any(c in b for c in COMBINING) else b.lower()
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder] = cache()
 
 
 def encoder(path: str) -> Encoder:

@@ -24,6 +24,21 @@ PUNCT = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _powers = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
 
 
+_caches: list[dict] = []
+
+
+def cache() -> dict:
+    """A dict that a stage keeps in a worker between its tasks."""
+    _caches.append({})
+    return _caches[-1]
+
+
+def release() -> None:
+    """Let go of what other stages keep: Spark's workers go on from one stage to the next."""
+    for c in _caches:
+        c.clear()
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i for i below n, kept for the process."""
     if len(_powers[0]) < n:
