@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Sequence
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -36,18 +36,15 @@ FAMILY_DROPS = (
 FAMILY_ENDINGS = r"(策划案|需求文档|配置表|活动方案|说明文档)$"
 
 
+ZERO_WIDTH, SPACES = re.compile("[\u200b\u200c\u200d\ufeff]"), re.compile("[\t\n\f\r ]+")
+
+
 def fold(text: str | None) -> str:
     """NFKC, without zero-width characters, trimmed, lower case by code point, white space runs as one space."""
-    t = "".join(c for c in unicodedata.normalize("NFKC", text or "") if c not in "\u200b\u200c\u200d\ufeff").strip()
-    t = "".join(c.lower() if len(c.lower()) == 1 else c for c in t)
-    out: list[str] = []
-    for c in t:
-        if c in "\t\n\f\r ":
-            if not out or out[-1] != " ":
-                out.append(" ")
-        else:
-            out.append(c)
-    return "".join(out)
+    t = ZERO_WIDTH.sub("", unicodedata.normalize("NFKC", text or "")).strip()
+    # the lower case of all others is one character, whatever is around
+    t = "".join(c.lower() if len(c.lower()) == 1 else c for c in t) if "\u03a3" in t or "\u0130" in t else t.lower()
+    return SPACES.sub(" ", t)
 
 
 def fold_series(s: pd.Series) -> pd.Series:
@@ -57,7 +54,7 @@ def fold_series(s: pd.Series) -> pd.Series:
 def normalize_text(text: Column) -> Column:
     """fold() of a column. ASCII stays in the JVM: Python workers get nulls for it."""
     plain = F.coalesce(text, F.lit(""))
-    other = plain.rlike(r"[^\x00-\x7F]")
+    other = not_ascii(plain)
     ascii_ = F.regexp_replace(F.lower(F.regexp_replace(plain, r"^[\t-\r\x1c-\x20]+|[\t-\r\x1c-\x20]+$", "")), r"[\t\n\f\r ]+", " ")
     return F.when(other, F.pandas_udf(fold_series, "string")(F.when(other, plain))).otherwise(ascii_)
 
@@ -117,26 +114,54 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norm > 0), dot / norm).otherwise(F.lit(0.0))
 
 
+#: Index terms by pattern: pairs of adjacent Han characters, tokens, and the tokens' parts between slashes and between all marks.
+HAN_PAIRS, WHOLE, UNSLASHED, PLAIN = r"(?=(\p{script=Han}{2}))", "[a-z0-9_./:-]{2,}", "[a-z0-9_.:-]{2,}", "[a-z0-9]{2,}"
+#: Where scripts of East Asia begin: cheaper to look for than a script.
+MAY_BE_HAN = r"[\x{2E80}-\x{10FFFF}]"
+#: All but ASCII and unified Han, which has neither marks nor case.
+MAY_BE_MARKED = r"[^\x00-\x7F\x{3400}-\x{9FFF}]"
+NOT_ASCII = re.compile(r"[^\x00-\x7F]+")
+
+
+def not_ascii(text: Column) -> Column:
+    """Whether a text has other characters, from its lengths, without a pattern."""
+    return F.octet_length(text) != F.length(text)
+
+
+def lower_terms(text: Column) -> Column:
+    """search_terms() of a text in lower case.
+
+    A token's parts are runs of the text without the marks that part it: patterns find them, and no function is called a token.
+    """
+    none = F.array().cast("array<string>")
+    han = F.when(not_ascii(text) & text.rlike(MAY_BE_HAN), F.regexp_extract_all(text, F.lit(HAN_PAIRS), 1)).otherwise(none)
+    whole, unslashed, plain = (F.regexp_extract_all(text, F.lit(p), 0) for p in (WHOLE, UNSLASHED, PLAIN))
+    return F.array_distinct(F.concat(han, whole, F.when(text.contains("/"), unslashed).otherwise(none), F.when(text.rlike("[_./:-]"), plain).otherwise(none)))
+
+
 def search_terms(text: Column) -> Column:
     """Distinct index terms: pairs of adjacent Han characters, and tokens of letters, digits and _./:- with their parts."""
-    han = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(r"\p{script=Han}{2,}"), 0), lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substr(r, i, F.lit(2)))))
-    whole = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9_./:-]{2,}"), 0)
-    parts = F.flatten(F.transform(whole, lambda t: F.filter(F.split(t, r"[/\\]"), lambda x: F.length(x) > 1)))
-    fine = F.flatten(F.transform(whole, lambda t: F.filter(F.split(t, "[_./:-]+"), lambda x: F.length(x) > 1)))
-    return F.array_distinct(F.concat(han, whole, parts, fine))
+    return lower_terms(F.lower(text))
+
+
+@lru_cache(1 << 16)
+def bare(run: str) -> str:
+    """Characters without the marks above and below them."""
+    return "".join(c for c in unicodedata.normalize("NFD", run) if not unicodedata.combining(c))
 
 
 def unmarked(s: pd.Series) -> pd.Series:
     """Without marks above and below letters, in lower case: how an index compares words."""
-    strip = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c)).lower()
-    return s.map(strip, na_action="ignore")
+    # a run is looked up as one, since marks belong to the letter before them and all others stand for themselves
+    one = lambda m: bare(m[0]) if len(m[0]) <= 2 else "".join(map(bare, m[0]))
+    return s.map(lambda t: NOT_ASCII.sub(one, t).lower(), na_action="ignore")
 
 
 def without_marks(text: Column) -> Column:
-    other = text.rlike(r"[^\x00-\x7F]")
+    other = not_ascii(text) & text.rlike(MAY_BE_MARKED)
     return F.when(other, F.pandas_udf(unmarked, "string")(F.when(other, text))).otherwise(F.lower(text))
 
 
 def folded_terms(text: Column) -> Column:
     """search_terms() without marks on letters, as words are indexed: café and cafe are one."""
-    return search_terms(without_marks(text))
+    return lower_terms(without_marks(text))

@@ -240,7 +240,7 @@ class Snapshot:
         rows = [self.spark.read.parquet(f"{p}/postings").withColumn("segment", F.lit(s)) for (s, p), stats in zip(index.parts, index._stats, strict=True) if stats["filled"]]
         if not rows:
             return self.spark.createDataFrame([], POSTINGS)
-        each = reduce(DataFrame.unionByName, [r.select("term", "segment", F.explode("entries").alias("e")) for r in rows]).select("term", "segment", "e.doc_id", "e.ordinal", "e.mask")
+        each = reduce(DataFrame.unionByName, [r.select("term", "segment", "doc_id", "ordinal", "mask") for r in rows])
         fields = F.filter(F.array(*[F.when(F.col("mask").bitwiseAND(bit) != 0, F.lit(f)) for f, bit in serving.FIELDS.items()]), lambda x: x.isNotNull())
         ids = self.table("chunks").select("doc_id", "ordinal", "segment", "chunk_id")
         return each.join(ids, ["doc_id", "ordinal", "segment"]).select("doc_id", "chunk_id", F.explode(fields).alias("field"), "term")

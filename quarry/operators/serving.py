@@ -1,9 +1,9 @@
 """Candidates from stored postings: terms by bucket, entries by block of documents, frequencies beside them.
 
-Below an index's path lie two tables and a small file. postings has a row for each term and block, with the entries of its chunks; it is
+Below an index's path lie two tables and a small file. postings has a row, an entry, for each term and chunk that holds it; it is
 partitioned by the term's bucket and sorted by term and block, so that a question reads the files of its terms' buckets
-and of these the blocks it needs. terms has each term's frequency by bucket, the file its sums. A block holds the documents
-of one hash value; there are as many as BLOCK_CHUNKS asks for, so that no row of a frequent term grows with the corpus.
+and of these the blocks it needs. It is shuffled once and nothing is collected. terms has each term's frequency by bucket,
+the file its sums. A block holds the documents of one hash value; there are as many as BLOCK_CHUNKS asks for.
 
 An entry's mask tells which fields of the chunk hold the term. Titles and paths belong to a document's first chunk alone,
 a heading to the first chunk that has it: rows to be indexed have nulls elsewhere.
@@ -47,17 +47,16 @@ def trigrams(text: Column) -> Column:
 def entries(rows: DataFrame, terms: Callable[[Column], Column] = T.folded_terms) -> DataFrame:
     """(doc_id, ordinal, term, mask, size) of rows (doc_id, ordinal, title, heading, path, body): size is that of all fields' terms.
 
-    Chunks without a head, nearly all, are exploded where they are; only the others' terms are grouped.
+    A chunk's terms are those of its head, then those of its body alone: none has to be grouped.
     """
-    headed = F.coalesce("title", "heading", "path").isNotNull()
-    plain = rows.where(~headed).select("doc_id", "ordinal", terms(F.col("body")).alias("_t"))
-    plain = plain.select("doc_id", "ordinal", F.explode("_t").alias("term"), F.lit(FIELDS["body"]).alias("mask"), F.size("_t").alias("size"))
-    each = rows.where(headed).select("doc_id", "ordinal", *[F.coalesce(terms(F.col(c)), F.array().cast("array<string>")).alias(c) for c in FIELDS])
+    each = rows.select("doc_id", "ordinal", *[F.coalesce(terms(F.col(c)), F.array().cast("array<string>")).alias(c) for c in FIELDS])
+    each = each.withColumn("_heads", F.array_distinct(F.concat(*[c for c, bit in FIELDS.items() if bit & HEADS])))
     size = reduce(lambda a, b: a + b, [F.size(c) for c in FIELDS])
-    marked = lambda c, bit: F.transform(c, lambda t: F.struct(t.alias("term"), F.lit(bit).alias("mask")))
-    both = F.concat(*[marked(c, bit) for c, bit in FIELDS.items()])
-    each = each.select("doc_id", "ordinal", size.alias("size"), F.explode(both).alias("e")).groupBy("doc_id", "ordinal", "size", F.col("e.term").alias("term")).agg(F.bit_or("e.mask").alias("mask"))
-    return plain.unionByName(each)
+    every = F.when(F.size("_heads") == 0, F.col("body")).otherwise(F.concat("_heads", F.array_except("body", "_heads")))
+    # outer: else the optimiser would make the terms twice, once to see whether there are any
+    each = each.select("doc_id", "ordinal", size.alias("size"), *FIELDS, F.size("_heads").alias("_n"), F.posexplode_outer(every).alias("_k", "term")).where("term IS NOT NULL")
+    held = reduce(lambda a, b: a + b, [F.when(F.array_contains(c, F.col("term")), bit).otherwise(0) for c, bit in FIELDS.items()])
+    return each.select("doc_id", "ordinal", "term", F.when(F.col("_k") < F.col("_n"), held).otherwise(FIELDS["body"]).alias("mask"), "size")
 
 
 def build(
@@ -75,11 +74,10 @@ def build(
     buckets = buckets or min(MOST_BUCKETS, max(1, n // BUCKET_CHUNKS))
     place = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int").alias("bucket")
     n_blocks = max(1, -(-n // block_chunks))
-    e = entries(rows, terms).select(place, "term", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int").alias("block"), "mask", F.struct("doc_id", "ordinal", "mask", "size").alias("e"))
+    e = entries(rows, terms).select(place, "term", F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)).cast("int").alias("block"), "doc_id", "ordinal", "mask", "size")
+    e.repartition("bucket", F.pmod("block", F.lit(SPREAD))).sortWithinPartitions("bucket").write.partitionBy("bucket").parquet(f"{path}/postings")
     head = (F.col("mask").bitwiseAND(HEADS) != 0).cast("int")
-    laid = e.groupBy("bucket", "term", "block").agg(F.collect_list("e").alias("entries"), F.count("*").alias("n"), F.max(1 + head).alias("best"), F.sum(F.bit_count("mask")).alias("total"))
-    laid.repartition("bucket", F.pmod("block", F.lit(SPREAD))).sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
-    own = spark.read.schema("term string, n long, best int, total long, bucket int").parquet(f"{path}/postings").select("bucket", "term", F.col("n").alias("df"), "best", "total")
+    own = spark.read.schema("term string, mask int, bucket int").parquet(f"{path}/postings").groupBy("bucket", "term").agg(F.count("*").alias("df"), F.max(1 + head).alias("best"), F.sum(F.bit_count("mask")).alias("total"))
     measured = lambda r: r.agg(F.count("*"), F.sum(size() if size else F.lit(0))).first()
     if counts is not None:
         own = counts.select(place, "term", "df", "best", "total")
@@ -172,7 +170,6 @@ class Postings:
     def matches(self, tokens: Sequence[str], blocks: list[list[int]] | None = None, chosen: DataFrame | None = None) -> DataFrame:
         """(doc_id, segment, ordinal, size, m0, m1, ...): the mask of each token in each chunk that holds one, null where it doesn't."""
         rows = self.table("postings", tokens, blocks)
-        rows = rows.select("term", *self.keys[1:], F.explode("entries").alias("e")).select("term", *self.keys[1:], "e.*")
         if chosen is not None:
             rows = rows.join(F.broadcast(chosen), self.keys, "left_semi")
         return rows.groupBy(*self.keys, "ordinal").agg(F.max("size").alias("size"), *[F.max(F.when(F.col("term") == t, F.col("mask"))).alias(f"m{i}") for i, t in enumerate(tokens)])

@@ -1,5 +1,8 @@
+import random
+import re
 import unicodedata
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,3 +56,25 @@ def test_pieces():
         assert found <= at
         at = found + len(p)
     assert at == len(text)
+
+
+def test_terms_and_folding_are_those_of_each_token(spark):
+    """Patterns over the whole text find what parting each token found; folding by runs gives what folding by characters did."""
+    r = random.Random(3)
+    texts = ["".join(r.choice("ab1_./:-\\ ,éßΣ奖励签𠀀") for _ in range(r.randint(0, 30))) for _ in range(300)]
+
+    def parted(t):
+        t, out = t.lower(), set()
+        for w in re.findall("[a-z0-9_./:-]{2,}", t):
+            out |= {w, *(p for p in w.split("/") if len(p) > 1), *(p for p in re.split("[_./:-]+", w) if len(p) > 1)}
+        return out | {x[i : i + 2] for x in re.findall("[奖励签𠀀]{2,}", t) for i in range(len(x) - 1)}
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plan = df.select(T.search_terms(F.col("t")))._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan
+    for row in df.select("t", T.search_terms(F.col("t")).alias("x"), T.folded_terms(F.col("t")).alias("y")).collect():
+        assert set(row.x) == parted(row.t) and len(row.x) == len(set(row.x)), row.t
+        assert set(row.y) == parted(row.t.replace("é", "e")), row.t
+    assert [T.fold(t) for t in ("ΑΣ İx", " Ａ​\t\nB\x0b c ")] == ["ασ İx", "a b\x0b c"]
+    marks = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c)).lower()
+    assert list(T.unmarked(pd.Series(texts + ["á̧ΑΣ가"]))) == [marks(t) for t in [*texts, "á̧ΑΣ가"]]
