@@ -36,14 +36,13 @@ def _family() -> str:
 APART, JOINED = r"(?<!\d)20\d{2}[-/.年_](?:0?[1-9]|1[0-2])(?:[-/.月_](?:0?[1-9]|[12]\d|3[01])日?)?(?!\d)", r"(?<!\d)20\d{2}(?:0[1-9]|1[0-2])(?:[0-2]\d|3[01])(?!\d)"
 _PARTS = f"split(rtrim(regexp_replace(m, {quoted('[-/.年月日_]')}, ' ')), ' ')"
 FUNCTIONS = {
-    "normalize_text(x STRING) RETURNS STRING": f"CASE WHEN coalesce(x, '') RLIKE {quoted(r'[^\x00-\x7F]')} THEN quarry_fold(coalesce(x, '')) ELSE regexp_replace(lower(regexp_replace(coalesce(x, ''), {quoted(r'^[\t-\r\x1c-\x20]+|[\t-\r\x1c-\x20]+$')}, '')), {quoted(r'[\t\n\f\r ]+')}, ' ') END",
+    "normalize_text(x STRING) RETURNS STRING": f"CASE WHEN octet_length(x) <> length(x) THEN quarry_fold(coalesce(x, '')) ELSE regexp_replace(lower(regexp_replace(coalesce(x, ''), {quoted(r'^[\t-\r\x1c-\x20]+|[\t-\r\x1c-\x20]+$')}, '')), {quoted(r'[\t\n\f\r ]+')}, ' ') END",
     "classify_section(heading STRING, body STRING) RETURNS STRING": f"CASE {_rules('heading')} {_rules('left(body, 240)')} ELSE 'other' END",
     "family_key(title STRING) RETURNS STRING": _family(),
     "index_terms(x STRING) RETURNS ARRAY<STRING>": f"""array_distinct(concat(
-        flatten(transform(regexp_extract_all(x, {quoted(r'\p{script=Han}{2,}')}, 0), r -> transform(sequence(1, length(r) - 1), i -> substr(r, i, 2)))),
-        regexp_extract_all(lower(x), {quoted('[a-z0-9_./:-]{2,}')}, 0),
-        flatten(transform(regexp_extract_all(lower(x), {quoted('[a-z0-9_./:-]{2,}')}, 0), t -> filter(split(t, {quoted('[_./:-]+')}), y -> length(y) > 1))),
-        flatten(transform(regexp_extract_all(lower(x), {quoted('[a-z0-9_./:-]{2,}')}, 0), t -> filter(split(t, '/'), y -> length(y) > 1)))))""",
+        CASE WHEN octet_length(x) <> length(x) AND x RLIKE {quoted(T.MAY_BE_HAN)} THEN regexp_extract_all(x, {quoted(T.HAN_PAIRS)}, 1) ELSE array() END,
+        regexp_extract_all(lower(x), {quoted(T.WHOLE)}, 0), regexp_extract_all(lower(x), {quoted(T.PLAIN)}, 0),
+        CASE WHEN contains(x, '/') THEN regexp_extract_all(lower(x), {quoted(T.UNSLASHED)}, 0) ELSE array() END))""",
     "find_dates(x STRING) RETURNS ARRAY<DATE>": f"""array_sort(array_distinct(filter(concat(
         transform(regexp_extract_all(x, {quoted(APART)}, 0), m -> try_cast(concat_ws('-', {_PARTS}[0], lpad({_PARTS}[1], 2, '0'), lpad(coalesce(get({_PARTS}, 2), '1'), 2, '0')) AS DATE)),
         transform(regexp_extract_all(x, {quoted(JOINED)}, 0), m -> try_cast(concat_ws('-', left(m, 4), substr(m, 5, 2), right(m, 2)) AS DATE))), d -> d IS NOT NULL)))""",
