@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from quarry.session import ship
 
-#: Bytes of a block of queries, broadcast; rows that are multiplied at once; digits that similarities are compared by.
-BLOCK_BYTES, ROWS, DIGITS = 32 << 20, 1_024, 5
+#: Bytes of a block of queries, with the places that a task keeps for their best; products of a matrix at once; digits that
+#: similarities are compared by.
+BLOCK_BYTES, PRODUCTS, DIGITS = 32 << 20, 1 << 20, 5
 NEAR = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("similarity", pa.float64())])
 
 
@@ -33,7 +34,7 @@ def best_of(batches: Iterator[pa.RecordBatch], block, k: int) -> Iterator[pa.Rec
     own = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
     least = np.full(len(ids), -np.inf)
     waiting: list[list[np.ndarray]] = []
-    size = 0
+    size, step = 0, max(1, PRODUCTS // max(1, len(ids)))
 
     def settle() -> None:
         nonlocal own, waiting, size
@@ -46,15 +47,15 @@ def best_of(batches: Iterator[pa.RecordBatch], block, k: int) -> Iterator[pa.Rec
         waiting, size = [], 0
 
     for batch in batches:
-        for a in range(0, batch.num_rows, ROWS):
-            rows = batch.slice(a, ROWS)
+        for a in range(0, batch.num_rows, step):
+            rows = batch.slice(a, step)
             there, sizes = matrix(rows.column(1), unit.shape[1])
             similar = np.round(unit @ there[:, : unit.shape[1]].T, DIGITS) + 0.0
             similar[lengths[:, None] != sizes] = 0.0
             q, r = np.nonzero(similar >= least[:, None])
             waiting.append([q, rows.column(0).to_numpy()[r], similar[q, r]])
             size += len(q)
-            if size > 4 * k * max(1, len(ids)):
+            if size > max(k * len(ids), PRODUCTS):
                 settle()
     if waiting:
         settle()
@@ -66,18 +67,18 @@ def best_of(batches: Iterator[pa.RecordBatch], block, k: int) -> Iterator[pa.Rec
 def nearest(rows: DataFrame, queries: DataFrame, k: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(query_id, vec_id, similarity, rank): the k rows (vec_id, embedding) of largest cosine for each of queries (the same columns).
 
-    A block of queries of about block_bytes is broadcast for each pass over the rows; a task hands on k rows a query, and
-    no pair is a row. Vectors of unequal length or without direction have similarity 0. Ties go by vec_id.
+    A block of queries is broadcast for each pass over the rows; a task hands on k rows a query, and no pair is a row. With
+    what a task keeps for them, queries have about block_bytes, so that a task's memory doesn't grow with the table. Vectors of unequal length or without direction have similarity 0. Ties go by vec_id.
     """
     spark = rows.sparkSession
     ship(spark)
     rows, queries = (df.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding") for df in (rows, queries))
-    total = queries.agg(F.sum(8 * (2 + F.greatest(F.lit(0), F.size("embedding"))))).first()[0] or 0
+    total = queries.agg(F.sum(8 * (2 + F.greatest(F.lit(0), F.size("embedding")) + 3 * k))).first()[0] or 0
     n = max(1, -(-total // block_bytes)) * (2 if total > block_bytes else 1)
     found = []
     for i in range(n):
         block = queries if n == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == i)
-        got = block.orderBy("vec_id").toArrow().combine_chunks()  # at most about block_bytes
+        got = block.orderBy("vec_id").toArrow().combine_chunks()  # less than block_bytes
         if got.num_rows:
             unit, lengths = matrix(got.column(1).combine_chunks())
             shared = spark.sparkContext.broadcast((got.column(0).to_numpy(), unit, lengths))

@@ -1,7 +1,11 @@
+import tracemalloc
+from types import SimpleNamespace
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from quarry.operators.vectors import nearest
+from quarry.operators.vectors import best_of, nearest
 
 
 @pytest.mark.parametrize("block", [1 << 20, 200])
@@ -24,3 +28,17 @@ def test_nearest(spark, block):
         best = sorted((-cosine(v, w), j) for j, w in rows)[:7]
         assert sorted(got[i]) == [(k, j, -s) for k, (s, j) in enumerate(best, 1)], i
     assert nearest(df, df.limit(0), 3).count() == 0 and nearest(df.limit(0), df, 3).count() == 0
+
+
+def test_memory_of_a_task_is_bounded():
+    """Products are made for as many rows as fit: a thousand rows at once took gigabytes with many queries."""
+    rng = np.random.default_rng(5)
+    unit = rng.normal(size=(20_000, 8))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    ids = np.arange(len(unit))
+    rows = pa.RecordBatch.from_arrays([pa.array(ids[:1_500]), pa.array(list(unit[:1_500]))], names=["vec_id", "embedding"])
+    tracemalloc.start()
+    n = sum(b.num_rows for b in best_of(iter([rows]), SimpleNamespace(value=(ids, unit, np.full(len(ids), 8))), 10))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 10 * len(ids) and peak < 250 << 20
