@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,16 +111,31 @@ l AS (SELECT doc_id, list_distinct(list_filter([CASE WHEN month AND daylike THEN
 SELECT doc_id, array_to_string(list_transform(list_sort(ds), lambda x: CAST(x AS VARCHAR)), ',') AS dates FROM l"""
 
 
+#: Pages of a task, which Spark hands to Python at once, and of an answer from there.
+TASK_PAGES, PAGES = 2_000, 64
+
+
+def cut_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of blocks of rows (page_id, html), a few pages at a time."""
+    for batch in batches:
+        text = [pa.field(c, pa.string()) for c in ("text", "heading", "section", "locator")]
+        schema = pa.schema([batch.schema.field(0).with_name("page_id"), pa.field("ordinal", pa.int64()), *text])
+        for a in range(0, batch.num_rows, PAGES):
+            some = batch.slice(a, PAGES)
+            out = [
+                (page, k, b.text, " / ".join(b.headings), b.section, b.locator)
+                for page, html in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True) for k, b in enumerate(blocks_of_html(html or ""))
+            ]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+
 def html_blocks(s, d) -> DataFrame:
     """Blocks of every page with the heading above them."""
     ship(s)
-
-    def cut(h: pd.Series) -> pd.Series:
-        return h.map(lambda x: [{"text": b.text, "heading": " / ".join(b.headings), "section": b.section, "locator": b.locator} for b in blocks_of_html(x or "")])
-
-    found = F.pandas_udf(cut, "array<struct<text:string,heading:string,section:string,locator:string>>")("html")
-    pages = table(s, d, "pages").repartition(max(8, s.sparkContext.defaultParallelism))
-    return pages.select("page_id", F.posexplode(found).alias("ordinal", "b")).select("page_id", F.col("ordinal").cast("long").alias("ordinal"), "b.*")
+    pages = table(s, d, "pages").select("page_id", "html")
+    pages = pages.repartition(max(8, s.sparkContext.defaultParallelism, -(-pages.count() // TASK_PAGES)))
+    return pages.mapInArrow(cut_pages, f"page_id {pages.schema['page_id'].dataType.simpleString()}, ordinal long, text string, heading string, section string, locator string")
 
 
 QUERIES = {

@@ -2,10 +2,12 @@ import datetime as dt
 import io
 import zipfile
 
+import pyarrow as pa
 import pytest
 
 from quarry.functions import dates as D
 from quarry.functions.chunking import Block, chunks, coalesced, merged_locator, sheet_pieces
+from quarry.plans import evidence_queries as E
 from quarry.sources.formats import Unreadable, column_name, column_number, read
 
 TODAY = dt.date(2026, 9, 28)
@@ -152,3 +154,16 @@ def test_dates_from_outside():
         with pytest.raises(ValueError):
             D.search_date(bad)
     assert D.pdf_date("D:20260102030405+02'00'") == dt.datetime(2026, 1, 2, 1, 4, 5, tzinfo=dt.UTC) and D.pdf_date("D:20260231") is None and D.pdf_date("D:20260102") == dt.datetime(2026, 1, 2, tzinfo=dt.UTC)
+
+
+def test_pages_are_cut_a_few_at_a_time(spark, tmp_path):
+    """A whole batch's blocks as Python values took gigabytes; what leaves for Spark is a few pages at a time."""
+    pages = [(i, None if i == 7 else f"<h2>第{i}章 玩法</h2><p>one {i}</p><p>two</p>") for i in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in pages]), pa.array([h for _, h in pages])], names=["page_id", "html"])
+    parts = list(E.cut_pages(iter([batch])))
+    assert len(parts) > 1 and max(len(set(p.column(0).to_pylist())) for p in parts) <= E.PAGES
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = E.html_blocks(spark, str(tmp_path))
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    want = [(i, k, b.text, " / ".join(b.headings), b.section, b.locator) for i, h in pages for k, b in enumerate(E.blocks_of_html(h or ""))]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) >= 598
