@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from quarry.functions.query import Concept, Named, QueryPlan, required_tokens, weigh
 from quarry.functions.text import cosine, fold, utf16_length, without_marks
 from quarry.operators.ranking import first_per, newest, quality_floor, rank_bonus, with_hybrid
+from quarry.session import stored
 
 FIELDS = ("title", "heading", "relative_path", "chunk_text")
 GAP = r"[^\p{L}\p{N}]*"
@@ -290,6 +291,8 @@ def search(
     docs = docs.drop("best").withColumn("role", F.round(role_score(plan), 9)).withColumn("named", named_document(F.col("title"), F.col("relative_path"), plan.named) > 0)
     if reruns is not None:
         docs = docs.join(reruns.select("doc_id", F.lit(True).alias("_own")).distinct(), "doc_id", "left").withColumn("named", F.col("named") | F.coalesce("_own", F.lit(False))).drop("_own")
+    # written once, without texts: floors, spans and the order below each read it, and would score all chunks again
+    docs = stored(docs, "search")
     if not targeted:
         docs = identity_gate(docs, plan)
     required = None if targeted else required_documents(chunks, plan.document_anchors)

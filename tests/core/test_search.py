@@ -60,3 +60,12 @@ def test_ties_go_by_the_order_of_chinese(spark):
     rows = [chunk(i, "word", path=p) for i, p in enumerate(("重.md", "安.md", "b.md", "中.md", "A.md", "北.md"))]
     found = S.search(spark.createDataFrame(rows, COLUMNS), Q.understand("word"), 10, "relevance")
     assert [r.relative_path for r in found.collect()] == ["安.md", "北.md", "中.md", "重.md", "A.md", "b.md"]
+
+
+def test_chunks_are_scored_once(spark):
+    """What a search returns reads the scored documents from one written table; each use scored all chunks again before."""
+    from quarry.plans import retrieval_queries as R
+    from tests.conftest import SF
+
+    got = R.search_hybrid(spark, SF)
+    assert got.collect() and not any("documents.parquet" in f for f in got.inputFiles()) and got.inputFiles()
