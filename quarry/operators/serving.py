@@ -1,8 +1,8 @@
 """Candidates from stored postings: terms by bucket, entries by block of documents, frequencies beside them.
 
 Below an index's path lie two tables and a small file. postings has a row, an entry, for each term and chunk that holds it; it is
-partitioned by the term's bucket and sorted by term and block, so that a question reads the files of its terms' buckets
-and of these the blocks it needs. It is shuffled once and nothing is collected. terms has each term's frequency by bucket,
+partitioned by the term's bucket, and a file has blocks of few remainders, so that a question reads the files of its terms'
+buckets and keeps of these the blocks it needs; within a file entries are in no order. It is shuffled once and nothing is collected. terms has each term's frequency by bucket,
 the file its sums. A block holds the documents of one hash value; there are as many as BLOCK_CHUNKS asks for.
 
 An entry's mask tells which fields of the chunk hold the term. Titles and paths belong to a document's first chunk alone,
