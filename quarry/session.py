@@ -67,12 +67,12 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         _written.paths = outer
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read from there: lineage ends here and survives lost executors."""
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """df, written to the shared folder with the writer's options and read from there: lineage ends here and survives lost executors."""
     path = shared_path(df.sparkSession, name)
     if getattr(_written, "paths", None) is not None:
         _written.paths.append(path)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

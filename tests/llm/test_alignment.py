@@ -2,8 +2,10 @@ import hashlib
 import os
 import random
 from collections import Counter
+from functools import partial
 
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 from tokenizers import Tokenizer
 
@@ -87,3 +89,41 @@ def test_cases(spark, monkeypatch):
     monkeypatch.setattr(alignment, "MOST_PAIRS", 10)  # the other join
     assert rows(aligned(df, *PATHS)) == want
     assert aligned(df.limit(0), *PATHS).count() == 0
+
+
+def test_words_have_their_tokens_once_a_block(spark):
+    texts = ["some words, some more words", "more words again"] * 40
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    parts = df.mapInArrow(partial(alignment.block_batches, path_a=PATHS[0], path_b=PATHS[1]), alignment.PARTS_DDL)
+    both = tokenizers(*PATHS)
+    distinct = {w for t in texts for w in t.split(" ")}
+    want = sum((len(f) - alignment.HEAD) // 2 for f in both.ids(distinct))
+    assert parts.where("NOT document").selectExpr("sum(size(ids)) AS n").first().n == want
+    runs = alignment.links(parts.where("NOT document").select("p", "k", "n_a", "ids"), *PATHS)
+    assert runs.count() < want
+
+
+def test_blocks_and_runs_are_small_and_many(spark):
+    docs = [(i, t) for i, t in enumerate([*odd(60), "\u2581 x", "", "a b c " * 40 + "d"])]
+    want = brute(docs)
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in docs]), pa.array([t for _, t in docs])], names=["doc_id", "text"])
+    kept = alignment.BLOCK, alignment.RUN
+    names = [f.name for f in alignment.PARTS]
+
+    def small(batches):
+        alignment.BLOCK, alignment.RUN = 200, 3
+        try:
+            yield from alignment.block_batches(batches, *PATHS)
+        finally:
+            alignment.BLOCK, alignment.RUN = kept
+
+    parts = spark.createDataFrame(pa.Table.from_batches([batch]).to_pandas()).coalesce(1).mapInArrow(small, alignment.PARTS_DDL).select(names).cache()
+    again, n = alignment.dealt(parts)
+    blocks = parts.select("p").distinct().count()
+    assert blocks > 5 and again.select("p").distinct().count() == blocks and n >= blocks
+    assert again.selectExpr(f"pmod(hash(p), {n}) AS slot").distinct().count() == blocks
+    docs_of = again.where("document").selectExpr("p AS p", "k AS k", "doc_id AS doc_id", "numbers AS numbers")
+    rows_of = alignment.links(again.where("NOT document"), *PATHS).selectExpr("p", "k", "end", "a", "b", "int(a_ends) + 2 * int(b_ends) AS ends")
+    found = docs_of.groupBy("p").cogroup(rows_of.groupBy("p")).applyInArrow(alignment.digests, alignment.DOCUMENTS_DDL).collect()
+    cols = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
+    assert sorted((tuple(r[c] for c in cols) for r in found), key=str) == sorted(((*r[:5], r[7]) for r in want), key=str)
